@@ -1,4 +1,7 @@
-"""The corpus pipeline: stages that each read what the stage before wrote."""
+"""The corpus pipeline: from raw documents to sharded training data, each stage reading what the one before wrote.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +9,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from setloom.llm.decontaminate import drop_leaks
+from setloom.llm.hilbert import shard_documents
+from setloom.llm.mixing import draw_documents
 from setloom.llm.near_dup import drop_near_duplicates
+from setloom.llm.quality_pu import drop_rejected, train
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier rejects go."""
+    return drop_rejected(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one of least id."""
     return drop_near_duplicates(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("near_dedup", near_dedup)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are drawn with probabilities calibrated to the source, language and topic targets."""
+    return draw_documents(docs)
+
+
+def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in Hilbert order of language, source and length, cut into shards: adds hilbert and shard."""
+    return shard_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("mixing", mixing), ("sharding", sharding)]
 
-ORACLE_SQL = None
+#: Learning, sampling and q-gram alignment are not SQL; tests hold each stage against a brute-force version.
+ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
