@@ -15,6 +15,10 @@ BROADCAST_IDS = 2_000_000
 #: Bytes of text that a kernel takes at once; a longer text is taken alone and whole.
 SLICE_BYTES = 1 << 19
 
+#: Bytes of an Arrow batch, and Spark's default, from which on it is lowered.
+BATCH_BYTES, DEFAULT_BYTES = 8 << 20, 64 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 U = np.uint64
 _P, _P_INV = U(0x9E3779B97F4A7C15), U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -48,6 +52,14 @@ def semi(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
 # ---------------------------------------------------------------- Arrow
 
 
+def arrow_map(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """df.mapInArrow, with batches of fewer bytes unless the session already has less than the default: texts may be long."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BYTES).rstrip("bB")) >= DEFAULT_BYTES:
+        conf.set(_BYTES, str(BATCH_BYTES))
+    return df.mapInArrow(kernel, schema)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as the empty text."""
     if column.null_count:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import U, fold, powers, rows_of, slices, texts_of
+from setloom.llm.common import U, arrow_map, fold, powers, rows_of, slices, texts_of
 
 Q, WINDOW, STRIDE, RATE, STEP, MIN_CHARS, PART_BYTES = 12, 100, 50, 0.06, 16, 32, 16_000_000
 _BITS = 20
@@ -215,7 +215,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for ix in parts(benchmark, item_col, item_text_col, part_bytes, **parameters):
-        one = own.mapInArrow(_leaks(ix), "id long, item_id long, windows int, edits int")
+        one = arrow_map(own, _leaks(ix), "id long, item_id long, windows int, edits int")
         out = one if out is None else out.unionByName(one)
     return out.withColumnRenamed("id", id_col)
 
@@ -237,5 +237,5 @@ def _clean(ix_of, place: int):
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, part_bytes: int = PART_BYTES, **parameters: object) -> DataFrame:
     """The rows of docs, with all columns, that leak no item. No shuffle."""
     for ix in parts(benchmark, item_col, item_text_col, part_bytes, **parameters):
-        docs = docs.mapInArrow(_clean(ix, docs.columns.index(text_col)), docs.schema)
+        docs = arrow_map(docs, _clean(ix, docs.columns.index(text_col)), docs.schema)
     return docs

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import rows_of, slices, texts_of
+from setloom.llm.common import arrow_map, rows_of, slices, texts_of
 
 DIMENSIONS, SEED, SYMBOLS = 1024, 7, 64
 _N_GRAMS = SYMBOLS**3
@@ -121,7 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def prototypes(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """(languages in order, their prototypes of length 1). What is gathered is at most 64^3 counts a language."""
     own = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = own.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    counts = arrow_map(own, _count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique().tolist())
     out = np.zeros((len(langs), dimensions))
     for i, lang in enumerate(langs):
@@ -180,4 +180,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str =
     """(id_col, language, score, margin over the next language) for each row of docs. No shuffle."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     model_of = docs.sparkSession.sparkContext.broadcast((*model, seed))
-    return own.mapInArrow(_identify(model_of), "id long, language string, score double, margin double").withColumnRenamed("id", id_col)
+    return arrow_map(own, _identify(model_of), "id long, language string, score double, margin double").withColumnRenamed("id", id_col)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import U, cut, fold, slices, texts_of, word_hashes, word_spans
+from setloom.llm.common import U, arrow_map, cut, fold, slices, texts_of, word_hashes, word_spans
 
 TOPICS, ROUNDS, TOLERANCE, KEEP, BLEND, SEED, DRIVER_CELLS = 8, 60, 1e-9, 0.7, 0.3, "mix", 500_000
 DIMENSIONS = ("source", "lang", "topic")
@@ -60,7 +60,7 @@ def _topics(topics: int, id_at: int, text_at: int, more: list[int]):
 def described(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topics: int) -> DataFrame:
     """(id, source, lang, topic, tokens) of each row. Written once: counting and drawing both read it."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    return cut(own.mapInArrow(_topics(topics, 0, 3, [0, 1, 2]), "id long, source string, lang string, topic int, tokens long"))
+    return cut(arrow_map(own, _topics(topics, 0, 3, [0, 1, 2]), "id long, source string, lang string, topic int, tokens long"))
 
 
 def targets_of(shares: dict, given: dict | None, blend: float) -> dict:
@@ -195,4 +195,4 @@ def draw_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             keep = batch.column(n).to_numpy(zero_copy_only=False) < p
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n)], names=batch.schema.names[:n]).filter(pa.array(keep))
 
-    return numbered.mapInArrow(run, schema)
+    return arrow_map(numbered, run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import BROADCAST_IDS, U, components, cut, mix, rows_of, semi, shingles_of, slices, texts_of, words_of
+from setloom.llm.common import BROADCAST_IDS, U, arrow_map, components, cut, mix, rows_of, semi, shingles_of, slices, texts_of, words_of
 
 SHINGLE, BANDS, ROWS, THRESHOLD, DF_SLOTS, SLOTS, SEED = 2, 24, 4, 0.5, 1 << 20, 1 << 15, 20251
 _PIECE = 1 << 14
@@ -130,7 +130,7 @@ def _add(table: pa.Table) -> pa.Table:
 
 def document_frequencies(texts: DataFrame, shingle: int, df_slots: int) -> np.ndarray:
     """idf by counter, from all texts. Each task sends its counters once (4 bytes each); they are added by piece."""
-    parts = texts.mapInArrow(_count_df(shingle, df_slots), "piece int, n long, counts binary")
+    parts = arrow_map(texts, _count_df(shingle, df_slots), "piece int, n long, counts binary")
     rows = parts.groupBy("piece").applyInArrow(_add, "piece int, n long, counts binary").collect()
     counts, n = np.zeros(max(df_slots, _PIECE), np.int64), 0
     for r in rows:
@@ -211,9 +211,10 @@ def verified(docs: DataFrame, pairs: DataFrame, idf_of, shingle: int, threshold:
     """(a, b, similarity) of the pairs at the threshold or above. Only the texts of candidates are shuffled."""
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     own = semi(docs, ids, "id", ids.count())
-    feats = cut(own.mapInArrow(_weigh(idf_of, shingle), "id long, h binary, w binary").dropDuplicates(["id"]))
+    feats = cut(arrow_map(own, _weigh(idf_of, shingle), "id long, h binary, w binary").dropDuplicates(["id"]))
     side = [feats.select(F.col("id").alias(s), F.col("h").alias(f"h{s}"), F.col("w").alias(f"w{s}")) for s in "ab"]
-    return pairs.select("a", "b").join(side[0], "a").join(side[1], "b").select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(_verify(threshold), "a long, b long, similarity double")
+    both = pairs.select("a", "b").join(side[0], "a").join(side[1], "b").select("a", "b", "ha", "wa", "hb", "wb")
+    return arrow_map(both, _verify(threshold), "a long, b long, similarity double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, df_slots: int = DF_SLOTS, slots: int = SLOTS, seed: int = SEED) -> DataFrame:
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     idf_of = spark.sparkContext.broadcast(document_frequencies(own.select("text"), shingle, df_slots))
-    signed = cut(own.mapInArrow(_sign(idf_of, shingle, bands, rows, slots, seed), "id long, f1 long, f2 long, keys array<long>"))
+    signed = cut(arrow_map(own, _sign(idf_of, shingle, bands, rows, slots, seed), "id long, f1 long, f2 long, keys array<long>"))
     same = signed.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"))
     same = cut(same)
     equal = signed.join(same.where("n > 1").select("f1", "f2", "rep"), ["f1", "f2"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import fold, rows_of, slices, texts_of, word_hashes, word_spans
+from setloom.llm.common import arrow_map, fold, rows_of, slices, texts_of, word_hashes, word_spans
 
 MAX_POSITIVES, MAX_UNLABELLED, MAX_LOSS, MARGIN, HIDDEN, STEPS, SEED = 8000, 16000, 0.001, 1.5, 16, 1500, 11
 
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not chosen:
         return None
     few = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
-    rows = own.join(F.broadcast(few), "id", "left_semi").mapInArrow(_extract, "id long, x binary").collect()
+    rows = arrow_map(own.join(F.broadcast(few), "id", "left_semi"), _extract, "id long, x binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
     order = np.random.Generator(np.random.PCG64(SEED)).permutation(len(rows))
     sets: dict[bool, list] = {True: [], False: []}
@@ -202,7 +202,7 @@ def score_quality(docs: DataFrame, model: dict | None, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(score, 6), mask=~some), pa.array(keep)], schema=_SCORE)
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, "id long, score double, keep boolean").withColumnRenamed("id", id_col)
+    return arrow_map(own, run, "id long, score double, keep boolean").withColumnRenamed("id", id_col)
 
 
 def drop_rejected(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
@@ -213,4 +213,4 @@ def drop_rejected(docs: DataFrame, model: dict | None, text_col: str = "text") -
         for batch in batches:
             yield batch.filter(pa.array(_judge(*texts_of(batch.column(place)), model_of.value)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
