@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from setloom.llm.common import arrow_map, cut
 
-K, SHARD_ROWS, DEGREE, BEAM, ALPHA, WIDTH, CHUNK, SEED = 10, 8192, 24, 48, 1.2, 3, 256, 5
+K, SHARD_ROWS, DEGREE, BEAM, ALPHA, WIDTH, CHUNK, SEED = 10, 8192, 24, 64, 1.2, 3, 256, 5
 
 
 def search(x: np.ndarray, norm: np.ndarray, links: np.ndarray, entry: int, q: np.ndarray, beam: int, width: int = WIDTH, seen_too: bool = False) -> tuple[np.ndarray, np.ndarray]:

@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from setloom.llm.chat_events import ORACLE as CHAT_SQL
+from setloom.llm.chat_events import chats, turns_as_events
 from setloom.llm.decontaminate import leaks
+from setloom.llm.graph_ann import neighbours
 from setloom.llm.hilbert import shards
 from setloom.llm.language_id import identify, prototypes
 from setloom.llm.mixing import mixed
 from setloom.llm.near_dup import near_duplicates
 from setloom.llm.quality_pu import score_quality, train
+from setloom.llm.token_prefix import token_prefixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,14 +44,26 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_prefixes(table(spark, sf_dir, "documents"))
+
+
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats(turns_as_events(table(spark, sf_dir, "conversations")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_duplicates, op2_language_id, op3_hilbert_shards, op4_mixing, op6_quality, op10_decontamination]
+    found = [op1_near_duplicates, op2_language_id, op3_hilbert_shards, op4_mixing, op6_quality, op7_token_prefixes, op8_neighbours, op9_chat_format, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_format": CHAT_SQL}
