@@ -85,6 +85,30 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
+def add_vectors(parts: DataFrame, kind: str, tasks: int) -> dict[int, tuple[float, np.ndarray]]:
+    """{piece: (sum of n, sum of vectors)} of rows (piece int, n long, vector binary) that ``tasks`` tasks sent.
+
+    Sums go in two steps of about the square root of the tasks' number, so that no task holds all of a piece's vectors.
+    """
+    first, second = np.dtype(kind), np.dtype(np.int64 if np.dtype(kind).kind == "i" else np.float64)
+    schema = "piece int, n long, vector binary"
+
+    def add(dtype: np.dtype) -> Callable[[pa.Table], pa.Table]:
+        def run(table: pa.Table) -> pa.Table:
+            total = None
+            for v in table.column("vector"):
+                one = np.frombuffer(v.as_buffer(), dtype).astype(second)
+                total = one if total is None else total + one
+            return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "vector": pa.array([total.tobytes()], pa.binary())})
+
+        return run
+
+    fan = max(1, round(tasks**0.5))
+    some = parts.groupBy("piece", F.pmod(F.spark_partition_id(), F.lit(fan)).alias("part")).applyInArrow(add(first), schema)
+    rows = some.groupBy("piece").applyInArrow(add(second), schema).collect()
+    return {r["piece"]: (r["n"], np.frombuffer(r["vector"], second)) for r in rows}
+
+
 # ---------------------------------------------------------------- words
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import BROADCAST_IDS, U, arrow_map, components, cut, mix, rows_of, semi, shingles_of, slices, texts_of, words_of
+from setloom.llm.common import BROADCAST_IDS, U, add_vectors, arrow_map, components, cut, mix, rows_of, semi, shingles_of, slices, texts_of, words_of
 
 SHINGLE, BANDS, ROWS, THRESHOLD, DF_SLOTS, SLOTS, SEED = 2, 24, 4, 0.5, 1 << 20, 1 << 15, 20251
 _PIECE = 1 << 14
@@ -112,31 +112,21 @@ def _count_df(shingle: int, df_slots: int):
                         counts[np.unique(h & U(df_slots - 1)).astype(np.int64)] += 1
         if n:
             pieces = [counts[i : i + _PIECE].tobytes() for i in range(0, df_slots, _PIECE)]
-            yield rows_of(_DF, piece=range(len(pieces)), n=[n] * len(pieces), counts=pieces)
+            yield rows_of(_DF, piece=range(len(pieces)), n=[n] * len(pieces), vector=pieces)
 
     return run
 
 
-_DF = pa.schema([("piece", pa.int32()), ("n", pa.int64()), ("counts", pa.binary())])
-
-
-def _add(table: pa.Table) -> pa.Table:
-    total = np.zeros(_PIECE, np.int64)
-    for b in table.column("counts").to_pylist():
-        part = np.frombuffer(b, np.int32)
-        total[: len(part)] += part
-    return pa.Table.from_batches([rows_of(_DF, piece=[table.column("piece")[0].as_py()], n=[sum(table.column("n").to_pylist())], counts=[total.tobytes()])])
+_DF = pa.schema([("piece", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())])
 
 
 def document_frequencies(texts: DataFrame, shingle: int, df_slots: int) -> np.ndarray:
     """idf by counter, from all texts. Each task sends its counters once (4 bytes each); they are added by piece."""
-    parts = arrow_map(texts, _count_df(shingle, df_slots), "piece int, n long, counts binary")
-    rows = parts.groupBy("piece").applyInArrow(_add, "piece int, n long, counts binary").collect()
+    parts = arrow_map(texts, _count_df(shingle, df_slots), "piece int, n long, vector binary")
     counts, n = np.zeros(max(df_slots, _PIECE), np.int64), 0
-    for r in rows:
-        part = np.frombuffer(r["counts"], np.int64)
-        counts[r["piece"] * _PIECE :][: len(part)] = part
-        n = r["n"]
+    for piece, (rows, part) in add_vectors(parts, "int32", texts.rdd.getNumPartitions()).items():
+        counts[piece * _PIECE :][: len(part)] = part
+        n = rows
     return np.maximum(np.log((1 + n) / (1 + counts[:df_slots])), 0.05).astype(np.float32)
 
 

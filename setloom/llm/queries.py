@@ -12,6 +12,7 @@ from setloom.llm.decontaminate import leaks
 from setloom.llm.graph_ann import neighbours
 from setloom.llm.hilbert import shards
 from setloom.llm.language_id import identify, prototypes
+from setloom.llm.lbl_lm import lm_scores
 from setloom.llm.mixing import mixed
 from setloom.llm.near_dup import near_duplicates
 from setloom.llm.quality_pu import score_quality, train
@@ -39,6 +40,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -61,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_duplicates, op2_language_id, op3_hilbert_shards, op4_mixing, op6_quality, op7_token_prefixes, op8_neighbours, op9_chat_format, op10_decontamination]
+    found = [op1_near_duplicates, op2_language_id, op3_hilbert_shards, op4_mixing, op5_lm_scores, op6_quality, op7_token_prefixes, op8_neighbours, op9_chat_format, op10_decontamination]
     return {f.__name__: f for f in found}
 
 
