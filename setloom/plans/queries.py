@@ -1,9 +1,310 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, each with the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from setloom.functions import bounds, metrics, tokenizers
+from setloom.operators import order, stats, text_join, verify
+from setloom.operators.base import cut
+from setloom.plans.join import all_similarities, similarity_join
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---------------------------------------------------------------- collections (rid, tokens)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), tokenizers.plain_words(F.col("text")).alias("tokens"))
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("rid"), tokenizers.plain_words(F.col("text")).alias("tokens"))
+
+
+def _grouped(name: str, rid: str, tok: str, at: str = "") -> Callable[[SparkSession, str], DataFrame]:
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, name).groupBy(F.col(rid).alias("rid")).agg(F.collect_set(tok).alias("tokens"))
+
+    return read
+
+
+baskets = _grouped("lineitem", "l_orderkey", "l_partkey")
+parts = _grouped("lineitem", "l_partkey", "l_suppkey")
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("rid"), F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("rid").agg(F.collect_set("k").alias("tokens"))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return own.groupBy(F.col("o_custkey").alias("rid")).agg(F.collect_set("l_suppkey").alias("tokens"))
+
+
+WORDS = r"SELECT DISTINCT {id} AS rid, tok FROM (SELECT {id}, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')) AS tok FROM {table}) WHERE tok <> '' AND {id} IS NOT NULL"
+SOURCES = {
+    documents: WORDS.format(id="doc_id", table="documents"),
+    benchmark: WORDS.format(id="item_id", table="benchmark"),
+    baskets: "SELECT DISTINCT l_orderkey AS rid, l_partkey AS tok FROM lineitem",
+    parts: "SELECT DISTINCT l_partkey AS rid, l_suppkey AS tok FROM lineitem",
+    users: "SELECT DISTINCT user_id AS rid, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tok FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
+    customers: "SELECT DISTINCT o_custkey AS rid, l_suppkey AS tok FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
+}
+
+
+def join_sql(src: str, condition: str, src_s: str | None = None) -> str:
+    size = "SELECT rid, tok, count(*) OVER (PARTITION BY rid) AS n FROM"
+    return f"""
+WITH a AS ({size} ({src})), b AS ({size} ({src_s or src})),
+     o AS (SELECT a.rid AS rid1, b.rid AS rid2, a.n AS n1, b.n AS n2, count(*) AS overlap FROM a JOIN b ON a.tok = b.tok {"" if src_s else "AND a.rid < b.rid"} GROUP BY ALL)
+SELECT rid1, rid2, overlap, overlap / (n1 + n2 - overlap) AS sim FROM o WHERE {condition}
+"""
+
+
+def add(name: str, query: Query, sql: str | None) -> None:
+    QUERIES[name] = query
+    if sql:
+        ORACLES[name] = sql
+
+
+def _join(algorithm: str, source: Query, t: float, strict: bool, source_s: Query | None = None, **options: object) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        other = source_s(spark, sf_dir) if source_s else None
+        return similarity_join(source(spark, sf_dir), other, threshold=t, algorithm=algorithm, strict=strict, **options)
+
+    return query
+
+
+def add_join(name: str, algorithm: str, source: Query, t: float, strict: bool, source_s: Query | None = None, **options: object) -> None:
+    sim = "overlap / (n1 + n2 - overlap)"
+    add(name, _join(algorithm, source, t, strict, source_s, **options), join_sql(SOURCES[source], f"{sim} {'>' if strict else '>='} {t}", SOURCES[source_s] if source_s else None))
+
+
+for _name in ("full", "chunked", "prefix", "two_sided", "remainder", "fragment", "pivot", "recursive_pivot", "grid", "length_bucket"):
+    add_join(f"{_name}_documents", _name, documents, 0.7, True)
+add_join("group_documents", "group", documents, 0.9, True)
+for _name in ("full", "chunked", "prefix", "two_sided", "remainder", "fragment", "segment"):
+    add_join(f"{_name}_baskets_strict", _name, baskets, 0.5, True)
+    add_join(f"{_name}_baskets_ge", _name, baskets, 0.5, False)
+add_join("group_baskets", "group", baskets, 0.7, True)
+add_join("deletion_ball_baskets", "deletion_ball", baskets, 0.7, False)
+for _name in ("prefix", "pivot", "recursive_pivot", "grid", "length_bucket"):
+    add_join(f"{_name}_users_ge", _name, users, 0.5, False)
+    add_join(f"{_name}_users_strict", _name, users, 0.5, True)
+add_join("prefix_customers_ge", "prefix", customers, 0.5, False)
+add_join("prefix_parts_ge", "prefix", parts, 0.5, False)
+for _name in ("full", "chunked", "prefix", "two_sided", "remainder", "fragment", "pivot", "recursive_pivot", "grid", "length_bucket", "probe"):
+    add_join(f"{_name}_parts_users_rs", _name, parts, 0.3, False, users)
+add_join("segment_baskets_rs", "segment", baskets, 0.5, True, baskets)
+add_join("group_baskets_rs", "group", baskets, 0.7, True, baskets)
+add_join("deletion_ball_baskets_rs", "deletion_ball", baskets, 0.7, False, baskets)
+add_join("prefix_documents_benchmark_rs", "prefix", documents, 0.1, False, benchmark)
+
+
+def _all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_similarities(users(spark, sf_dir))
+
+
+add("all_similarities_users", _all_pairs, join_sql(SOURCES[users], "true"))
+
+
+# ---------------------------------------------------------------- orders and vocabularies
+
+
+def _posts(source: Query) -> Query:
+    return lambda spark, sf_dir: order.postings(source(spark, sf_dir))
+
+
+FREQ = "SELECT tok AS token, count(*) AS freq FROM (SELECT DISTINCT rid, tok FROM ({src})) GROUP BY tok"
+
+for _source in (documents, baskets):
+    _n, _src = _source.__name__ if _source is documents else "baskets", SOURCES[_source]
+    add(f"token_frequencies_{_n}", lambda spark, d, s=_source: order.token_frequencies(order.postings(s(spark, d))), FREQ.format(src=_src))
+    add(f"token_order_{_n}", lambda spark, d, s=_source: order.token_order(order.postings(s(spark, d))), f"SELECT *, row_number() OVER (ORDER BY freq, token) - 1 AS rank FROM ({FREQ.format(src=_src)})")
+    add(f"vocabulary_{_n}", lambda spark, d, s=_source: order.vocabulary(order.postings(s(spark, d))), f"SELECT tok AS token, row_number() OVER (ORDER BY tok) - 1 AS id FROM (SELECT DISTINCT tok FROM ({_src}))")
+    add(f"without_frequent_{_n}", lambda spark, d, s=_source: order.remove_frequent(cut(order.postings(s(spark, d)))), f"""
+WITH p AS (SELECT DISTINCT rid, tok FROM ({_src})), o AS (SELECT tok, row_number() OVER (ORDER BY freq, tok) - 1 AS rank, count(*) OVER () AS size FROM (SELECT tok, count(*) AS freq FROM p GROUP BY tok))
+SELECT rid, tok FROM p JOIN o USING (tok) WHERE rank < size - CAST(floor(size * 0.01) AS BIGINT)""")
+    add(f"without_singletons_{_n}", lambda spark, d, s=_source: order.remove_singletons(cut(order.postings(s(spark, d)))), f"WITH p AS (SELECT DISTINCT rid, tok FROM ({_src})) SELECT rid, tok FROM p WHERE tok IN (SELECT tok FROM p GROUP BY tok HAVING count(*) > 1)")
+    add(f"dataset_stats_{_n}", lambda spark, d, s=_source: stats.dataset_stats(cut(order.postings(s(spark, d)))), f"""
+WITH p AS (SELECT DISTINCT rid, tok FROM ({_src})), s AS (SELECT rid, count(*) AS n FROM p GROUP BY rid)
+SELECT count(*) AS records, (SELECT count(DISTINCT tok) FROM p) AS tokens, min(n) AS min_len, max(n) AS max_len FROM s""")
+    for _what, _key, _buckets in (("length", "rid", 20), ("frequency", "tok", 10)):
+        _f = stats.length_histogram if _what == "length" else stats.frequency_histogram
+        add(f"{_what}_histogram_{_n}", lambda spark, d, s=_source, f=_f: f(cut(order.postings(s(spark, d)))), f"""
+WITH s AS (SELECT count(*) AS n FROM (SELECT DISTINCT rid, tok FROM ({_src})) GROUP BY {_key}), e AS (SELECT min(n) AS lo, CAST(greatest(ceil((max(n) - min(n) + 1) / {_buckets}), 1) AS BIGINT) AS w FROM s)
+SELECT CAST((n - lo) // w AS BIGINT) AS bucket, CAST(lo + ((n - lo) // w) * w AS BIGINT) AS lower, CAST(lo + ((n - lo) // w) * w + w - 1 AS BIGINT) AS upper, count(*) AS records FROM s, e GROUP BY ALL""")
+    add(f"length_counts_{_n}", lambda spark, d, s=_source: stats.length_stats(order.postings(s(spark, d))), f"SELECT n, count(*) AS records FROM (SELECT count(*) AS n FROM (SELECT DISTINCT rid, tok FROM ({_src})) GROUP BY rid) GROUP BY n")
+    add(f"expected_length_{_n}", lambda spark, d, s=_source: stats.expected_length(order.postings(s(spark, d))), f"SELECT avg(n) AS expected FROM (SELECT count(*) AS n FROM (SELECT DISTINCT rid, tok FROM ({_src})) GROUP BY rid)")
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = order.with_ranks(cut(order.postings(baskets(spark, sf_dir))))
+    return ranked.select("rid", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+
+
+add("ranked_sets_baskets", _ranked, f"""
+WITH p AS ({SOURCES[baskets]}), o AS (SELECT tok, row_number() OVER (ORDER BY freq, tok) - 1 AS rank FROM (SELECT tok, count(*) AS freq FROM p GROUP BY tok))
+SELECT rid, string_agg(CAST(rank AS VARCHAR), ',' ORDER BY rank) AS tokens FROM p JOIN o USING (tok) GROUP BY rid""")
+
+
+def _prefixes(length: Callable, t: float) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sets = order.encode(order.postings(baskets(spark, sf_dir)))[0]
+        return order.prefix_tokens(sets, length(F.col("n"), t)).select("rid", F.col("pos").cast("long").alias("pos"), "tok")
+
+    return query
+
+
+PREFIX = """
+WITH p AS ({src}), f AS (SELECT tok, count(*) AS freq FROM p GROUP BY tok),
+     s AS (SELECT rid, tok, row_number() OVER (PARTITION BY rid ORDER BY freq, tok) - 1 AS pos, count(*) OVER (PARTITION BY rid) AS n FROM p JOIN f USING (tok))
+SELECT rid, pos, tok FROM s WHERE pos < n - ceil(n * {share} - 1e-9) + 1"""
+add("prefix_tokens", _prefixes(bounds.prefix_length, 0.7), PREFIX.format(src=SOURCES[baskets], share=0.7))
+add("index_prefix_tokens", _prefixes(bounds.index_prefix_length, 0.7), PREFIX.format(src=SOURCES[baskets], share=2 * 0.7 / 1.7))
+
+
+def _replication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = order.encode(order.postings(baskets(spark, sf_dir)))[0]
+    return stats.replication_stats(order.prefix_tokens(sets, bounds.prefix_length(F.col("n"), 0.7)), "tok")
+
+
+add("replication_stats", _replication, f"SELECT count(*) AS keys, CAST(sum(n) AS BIGINT) AS rows, min(n) AS min_rows, max(n) AS max_rows, avg(n) AS avg_rows FROM (SELECT count(*) AS n FROM ({PREFIX.format(src=SOURCES[baskets], share=0.7)}) GROUP BY tok)")
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem")
+    most = own.agg(F.max("l_partkey")).first()[0] or 0
+    out = order.scale_out(baskets(spark, sf_dir).withColumn("rid", F.col("rid") * 3), 3, most)
+    return out.select("rid", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+
+
+add("scale_out_baskets", _scaled, """
+WITH m AS (SELECT max(l_partkey) AS most FROM lineitem), p AS (SELECT DISTINCT l_orderkey * 3 + i AS rid, (l_partkey + i) % (most + 1) AS tok FROM lineitem, m, range(3) r(i))
+SELECT rid, string_agg(CAST(tok AS VARCHAR), ',' ORDER BY tok) AS tokens FROM p GROUP BY rid""")
+add("assigned_rids", lambda spark, d: order.assign_rids(table(spark, d, "customer").select("c_name"), ["c_name"], 3), "SELECT c_name, (row_number() OVER (ORDER BY c_name) - 1) * 3 + 1 AS rid FROM customer")
+
+
+def _integer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = order.tokenize(table(spark, sf_dir, "benchmark"), tokenizers.plain_words(F.col("text")), "item_id")
+    return out.select("rid", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens"))
+
+
+add("integer_sets_benchmark", _integer_sets, f"""
+WITH p AS ({SOURCES[benchmark]}), v AS (SELECT tok, row_number() OVER (ORDER BY tok) - 1 AS id FROM (SELECT DISTINCT tok FROM p))
+SELECT rid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS tokens FROM p JOIN v USING (tok) GROUP BY rid""")
+add("cardinality", lambda spark, d: stats.cardinality(table(spark, d, "lineitem")), "SELECT count(*) AS records FROM lineitem")
+
+
+# ---------------------------------------------------------------- tokenizers
+
+
+def _tokens(build: Callable, name: str = "documents", rid: str = "doc_id", column: str = "text") -> Query:
+    return lambda spark, d: table(spark, d, name).select(F.col(rid).alias("rid"), F.explode(build(F.col(column))).alias("tok")).groupBy("rid", "tok").agg(F.count("*").alias("n"))
+
+
+ASCII = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", " ")
+add("tokens_basic", _tokens(tokenizers.basic), r"SELECT doc_id AS rid, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9_]+')) AS tok FROM documents) WHERE tok <> '' GROUP BY ALL")
+add("tokens_stopped", _tokens(lambda c: tokenizers.stopped(ASCII(c))), rf"""
+SELECT doc_id AS rid, tok, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '(?i)\b(?:{"|".join(tokenizers.STOP)})\b', '', 'g'), '[^a-zA-Z ]', '', 'g')), ' +')) AS tok FROM documents) WHERE tok <> '')""")
+_NUMBERED = "SELECT rid, tok || '_' || row_number() OVER (PARTITION BY rid, tok) AS tok, CAST(1 AS BIGINT) AS n FROM ({src})"
+_OCCUR = _NUMBERED.format(src=r"SELECT doc_id AS rid, tok FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS tok FROM documents) WHERE tok <> ''")
+_FOLDED = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+add("tokens_occurrences", lambda spark, d: order.numbered_tokens(table(spark, d, "documents"), _FOLDED(F.col("text")), "doc_id").withColumn("n", F.lit(1).cast("long")), _OCCUR)
+add("tokens_words", _tokens(tokenizers.word_counts, "part", "p_partkey", "p_name"), _NUMBERED.format(src="SELECT rid, tok FROM (SELECT p_partkey AS rid, unnest(string_split(p_name, ' ')) AS tok FROM part) WHERE tok <> ''"))
+add("tokens_ngrams", _tokens(tokenizers.ngrams, "part", "p_partkey", "p_name"), """
+SELECT rid, tok || row_number() OVER (PARTITION BY rid, tok) AS tok, CAST(1 AS BIGINT) AS n FROM (
+  SELECT p_partkey AS rid, substr('$$' || p_name || '$$', CAST(i AS BIGINT), 3) AS tok FROM part, range(1, (SELECT max(length(p_name)) + 3 FROM part)) r(i) WHERE i <= length(p_name) + 2)""")
+add("tokens_english", _tokens(tokenizers.english), None)
+add("string_hash", lambda spark, d: table(spark, d, "part").select("p_partkey", tokenizers.string_hash(F.col("p_name")).alias("h")), """
+SELECT p_partkey, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS h
+FROM (SELECT p_partkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(lower(p_name), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM part)""")
+add("string_measures", lambda spark, d: table(spark, d, "part").select("p_partkey", F.char_length("p_name").cast("long").alias("chars"), F.octet_length("p_name").cast("long").alias("bytes"), F.lower("p_name").alias("low")), "SELECT p_partkey, length(p_name) AS chars, CAST(strlen(p_name) AS BIGINT) AS bytes, lower(p_name) AS low FROM part")
+
+
+# ---------------------------------------------------------------- metrics
+
+
+def _near_names(distance: Callable, most: int) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+        other = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        return own.crossJoin(other).select("s_suppkey", "n_nationkey", distance(F.col("s_name"), F.col("n_name")).cast("long").alias("distance"))
+
+    return query
+
+
+add("edit_distance", _near_names(metrics.edit_distance, 0), "SELECT s_suppkey, n_nationkey, levenshtein(s_name, n_name) AS distance FROM supplier, nation")
+add("edit_distance_folded", _near_names(metrics.edit_distance_folded, 0), "SELECT s_suppkey, n_nationkey, levenshtein(lower(s_name), lower(n_name)) AS distance FROM supplier, nation")
+add("edit_distance_within", _near_names(lambda a, b: metrics.edit_distance(a, b, 15), 15), "SELECT s_suppkey, n_nationkey, CASE WHEN levenshtein(s_name, n_name) <= 15 THEN levenshtein(s_name, n_name) ELSE -1 END AS distance FROM supplier, nation")
+add("token_edit_distance", _near_names(lambda a, b: metrics.token_edit_distance(F.filter(F.split(a, ""), lambda c: c != ""), F.filter(F.split(b, ""), lambda c: c != "")), 0), "SELECT s_suppkey, n_nationkey, levenshtein(s_name, n_name) AS distance FROM supplier, nation")
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = users(spark, sf_dir)
+    pairs = own.select(F.col("rid").alias("rid1"), F.col("tokens").alias("a")).join(own.select(F.col("rid").alias("rid2"), F.col("tokens").alias("b")), F.col("rid1") < F.col("rid2"))
+    a, b = F.col("a"), F.col("b")
+    return pairs.select("rid1", "rid2", metrics.overlap(a, b).alias("overlap"), metrics.jaccard(a, b).alias("jaccard"), F.round(metrics.euclidean_like(a, b), 9).alias("euclidean"), metrics.jaccard_at_least(a, b, 0.3).alias("least"), metrics.smallest_common(a, b).alias("smallest"), metrics.partial_overlap(a, b, F.lit(50)).alias("partial"))
+
+
+add("set_metrics_users", _metrics, f"""
+WITH s AS (SELECT rid, list(DISTINCT tok) AS t FROM ({SOURCES[users]}) GROUP BY rid),
+     p AS (SELECT a.rid AS rid1, b.rid AS rid2, list_intersect(a.t, b.t) AS i, len(a.t) AS n, len(b.t) AS m FROM s a JOIN s b ON a.rid < b.rid),
+     o AS (SELECT rid1, rid2, i, CAST(len(i) AS BIGINT) AS overlap, n, m FROM p)
+SELECT rid1, rid2, overlap, overlap / (n + m - overlap) AS jaccard, round(sqrt(n + m - 2 * overlap) / (n + m - overlap), 9) AS euclidean,
+       CASE WHEN overlap / (n + m - overlap) >= 0.3 THEN overlap / (n + m - overlap) ELSE -1.0 END AS least, list_min(i) AS smallest, CAST(len(list_filter(i, lambda x: x <= 50)) AS BIGINT) AS partial FROM o""")
+
+
+# ---------------------------------------------------------------- texts and checks
+
+
+def _texts(attach: Callable) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pairs = similarity_join(documents(spark, sf_dir), threshold=0.9, strict=True)
+        return attach(pairs, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), "text"))
+
+    return query
+
+
+_TEXTS = f"SELECT j.rid1, j.rid2, a.text AS text1, b.text AS text2 FROM ({join_sql(SOURCES[documents], 'overlap / (n1 + n2 - overlap) > 0.9')}) j JOIN documents a ON a.doc_id = j.rid1 JOIN documents b ON b.doc_id = j.rid2"
+add("text_join", _texts(text_join.attach_text), _TEXTS)
+add("text_join_map_side", _texts(text_join.attach_text_map_side), _TEXTS)
+
+
+def _missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    loose, tight = (similarity_join(baskets(spark, sf_dir), threshold=0.5, strict=s) for s in (False, True))
+    return verify.missing(loose, tight)
+
+
+def _agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = (similarity_join(baskets(spark, sf_dir), threshold=0.5, strict=True, algorithm=a) for a in ("prefix", "remainder"))
+    return verify.differences(one, two)
+
+
+def _together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = (similarity_join(baskets(spark, sf_dir), threshold=t, strict=True) for t in (0.5, 0.8))
+    return verify.union_results(one, two)
+
+
+add("missing_pairs", _missing, f"SELECT rid1, rid2 FROM ({join_sql(SOURCES[baskets], 'overlap / (n1 + n2 - overlap) = 0.5')})")
+add("differing_pairs", _agree, "SELECT CAST(0 AS BIGINT) AS rid1, CAST(0 AS BIGINT) AS rid2, '' AS what WHERE false")
+add("united_pairs", _together, f"SELECT rid1, rid2 FROM ({join_sql(SOURCES[baskets], 'overlap / (n1 + n2 - overlap) > 0.5')})")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
