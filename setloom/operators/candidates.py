@@ -180,7 +180,7 @@ def _distance(a: Column, b: Column) -> Column:
 def _cells(sets: DataFrame, pivots: DataFrame, eps: float, keys: list[str]) -> DataFrame:
     """(…keys, rid, n, toks, pivot, home, dist): a row for the cell of the nearest pivot and each cell whose window it is in."""
     pv = pivots.select(*keys, F.col("rid").alias("pivot"), F.col("toks").alias("ptoks"))
-    near = sets.join(F.broadcast(pv), keys) if keys else sets.crossJoin(F.broadcast(pv))
+    near = sets.join(pv, keys) if keys else sets.crossJoin(F.broadcast(pv))  # without keys, a fixed number of pivots
     near = near.withColumn("dist", _distance(F.col("toks"), F.col("ptoks"))).groupBy(*keys, "rid", "n").agg(F.first("toks").alias("toks"), F.array_sort(F.collect_list(F.struct("dist", "pivot"))).alias("all"))
     near = near.withColumn("best", F.col("all")[0]).withColumn("one", F.explode("all"))
     return near.where((F.col("one.dist") - F.col("best.dist")) / 2 <= eps + 1e-12).select(*keys, "rid", "n", "toks", F.col("one.pivot").alias("pivot"), (F.col("one.pivot") == F.col("best.pivot")).alias("home"), F.col("one.dist").alias("dist"))
@@ -202,8 +202,9 @@ def pivot(r: DataFrame, s: DataFrame, self_join: bool, t: float, pivots: int = 1
 
 
 def recursive_pivot(r: DataFrame, s: DataFrame, self_join: bool, t: float, pivots: int = 8, max_cell: int = 500, rounds: int = 4) -> DataFrame:
-    """Cells as in ``pivot``, those of more than ``max_cell`` records cut again around pivots of their own. Cells that do
-    not shrink, and all after the last round, are joined as they are."""
+    """Cells as in ``pivot``, those of more than ``max_cell`` records cut again around pivots of their own. A cell
+    whose cut would more than double its records (they are alike far from all pivots), and all after the last
+    round, are joined as they are."""
     every = r.select("rid", "n", "toks", F.lit(1).alias("side"))
     if not self_join:
         every = every.unionByName(s.select("rid", "n", "toks", F.lit(2).alias("side")))
@@ -211,7 +212,7 @@ def recursive_pivot(r: DataFrame, s: DataFrame, self_join: bool, t: float, pivot
     work = cut(every.select(F.lit("").alias("cell"), "rid", "n", "toks", "side"))
     done = None
     for _ in range(rounds):
-        sizes = work.groupBy("cell").agg(F.count("*").alias("size"))
+        sizes = cut(work.groupBy("cell").agg(F.count("*").alias("size")))
         large = cut(sizes.where(F.col("size") > max_cell).select("cell"))
         small = work.join(large, "cell", "left_anti")
         done = small if done is None else done.unionByName(small)
@@ -222,8 +223,11 @@ def recursive_pivot(r: DataFrame, s: DataFrame, self_join: bool, t: float, pivot
         rank = F.row_number().over(_by_hash("cell"))
         pv = cut(big.withColumn("_k", rank).where(F.col("_k") <= pivots).select("cell", F.col("rid"), "toks"))
         parts = [_cells(big.where(F.col("side") == k).select("cell", "rid", "n", "toks"), pv, 1 - t, ["cell"]).withColumn("side", F.lit(k)) for k in ((1,) if self_join else (1, 2))]
-        next_cells = parts[0] if self_join else parts[0].unionByName(parts[1])
-        work = cut(next_cells.select(F.concat_ws("/", "cell", F.col("pivot").cast("string")).alias("cell"), "rid", "n", "toks", "side").distinct())
+        next_cells = cut(parts[0] if self_join else parts[0].unionByName(parts[1]))
+        grown = next_cells.groupBy("cell").agg(F.count("*").alias("rows")).join(sizes, "cell")
+        split = cut(grown.where(F.col("rows") <= 2 * F.col("size")).select("cell"))
+        done = done.unionByName(big.join(split, "cell", "left_anti"))
+        work = cut(next_cells.join(split, "cell").select(F.concat_ws("/", "cell", F.col("pivot").cast("string")).alias("cell"), "rid", "n", "toks", "side").distinct())
     if work is not None:
         done = done.unionByName(work)
     done = cut(done.select("cell", "rid", "n", "side"))
