@@ -94,15 +94,14 @@ def rake_cells(cells: DataFrame, targets: list[dict], rounds: int, tolerance: fl
     w = cut(cells.withColumn("raked", F.col("tokens") / F.lit(float(total))))
     kinds = dict(cells.dtypes)
     wanted = [cut(spark.createDataFrame(sorted(t.items()), f"{d} {kinds[d]}, target double")) for d, t in zip(DIMENSIONS, targets)]
-    for r in range(rounds):
+    for _ in range(rounds):
         worst = 0.0
         for d, target in zip(DIMENSIONS, wanted):
-            share = w.groupBy(d).agg(F.sum("raked").alias("share")).join(target, d)
-            if r % 5 == 4:
-                worst = max(worst, share.agg(F.max(F.abs(F.col("share") - F.col("target")))).first()[0])
-            w = w.join(share.select(d, (F.col("target") / F.col("share")).alias("ratio")), d).withColumn("raked", F.col("raked") * F.col("ratio")).drop("ratio")
-        w = cut(w.select(*DIMENSIONS, "tokens", "raked"))
-        if r % 5 == 4 and worst < tolerance:
+            share = cut(w.groupBy(d).agg(F.sum("raked").alias("share")).join(target, d))
+            worst = max(worst, share.agg(F.max(F.abs(F.col("share") - F.col("target")))).first()[0])
+            ratio = share.select(d, (F.col("target") / F.col("share")).alias("ratio"))
+            w = cut(w.join(ratio, d).select(*DIMENSIONS, "tokens", (F.col("raked") * F.col("ratio")).alias("raked")))
+        if worst < tolerance:
             break
     return w
 
@@ -146,10 +145,12 @@ def probabilities(table: DataFrame, *, sources: dict | None = None, langs: dict
     else:
         raked = rake_cells(some, targets, rounds, tolerance).withColumn("factor", F.col("raked") * F.lit(float(total)) / F.col("tokens"))
         low, high = 0.0, 2.0 / max(raked.agg(F.min(F.when(F.col("factor") > 0, F.col("factor")))).first()[0], 1e-12)
-        for _ in range(60):
-            s = (low + high) / 2
-            got = raked.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(s) * F.col("factor")))).first()[0]
-            low, high = (s, high) if got < keep * total else (low, s)
+        for _ in range(12):
+            tries = [low + (high - low) * (i + 1) / 33 for i in range(32)]
+            got = raked.agg(*[F.sum(F.col("tokens") * F.least(F.lit(1.0), F.lit(x) * F.col("factor"))) for x in tries]).first()
+            at = next((i for i in range(32) if got[i] >= keep * total), 32)
+            low, high = (tries[at - 1] if at else low), (tries[at] if at < 32 else high)
+        s = (low + high) / 2
         done = raked.select(*DIMENSIONS, F.least(F.lit(1.0), F.lit(s) * F.col("factor")).alias("probability"))
     return done.unionByName(empty.select(*DIMENSIONS, F.lit(min(1.0, s)).alias("probability")))
 
