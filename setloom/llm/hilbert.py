@@ -135,10 +135,10 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", chars_col: str = "n
         if h in by_cell:
             last = by_cell[h][-1][1]
     rows = [(h, before[h], [i for i, _ in by_cell.get(h, [])], [s for _, s in by_cell.get(h, [])]) for h in before]
-    cells = docs.sparkSession.createDataFrame(rows, "hilbert long, low long, ids array<long>, shards array<long>")
-    at = F.size(F.filter("ids", lambda i: i <= F.col("_key")))
-    placed = docs.withColumn("hilbert", index).withColumn("_key", key).join(F.broadcast(cells), "hilbert", "left")
-    placed = placed.withColumn("shard", F.when(at > 0, F.get("shards", at - 1)).otherwise(F.col("low")))
+    cells = docs.sparkSession.createDataFrame(rows, "hilbert long, _curve_low long, _curve_ids array<long>, _curve_shards array<long>")
+    at = F.size(F.filter("_curve_ids", lambda i: i <= F.col("_curve_key")))
+    placed = docs.withColumn("hilbert", index).withColumn("_curve_key", key).join(F.broadcast(cells), "hilbert", "left")
+    placed = placed.withColumn("shard", F.when(at > 0, F.get("_curve_shards", at - 1)).otherwise(F.col("_curve_low")))
     spark = docs.sparkSession
     parts = max(1, min(len(bounds), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ranged = placed.select(*docs.columns, "hilbert", "shard").repartitionByRange(parts, "shard")
