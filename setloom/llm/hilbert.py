@@ -143,3 +143,18 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", chars_col: str = "n
     parts = max(1, min(len(bounds), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     ranged = placed.select(*docs.columns, "hilbert", "shard").repartitionByRange(parts, "shard")
     return ranged.sortWithinPartitions("shard", "hilbert", F.col(id_col).asc_nulls_first())
+
+
+def oracle_sql(dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, shard_chars: int = SHARD_CHARS) -> str:
+    """The SQL of ``shards`` over documents: ranks give the cells, a list the curve, running sums the shards."""
+    side = 1 << bits
+    code = "0"
+    for d in dimensions:
+        code = f"({code}) * {side} + ((rank() OVER (ORDER BY {d} NULLS FIRST) - 1) * {side}) // count(*) OVER ()"
+    curve_list = ", ".join(map(str, curve_table(len(dimensions), bits)))
+    return f"""
+WITH c AS (SELECT doc_id, coalesce(doc_id, -9223372036854775808) AS id, greatest(coalesce(n_chars, 0), 0) AS chars, {code} AS code FROM documents),
+     h AS (SELECT doc_id, id, chars, CAST(([{curve_list}])[code + 1] AS BIGINT) AS hilbert FROM c),
+     b AS (SELECT *, coalesce(sum(chars) OVER (ORDER BY hilbert, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
+SELECT doc_id, hilbert, CAST(min(before) OVER (PARTITION BY hilbert, id) // {shard_chars} AS BIGINT) AS shard FROM b
+"""

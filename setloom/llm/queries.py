@@ -10,6 +10,7 @@ from setloom.llm.chat_events import ORACLE as CHAT_SQL
 from setloom.llm.chat_events import chats, turns_as_events
 from setloom.llm.decontaminate import leaks
 from setloom.llm.graph_ann import neighbours
+from setloom.llm.hilbert import oracle_sql as shard_sql
 from setloom.llm.hilbert import shards
 from setloom.llm.language_id import identify, prototypes
 from setloom.llm.lbl_lm import lm_scores
@@ -71,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_format": CHAT_SQL}
+    return {"op3_hilbert_shards": shard_sql(), "op9_chat_format": CHAT_SQL}

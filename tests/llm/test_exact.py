@@ -41,7 +41,7 @@ def test_token_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS tokens", "2 AS id")
     got = {r.doc_id: r for r in token_prefix.token_prefixes(df).collect()}
     assert (got[1].tokens, got[2].tokens, got[3].tokens, got[None].tokens, got[5].tokens) == (2, None, 0, 1, 30001)
-    assert (got[1].chars_256, got[5].chars_1024, got[2].chars_256) == (11, 1024 * 5, None)
+    assert (got[1].chars_256, got[5].chars_1024, got[2].chars_256) == (11, 1024 * 5 - 1, None)
     assert token_prefix.token_prefixes(df.limit(0)).count() == 0
 
 
