@@ -1,7 +1,12 @@
 """Language-model scoring by a log-bilinear model, trained by noise-contrastive estimation.
 
-Vocabulary. The ``words`` most frequent words of the whole corpus (ties by hash) are symbols; every other word falls in one of 64
-classes, by length and hash. The counts that choose the words and make up the noise distribution cover all texts.
+Vocabulary. The ``words`` most frequent words of the whole corpus (ties by hash) are symbols, 960 or three times the cube root
+of the corpus's tokens, whichever is more; every other word falls in one of 64 classes, by length and hash, which are symbols
+too. The counts that choose the words and make up the noise distribution cover all texts.
+
+Words of a class. P(word) is P(class) by the model times P(word | class) by the full counts: of a class of N tokens and D words, a
+word seen n times has (n - 1/4) / N, and the D/4 so left are shared evenly by as many unseen words and one more. All words seen
+and those unseen ones add up to 1 in each context.
 
 Model. With context words u (last) and v (the one before), the score of a symbol w is
 ``(Q[u] C1 + Q[v] C2) . R[w] + b[w]``. Training tells a word from noise words drawn by frequency (noise-contrastive
@@ -11,7 +16,9 @@ size of the model. Rounds and their split over tasks follow the input's partitio
 slightly different model.
 
 Scoring. Batched matrix products turn the model into the tables ``Q C1 R'``, ``Q C2 R'`` and the log-normaliser of each
-context pair, so that each token's log-probability, exactly normalised over the vocabulary, is a sum of four look-ups.
+context pair, so that each token's log-probability, exactly normalised over the symbols, is a sum of four look-ups, and one more
+for the word in its class. The shares of the ``known`` most frequent words are broadcast; those of rarer words are joined on
+by hash, which shuffles these words alone, and a corpus of no more words is scored without a shuffle.
 
 Cases: a null, empty or wordless text has 0 tokens, a log-probability of 0 and a null perplexity. An empty corpus
 gives no rows. Rows are scored one by one (repeated rows repeat) and whole. Other columns are ignored.
@@ -23,12 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import U, add_vectors, arrow_map, cut, fold, rows_of, slices, texts_of, word_hashes, word_spans
+from setloom.llm.common import U, add_vectors, arrow_map, cut, fold, mix, rows_of, slices, texts_of, word_hashes, word_spans
 
-WORDS, CLASSES, DIM, NOISE, BATCH, RATE, ROUNDS, SEED = 960, 64, 32, 64, 2048, 0.05, 1, 3
+WORDS, GROWTH, KNOWN, HELD_BACK = 960, 3, 1 << 18, 0.25
+CLASSES, DIM, NOISE, BATCH, RATE, ROUNDS, SEED = 64, 32, 64, 2048, 0.05, 1, 3
 
 
 def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,33 +83,82 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows_of(_COUNT, hash=h.view(np.int64), cls=c, n=n)
 
 
-def vocabulary(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes of the chosen words, the symbol of each, counts by symbol), from all texts."""
-    counts = cut(arrow_map(texts, _count, "hash long, cls int, n long").groupBy("hash", "cls").agg(F.sum("n").alias("n")))
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(hash, cls, n) of each word of all texts."""
+    return cut(arrow_map(texts, _count, "hash long, cls int, n long").groupBy("hash", "cls").agg(F.sum("n").alias("n")))
+
+
+def words_for(tokens: int) -> int:
+    """Words that are symbols of their own in a corpus of so many tokens: the normalisers are a table of their square."""
+    return max(WORDS, round(GROWTH * tokens ** (1 / 3)))
+
+
+def _least(tally: list[tuple[int, int]], most: int) -> int:
+    """The least count such that at most ``most`` words are as frequent; tally: words by count."""
+    least, total = 1 << 62, 0
+    for n, k in sorted(tally, reverse=True):
+        total += k
+        if total > most:
+            break
+        least = n
+    return least
+
+
+def choose(counts: DataFrame, words: int | None = None, known: int = KNOWN) -> tuple[tuple, tuple, DataFrame | None]:
+    """(vocabulary, (sorted hashes, log-share in its class of each; log-share of an unseen word and log(1 / N), by class), counts
+    of the words outside both, or None if there are none)."""
+    totals = {r["cls"]: (r["n"], r["words"]) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    words = words_for(sum(n for n, _ in totals.values())) if words is None else words
     top = counts.orderBy(F.desc("n"), "hash").limit(words).collect()
-    by_class = {r["cls"]: r["n"] for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect()}
-    n = np.zeros(words + CLASSES)
+    n, size, kinds = np.zeros(words + CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
+    for c, (k, w) in totals.items():
+        size[c], kinds[c] = k, w
     for i, r in enumerate(top):
         n[i] = r["n"]
-        by_class[r["cls"]] -= r["n"]
-    for c, k in by_class.items():
-        n[words + c] = k
+        size[r["cls"]] -= r["n"]
+        kinds[r["cls"]] -= 1
+    n[words:] = size
     h = np.array([r["hash"] for r in top], np.int64).view(U)
     order = np.argsort(h)
-    return h[order], np.arange(len(h))[order], n
+    vocab = h[order], np.arange(len(h))[order], n
+
+    least = _least([(r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()], known)
+    some = counts.where(F.col("n") >= least).toArrow()
+    inverse = -np.log(np.maximum(size, 1))
+    unseen = np.where(size > 0, np.log(np.maximum(HELD_BACK * kinds, 1e-9) / (kinds + 1)) + inverse, 0.0)
+    hk, ck, nk = (some.column(x).to_numpy() for x in ("hash", "cls", "n"))
+    order = np.argsort(hk.view(U))
+    shares = hk.view(U)[order], (np.log(nk - HELD_BACK) + inverse[ck])[order], unseen, inverse
+    rest = sum(w for _, w in totals.values()) > len(hk)
+    return vocab, shares, counts.where(F.col("n") < least) if rest else None
+
+
+def vocabulary(texts: DataFrame, words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted hashes of the chosen words, the symbol of each, counts by symbol), from all texts."""
+    return choose(word_counts(texts), words)[0]
 
 
 def symbols(raw: np.ndarray, offs: np.ndarray, vocab: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(symbol of each word, offsets by text)."""
-    hashes, numbers, counts = vocab
     h, c, woff = _words(raw, offs)
+    return _numbered(h, c, vocab), woff
+
+
+def _numbered(h: np.ndarray, c: np.ndarray, vocab: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    hashes, numbers, counts = vocab
     out = c + len(counts) - CLASSES
-    if len(hashes) and len(h):
-        at = np.searchsorted(hashes, h)
-        at[at == len(hashes)] = 0
-        known = hashes[at] == h
-        out[known] = numbers[at[known]]
-    return out, woff
+    at, known = _found(h, hashes)
+    out[known] = numbers[at[known]]
+    return out
+
+
+def _found(h: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the sorted hashes, whether it is there) of each of h."""
+    if not len(hashes):
+        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    at = np.searchsorted(hashes, h)
+    at[at == len(hashes)] = 0
+    return at, hashes[at] == h
 
 
 def contexts(s: np.ndarray, woff: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -229,41 +287,75 @@ def tables(model: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def token_log_probs(raw: np.ndarray, offs: np.ndarray, vocab: tuple, made: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probability of each token, offsets by text)."""
-    one, two, norm = made
+    """(log-probability of each token's symbol, offsets by text)."""
     s, woff = symbols(raw, offs, vocab)
+    return _symbol_log_probs(s, woff, vocab, made), woff
+
+
+def _symbol_log_probs(s: np.ndarray, woff: np.ndarray, vocab: tuple, made: tuple) -> np.ndarray:
+    one, two, norm = made
     u, v = contexts(s, woff, len(vocab[2]))
-    return one[u, s] + two[v, s] - norm[u, v], woff
+    return one[u, s] + two[v, s] - norm[u, v]
+
+
+def word_log_probs(raw: np.ndarray, offs: np.ndarray, vocab: tuple, shares: tuple, made: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(log-probability of each token, offsets by text, places of the words outside shares, their hashes). Such a word counts as unseen."""
+    h, c, woff = _words(raw, offs)
+    s = _numbered(h, c, vocab)
+    lp = _symbol_log_probs(s, woff, vocab, made).astype(np.float64)
+    out = np.flatnonzero(s >= len(vocab[2]) - CLASSES)
+    at, known = _found(h[out], shares[0])
+    lp[out[known]] += shares[1][at[known]]
+    rare = out[~known]
+    lp[rare] += shares[2][c[rare]]
+    return lp, woff, rare, h[rare]
 
 
-_SCORE = pa.schema([("id", pa.int64()), ("tokens", pa.int64()), ("log_prob", pa.float64()), ("perplexity", pa.float64())])
+_PART = pa.schema([("row", pa.int64()), ("hash", pa.int64()), ("times", pa.int64()), ("id", pa.int64()), ("tokens", pa.int64()), ("log_prob", pa.float64())])
 
 
-def _score(state_of):
+def _score(state_of, with_rare: bool):
+    """A row for each text; with_rare: and one, of ``times`` > 0, for each word of it outside the shares."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, made = state_of.value
+        vocab, shares, made = state_of.value
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             raw, offs = texts_of(batch.column(1))
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for lo, hi in slices(offs):
-                lp, woff = token_log_probs(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], vocab, made)
-                n[lo:hi] = np.diff(woff)
-                total[lo:hi] = np.diff(np.concatenate(([0.0], np.cumsum(lp, dtype=np.float64)))[woff])
-            perplexity = np.exp(np.minimum(-total / np.maximum(n, 1), 700))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(np.round(total, 4)), pa.array(np.round(perplexity, 4), mask=n == 0)], schema=_SCORE)
+                lp, woff, rare, h = word_log_probs(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], vocab, shares, made)
+                total = np.diff(np.concatenate(([0.0], np.cumsum(lp)))[woff])
+                rows = np.arange(row, row + hi - lo)
+                row += hi - lo
+                # A text's own row has a hash of its number, so that these rows spread over the join's tasks.
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(mix(rows.astype(U)).view(np.int64)), pa.array(np.zeros(hi - lo, np.int64)), batch.column(0).slice(lo, hi - lo), pa.array(np.diff(woff)), pa.array(total)], schema=_PART)
+                if with_rare and len(rare):
+                    owner = np.searchsorted(woff, rare, "right") - 1
+                    order = np.lexsort((h, owner))
+                    h, owner = h[order], owner[order]
+                    first = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))))
+                    none = pa.nulls(len(first), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[owner[first]]), pa.array(h[first].view(np.int64)), pa.array(np.diff(np.append(first, len(h)))), none, none, pa.nulls(len(first), pa.float64())], schema=_PART)
 
     return run
 
 
-def score(docs: DataFrame, vocab: tuple, model: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, tokens, log_prob, perplexity) for each row of docs. No shuffle."""
+def score(docs: DataFrame, vocab: tuple, shares: tuple, rest: DataFrame | None, model: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, tokens, log_prob, perplexity) for each row of docs. Shuffles words of rest only."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    state_of = docs.sparkSession.sparkContext.broadcast((vocab, tables(model)))
-    return arrow_map(own, _score(state_of), "id long, tokens long, log_prob double, perplexity double").withColumnRenamed("id", id_col)
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, **parameters: object) -> DataFrame:
+    state_of = docs.sparkSession.sparkContext.broadcast((vocab, shares, tables(model)))
+    rows = arrow_map(own, _score(state_of, rest is not None), "row long, hash long, times long, id long, tokens long, log_prob double")
+    if rest is not None:
+        unseen, inverse = shares[2:]
+        more = F.element_at(F.lit((inverse - unseen).tolist()), F.col("cls") + 1)
+        gains = rest.select("hash", (F.log(F.col("n") - HELD_BACK) + more).alias("gain"))
+        rows = rows.join(gains, "hash", "left").groupBy("row").agg(F.max("id").alias("id"), F.max("tokens").alias("tokens"), F.sum(F.coalesce("log_prob", F.lit(0.0)) + F.col("times") * F.coalesce("gain", F.lit(0.0))).alias("log_prob"))
+    perplexity = F.when(F.col("tokens") > 0, F.round(F.exp(F.least(-F.col("log_prob") / F.col("tokens"), F.lit(700.0))), 4))
+    return rows.select(F.col("id").alias(id_col), "tokens", F.round("log_prob", 4).alias("log_prob"), perplexity.alias("perplexity"))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int | None = None, known: int = KNOWN, **parameters: object) -> DataFrame:
     """Trains on all texts of docs, then scores them."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    vocab = vocabulary(texts, words)
-    return score(docs, vocab, train(texts, vocab, **parameters), id_col, text_col)
+    vocab, shares, rest = choose(word_counts(texts), words, known)
+    return score(docs, vocab, shares, rest, train(texts, vocab, **parameters), id_col, text_col)

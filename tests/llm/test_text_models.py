@@ -113,6 +113,34 @@ def test_language_model_cases(spark):
     assert lbl_lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_words_of_a_class_have_their_own_probabilities(spark):
+    rows = [(1, "a b a b cat cat dog a"), (1, "a b a b cat cat dog a"), (2, "b a fox hen a b b b owl"), (3, None), (None, "a cat cat hen")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab, shares, rest = lbl_lm.choose(lbl_lm.word_counts(df.select("text")), words=2)
+    assert rest is None
+    model = lbl_lm.train(df.select("text"), vocab)
+    made = lbl_lm.tables(model)
+    lp = lambda *ts: lbl_lm.word_log_probs(*texts_of(pa.array(ts)), vocab, shares, made)[0]
+    seen = ["a", "b", "cat", "dog", "fox", "hen", "owl"]
+    kinds = np.bincount(lbl_lm._words(*texts_of(pa.array(seen[2:])))[1], minlength=64)
+    empty = np.flatnonzero(kinds == 0) + 2
+    total = np.exp(lp(*seen)).sum() + np.exp(made[0][66, empty] + made[1][66, empty] - made[2][66, 66]).sum()
+    classes = np.flatnonzero(kinds)
+    symbol = np.exp(made[0][66, classes + 2] + made[1][66, classes + 2] - made[2][66, 66])
+    assert np.isclose(total + (symbol * np.exp(shares[2][classes]) * (kinds[classes] + 1)).sum(), 1, atol=1e-4)
+    want = sorted((r.doc_id or 0, r.tokens, r.log_prob) for r in lbl_lm.lm_scores(df, words=2).collect())
+    # Words whose shares are joined on, some or all, count as those whose shares are broadcast.
+    for known in (0, 3):
+        got = sorted((r.doc_id or 0, r.tokens, r.log_prob) for r in lbl_lm.lm_scores(df, words=2, known=known).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-4)
+
+
+def test_symbols_grow_with_the_corpus():
+    assert lbl_lm.words_for(1000) == 960
+    assert lbl_lm.words_for(10**9) == 3000
+
+
 # ---------------------------------------------------------------- quality
 
 
