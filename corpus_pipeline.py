@@ -19,8 +19,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier rejects go."""
-    return drop_rejected(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    """Documents that the positive-unlabelled classifier rejects go, and toxic ones by their words."""
+    return drop_rejected(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxic_col="toxic"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,11 @@ a cut of a first scorer (positives against unlabelled), over cuts that leave thr
 The fit uses at most ``max_positives`` and ``max_unlabelled`` rows, those of least id hash; scoring covers all rows.
 A document is rejected if it scores ``margin`` below the smaller of 0 and the ``max_loss`` quantile of the positives.
 
+Toxic texts, if ``toxic_col`` names their label, are told by words; of good form they stay positives of the form scorer, whose
+score the words overrule. All labelled documents, whole, are counted by word; a word counts as a sign if its share of toxic documents is above theirs by a
+likelihood-ratio test, corrected for the number of words. A document is rejected too if the odds of toxic, by naive Bayes over its
+signs, are above 1; its score is then lowered below the cut. The labelled ids are broadcast (8 bytes each), never the texts moved.
+
 Cases: a null, empty or wordless text has a null score and is rejected. Without any positive, or with no unlabelled
 text, nothing can be learnt and every text with a word is kept at score 0. Rows are judged one by one;
 repeated rows repeat. Whole texts count, however long. Other columns are ignored or passed through.
@@ -26,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import arrow_map, fold, rows_of, slices, texts_of, word_hashes, word_spans
+from setloom.llm.common import arrow_map, cut, fold, rows_of, slices, texts_of, word_hashes, word_spans
 
+#: What the test of a sign must pass besides twice the log of the number of words: 10 is the 0.0016 quantile of chi-square.
+SIGN = 10.0
 MAX_POSITIVES, MAX_UNLABELLED, MAX_LOSS, MARGIN, HIDDEN, STEPS, SEED = 8000, 16000, 0.001, 1.5, 16, 1500, 11
 
 _KINDS = ["small", "capital", "digit", "blank", "line", "stop", "mark", "sign", "other"]
@@ -47,6 +54,11 @@ N_FEATURES = 20
 
 def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(form features, words) of each text."""
+    return _features(raw, offs)[:2]
+
+
+def _features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(form features, words of each text; hash and text of each different word of a text)."""
     n = len(offs) - 1
     size = np.diff(offs)
     kind = np.bincount(np.repeat(np.arange(n) * 9, size) + _KIND[raw], minlength=9 * n).reshape(n, 9)
@@ -80,7 +92,7 @@ def features(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         per(caps), per(loud), per(glued),
         np.sqrt(share[:, 6]), np.sqrt(share[:, 7]), np.log1p(words) / 10,
     ])
-    return out.astype(np.float32), words
+    return out.astype(np.float32), words, s[new], o[new]
 
 
 def _forward(w: tuple, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,16 +147,96 @@ def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, max_loss:
     pos, unl = (np.clip((a - mean) / scale, -8, 8) for a in (pos, unl))
     prior = estimate_prior(pos, unl, steps, hidden, seed) if prior is None else prior
     w = _fit(pos, unl, prior, steps, hidden, seed + 1)
-    cut = min(0.0, float(np.quantile(_forward(w, pos)[1], max_loss))) - margin
-    return {"mean": mean, "scale": scale, "w": w, "cut": cut, "prior": prior}
+    cut_at = min(0.0, float(np.quantile(_forward(w, pos)[1], max_loss))) - margin
+    return {"mean": mean, "scale": scale, "w": w, "cut": cut_at, "prior": prior}
 
 
 def scores(model: dict | None, x: np.ndarray) -> np.ndarray:
-    if model is None:
+    if model is None or "w" not in model:
         return np.zeros(len(x))
     return _forward(model["w"], np.clip((x - model["mean"]) / model["scale"], -8, 8))[1]
 
 
+_COUNT = pa.schema([("hash", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
+
+
+def _merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, t, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], np.add.reduceat(t[order], first), np.add.reduceat(c[order], first)
+
+
+def _count(labelled_of):
+    """Toxic and clean documents by word, of a task's labelled rows; hash 0 has all that have a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, toxic = labelled_of.value
+        parts: list = []
+        held = 0
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            mine = ids[at] == own
+            flags = toxic[at[mine]]
+            raw, offs = texts_of(batch.filter(pa.array(mine)).column(1))
+            for lo, hi in slices(offs):
+                words, h, owner = _features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])[1:]
+                if not len(h):
+                    continue
+                some = flags[lo:hi][words > 0]
+                t = np.append(flags[lo:hi][owner], some).astype(np.int64)
+                parts.append(_merge([(np.append(h.view(np.int64), np.zeros(len(some), np.int64)), t, 1 - t)]))
+                held += len(parts[-1][0])
+                if held > 1_500_000:
+                    parts = [_merge(parts)]
+                    held = len(parts[0][0])
+                    if held > 1_000_000:
+                        yield rows_of(_COUNT, **dict(zip(("hash", "toxic", "clean"), parts[0])))
+                        parts, held = [], 0
+        if parts:
+            yield rows_of(_COUNT, **dict(zip(("hash", "toxic", "clean"), _merge(parts))))
+
+    return run
+
+
+def toxic_signs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> dict | None:
+    """The signs of toxic documents: sorted hashes, the log-odds each adds, the log-odds before any; None if there are none."""
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    flags = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(toxic_col) == 1).cast("int").alias("toxic")).where("id is not null and toxic is not null")
+    said = flags.groupBy("id").agg(F.max("toxic").alias("toxic")).toArrow()
+    ids, toxic = said.column("id").to_numpy(), said.column("toxic").to_numpy()
+    if not toxic.any() or toxic.all():
+        return None
+    order = np.argsort(ids)
+    labelled_of = docs.sparkSession.sparkContext.broadcast((ids[order], toxic[order].astype(np.int8)))
+    counts = arrow_map(own, _count(labelled_of), "hash long, toxic long, clean long").groupBy("hash").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = cut(counts.where("toxic > 0 or hash = 0"))
+    all_of = counts.where("hash = 0").first()
+    if all_of is None or not all_of["toxic"] or not all_of["clean"]:
+        return None
+    n_toxic, n_clean = all_of["toxic"], all_of["clean"]
+    share, t, c = n_toxic / (n_toxic + n_clean), F.col("toxic"), F.col("clean")
+    part = lambda k, p: F.when(k > 0, k * F.log(k / ((t + c) * p))).otherwise(0.0)
+    passes = 2 * (part(t, share) + part(c, 1 - share)) > 2 * float(np.log(counts.count())) + SIGN
+    signs = counts.where("hash <> 0").where((t / (t + c) > share) & passes).toArrow()
+    if not signs.num_rows:
+        return None
+    h, t, c = (signs.column(k).to_numpy() for k in ("hash", "toxic", "clean"))
+    order = np.argsort(h)
+    gain = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1))
+    return {"hash": h[order], "gain": gain[order], "before": float(np.log(n_toxic / n_clean))}
+
+
+def _toxic_odds(signs: dict, h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Log-odds of toxic of each of n texts, from the different words of each."""
+    h = h.view(np.int64)
+    at = np.minimum(np.searchsorted(signs["hash"], h), len(signs["hash"]) - 1)
+    found = signs["hash"][at] == h
+    return signs["before"] + np.bincount(owner[found], weights=signs["gain"][at[found]], minlength=n)
+
+
 _ROW = pa.schema([("id", pa.int64()), ("x", pa.binary())])
 
 
@@ -157,8 +249,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows_of(_ROW, id=batch.column(0).slice(lo, hi - lo).take(pa.array(at)).to_pylist(), x=[x[i].tobytes() for i in at])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", *, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, **parameters: object) -> dict | None:
-    """Fits on a bounded sample: the positives and the other ids of least hash."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str | None = None, *, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, **parameters: object) -> dict | None:
+    """Fits on a bounded sample: the positives and the other ids of least hash. toxic_col: also learns the signs of toxic documents, from all labels."""
+    signs = toxic_signs(docs, labels, id_col, text_col, toxic_col) if toxic_col else None
+    model = _train_form(docs, labels, id_col, text_col, quality_col, max_positives, max_unlabelled, parameters)
+    if signs:
+        model = (model or {"cut": 0.0}) | {"toxic": signs}
+    return model
+
+
+def _train_form(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, max_positives: int, max_unlabelled: int, parameters: dict) -> dict | None:
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("id")).distinct()
     ids = own.select("id").join(good.withColumn("good", F.lit(True)), "id", "left")
@@ -183,9 +283,12 @@ def _judge(raw: np.ndarray, offs: np.ndarray, model: dict | None) -> tuple[np.nd
     n = len(offs) - 1
     score, some = np.zeros(n), np.zeros(n, bool)
     for lo, hi in slices(offs):
-        x, words = features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        x, words, h, owner = _features(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         score[lo:hi] = scores(model, x)
         some[lo:hi] = words > 0
+        if model and "toxic" in model:
+            odds = _toxic_odds(model["toxic"], h, owner, hi - lo)
+            score[lo:hi] = np.where(odds > 0, np.minimum(score[lo:hi], model["cut"] - odds), score[lo:hi])
     return score, some & (score >= (model["cut"] if model else 0.0)), some
 
 

@@ -47,7 +47,7 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score_quality(docs, train(docs, table(spark, sf_dir, "labels")))
+    return score_quality(docs, train(docs, table(spark, sf_dir, "labels"), toxic_col="toxic"))
 
 
 def op7_token_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,3 +190,19 @@ def test_quality_cases(spark):
     assert all(r.keep for r in quality_pu.score_quality(docs, None).collect() if r.score is not None)
     assert quality_pu.train(docs.limit(0), labels) is None
     assert quality_pu.score_quality(docs.limit(0), None).count() == 0
+
+
+def test_toxic_documents_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    model = quality_pu.train(docs, labels.where("doc_id % 2 = 0"), toxic_col="toxic")
+    got = quality_pu.score_quality(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").join(docs.select("doc_id", "text"), "doc_id").collect()
+    insults = {"trash", "pathetic", "idiot", "worthless", "disgusting", "stupid", "clown", "scum", "loser", "moron"}
+    toxic = [r for r in got if r.toxic == 1]
+    told = [r for r in toxic if insults & set(re.findall(r"\w+", r.text.lower()))]
+    clean = [r for r in got if r.toxic == 0 and r.quality == 1]
+    junk = [r for r in got if r.quality == 0]
+    assert sum(not r.keep for r in told) >= 0.98 * len(told)
+    assert sum(not r.keep for r in toxic) >= 0.55 * len(toxic)
+    assert sum(r.keep for r in clean) >= 0.98 * len(clean)
+    assert sum(not r.keep for r in junk) >= 0.9 * len(junk)
