@@ -136,6 +136,16 @@ def test_words_of_a_class_have_their_own_probabilities(spark):
         assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-4)
 
 
+def test_production_training_over_partitions_beats_frequencies(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    seen = docs.where("doc_id % 10 <> 1").select("text").repartition(8)
+    raw, offs = texts_of(pa.array([r.text for r in docs.where("doc_id % 10 = 1").select("text").collect()]))
+    vocab = lbl_lm.vocabulary(seen)
+    share = np.log((vocab[2] + 0.5) / (vocab[2] + 0.5).sum())
+    ours = lbl_lm.token_log_probs(raw, offs, vocab, lbl_lm.tables(lbl_lm.train(seen, vocab)))[0]
+    assert ours.mean() > share[lbl_lm.symbols(raw, offs, vocab)[0]].mean() + 0.1
+
+
 def test_symbols_grow_with_the_corpus():
     assert lbl_lm.words_for(1000) == 960
     assert lbl_lm.words_for(10**9) == 3000
