@@ -1,16 +1,22 @@
 """Nearest neighbours by robust-pruned directed graphs, one a shard.
 
-Each shard's vectors form a graph: starting from random links, every vector is searched for greedily from the shard's medoid;
-what the search saw are candidate neighbours, of which relaxed pruning keeps the closest and drops those that a kept one is
-``alpha`` times closer to, so that links go in all directions. Links are returned, and lists that grow too long pruned.
-A query is every vector of the table: a beam search in every shard, all searches of a chunk in step, then the best k.
+Vectors go to shards of about ``shard_rows`` by id hash, and each shard's vectors form a graph: starting from random links, every
+vector is searched for greedily from the shard's medoid; what the search saw are candidate neighbours, of which relaxed pruning
+keeps the closest and drops those that a kept one is ``alpha`` times closer to, so that links go in all directions. Links are
+returned, and lists that grow too long pruned. Pruning looks at the ``max(4 * degree, 64)`` nearest candidates, as it keeps
+``degree`` at most. Every vector is in a graph.
+
+Queries are the vectors whose id is divisible by ``query_every`` (1: all), against all vectors: a beam search in every
+shard, all searches of a chunk in step, then the best k. Queries are broadcast in blocks of at most ``block_bytes`` on average, the
+graphs stream past each block, and a task sends on only the best k of all the shards it saw. Work is linear in
+the vectors for building, and queries times shards for searching.
 
 Distances are Euclidean. Equal vectors of a shard are one vertex with several ids, so that copies neither crowd out links
 nor part the graph. A vector is not its own neighbour; its copies are.
 
 Cases: a null id or vector, a vector with a null or non-finite element, or of another length than most (the shorter of
 equally frequent lengths) is left out. Rows that repeat an id count once, the one of least hash. Ties in
-distance go to the lower id. A table of fewer than k + 1 vectors gives each all others. Other columns are ignored.
+distance go to the lower id. A table of fewer than k + 1 vectors gives each query all others. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +31,9 @@ from pyspark.sql import functions as F
 
 from setloom.llm.common import arrow_map, cut
 
-K, SHARD_ROWS, DEGREE, BEAM, ALPHA, WIDTH, CHUNK, SEED = 10, 8192, 24, 64, 1.2, 3, 256, 5
+K, QUERY_EVERY, SHARD_ROWS, DEGREE, BEAM, ALPHA, WIDTH, CHUNK, SEED = 10, 100, 16384, 32, 128, 1.2, 3, 256, 5
+#: The beam of the searches that build the graph, and bytes of query vectors that are broadcast at once.
+BUILD_BEAM, BLOCK_BYTES = 64, 32 << 20
 
 
 def search(x: np.ndarray, norm: np.ndarray, links: np.ndarray, entry: int, q: np.ndarray, beam: int, width: int = WIDTH, seen_too: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +110,7 @@ def prune(x: np.ndarray, norm: np.ndarray, cand: np.ndarray, dist: np.ndarray, d
     return out
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = SEED) -> tuple[np.ndarray, int]:
+def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = SEED) -> tuple[np.ndarray, int]:
     """(links by vertex, -1 where fewer; the entry vertex) of distinct vectors."""
     n = len(x)
     norm = (x * x).sum(1)
@@ -112,48 +120,46 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float =
     if n > 1:
         links[:, : min(degree, n - 1)] = (np.arange(n)[:, None] + 1 + g.integers(0, n - 1, (n, min(degree, n - 1)))) % n
     entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    for a in (1.0, alpha):
-        for batch in np.array_split(g.permutation(n), max(1, n // CHUNK)):
-            cand, dist = search(x, norm, links, entry, x[batch], beam, seen_too=True)
-            own = links[batch]
-            far = norm[np.maximum(own, 0)] + norm[batch][:, None] - 2 * np.matmul(x[np.maximum(own, 0)], x[batch][:, :, None])[:, :, 0]
-            cand, dist = np.concatenate((cand, own), 1), np.concatenate((dist, np.where(own >= 0, far, np.inf)), 1)
-            dist = np.where(cand == batch[:, None], np.inf, dist)
-            kept = prune(x, norm, cand, dist, degree, a)
-            links[batch] = -1
-            links[batch, :degree] = kept
-            src, dst = np.repeat(batch, degree), kept.ravel()
-            src, dst = src[dst >= 0], dst[dst >= 0]
-            new = ~(links[dst] == src[:, None]).any(1)
-            src, dst = src[new], dst[new]
-            order = np.argsort(dst, kind="stable")
-            src, dst = src[order], dst[order]
-            if not len(dst):
-                continue
-            first = np.flatnonzero(np.concatenate(([True], dst[1:] != dst[:-1])))
-            to, count = dst[first], np.diff(np.append(first, len(dst)))
-            used = (links[to] >= 0).sum(1)
-            links[to] = np.take_along_axis(links[to], np.argsort(links[to] < 0, axis=1, kind="stable"), 1)
-            fits = used + count <= room
-            spot = np.repeat(used, count) + np.arange(len(dst)) - np.repeat(first, count)
-            easy = np.repeat(fits, count)
-            links[dst[easy], spot[easy]] = src[easy]
-            over = np.flatnonzero(~fits)
-            if len(over):
-                wide = int(count[over].max())
-                more = np.full((len(over), wide), -1)
-                for i, o in enumerate(over.tolist()):
-                    more[i, : count[o]] = src[first[o] : first[o] + count[o]]
-                cand = np.concatenate((links[to[over]], more), 1)
-                p = x[to[over]]
-                dist = norm[np.maximum(cand, 0)] + norm[to[over]][:, None] - 2 * np.matmul(x[np.maximum(cand, 0)], p[:, :, None])[:, :, 0]
-                links[to[over]] = -1
-                links[to[over], :degree] = prune(x, norm, cand, np.where(cand >= 0, dist, np.inf), degree, a)
+    for batch in np.array_split(g.permutation(n), max(1, n // CHUNK)):
+        cand, dist = search(x, norm, links, entry, x[batch], beam, seen_too=True)
+        own = links[batch]
+        far = norm[np.maximum(own, 0)] + norm[batch][:, None] - 2 * np.matmul(x[np.maximum(own, 0)], x[batch][:, :, None])[:, :, 0]
+        cand, dist = np.concatenate((cand, own), 1), np.concatenate((dist, np.where(own >= 0, far, np.inf)), 1)
+        dist = np.where(cand == batch[:, None], np.inf, dist)
+        kept = prune(x, norm, cand, dist, degree, alpha)
+        links[batch] = -1
+        links[batch, :degree] = kept
+        src, dst = np.repeat(batch, degree), kept.ravel()
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        new = ~(links[dst] == src[:, None]).any(1)
+        src, dst = src[new], dst[new]
+        order = np.argsort(dst, kind="stable")
+        src, dst = src[order], dst[order]
+        if not len(dst):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], dst[1:] != dst[:-1])))
+        to, count = dst[first], np.diff(np.append(first, len(dst)))
+        used = (links[to] >= 0).sum(1)
+        links[to] = np.take_along_axis(links[to], np.argsort(links[to] < 0, axis=1, kind="stable"), 1)
+        fits = used + count <= room
+        spot = np.repeat(used, count) + np.arange(len(dst)) - np.repeat(first, count)
+        easy = np.repeat(fits, count)
+        links[dst[easy], spot[easy]] = src[easy]
+        over = np.flatnonzero(~fits)
+        if len(over):
+            wide = int(count[over].max())
+            more = np.full((len(over), wide), -1)
+            for i, o in enumerate(over.tolist()):
+                more[i, : count[o]] = src[first[o] : first[o] + count[o]]
+            cand = np.concatenate((links[to[over]], more), 1)
+            p = x[to[over]]
+            dist = norm[np.maximum(cand, 0)] + norm[to[over]][:, None] - 2 * np.matmul(x[np.maximum(cand, 0)], p[:, :, None])[:, :, 0]
+            links[to[over]] = -1
+            links[to[over], :degree] = prune(x, norm, cand, np.where(cand >= 0, dist, np.inf), degree, alpha)
     return links, entry
 
 
 _GRAPH = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("entry", pa.int32()), ("ids", pa.binary()), ("first", pa.binary()), ("x", pa.binary()), ("links", pa.binary())])
-_CHUNK = pa.schema([("qids", pa.binary()), ("q", pa.binary())])
 _NEAR = pa.schema([("id", pa.int64()), ("neighbour", pa.int64()), ("distance", pa.float64())])
 
 
@@ -178,68 +184,83 @@ def _build(dim: int, degree: int, beam: int, alpha: float, seed: int):
     return run
 
 
-def _chunks(dim: int, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, size):
-                part = batch.slice(lo, size)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy(zero_copy_only=False).tobytes()]), pa.array([_matrix(part.column(1), dim).tobytes()])], schema=_CHUNK)
+Best = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    return run
+
+def best(found: Best, k: int) -> Best:
+    """Of (query, neighbour, distance) rows, the k nearest of each query, ties to the lower id."""
+    who, near, dist = found
+    order = np.lexsort((near, dist, who))
+    who = who[order]
+    kept = order[np.arange(len(who)) - np.searchsorted(who, who) < k]
+    return found[0][kept], near[kept], dist[kept]
+
+
+def search_shard(x: np.ndarray, links: np.ndarray, entry: int, ids: np.ndarray, first: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, beam: int) -> Iterator[Best]:
+    """(place of the query, neighbour, distance) rows of each chunk of queries; ids of vertex i are ids[first[i]:first[i + 1]]."""
+    norm = (x * x).sum(1)
+    for lo in range(0, len(q), CHUNK):
+        at, dist = search(x, norm, links, entry, q[lo : lo + CHUNK], max(beam, k + 1))
+        at, dist = at[:, : max(2 * k, k + 1)], dist[:, : max(2 * k, k + 1)]
+        who, col = np.nonzero(at >= 0)
+        vertex = at[who, col]
+        n = np.minimum(first[vertex + 1] - first[vertex], k + 1)
+        post = np.repeat(first[vertex], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        who, near, vertex = np.repeat(who, n) + lo, ids[post], np.repeat(vertex, n)
+        other = near != qids[who]
+        who, near, vertex = who[other], near[other], vertex[other]
+        exact = np.round(np.sqrt(((x[vertex].astype(np.float64) - q[who]) ** 2).sum(1)), 6)
+        yield best((who, near, exact), k)
 
 
-def _query(k: int, beam: int):
+def _query(queries_of, dim: int, k: int, beam: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph = None, None
+        qids, raw = queries_of.value
+        q = np.frombuffer(raw, np.float32).reshape(-1, dim)
+        held: Best | None = None
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                dim = row["dim"].as_py()
-                if row["shard"].as_py() != last:
-                    last = row["shard"].as_py()
-                    x = np.frombuffer(row["x"].as_buffer(), np.float32).reshape(-1, dim)
-                    graph = x, (x * x).sum(1), np.frombuffer(row["links"].as_buffer(), np.int32).reshape(len(x), -1), row["entry"].as_py(), np.frombuffer(row["ids"].as_buffer(), np.int64), np.frombuffer(row["first"].as_buffer(), np.int64)
-                x, norm, links, entry, ids, first = graph
-                qids = np.frombuffer(row["qids"].as_buffer(), np.int64)
-                q = np.frombuffer(row["q"].as_buffer(), np.float32).reshape(-1, dim)
-                for lo in range(0, len(q), CHUNK):
-                    found, dist = search(x, norm, links, entry, q[lo : lo + CHUNK], max(beam, k + 1))
-                    found, dist = found[:, : max(2 * k, k + 1)], dist[:, : max(2 * k, k + 1)]
-                    who, at = np.nonzero(found >= 0)
-                    vertex = found[who, at]
-                    n = np.minimum(first[vertex + 1] - first[vertex], k + 1)
-                    post = np.repeat(first[vertex], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                    who, near = np.repeat(who, n), ids[post]
-                    exact = np.sqrt(((x[np.repeat(vertex, n)].astype(np.float64) - q[lo + who]) ** 2).sum(1))
-                    mine = qids[lo + who]
-                    other = near != mine
-                    who, near, exact, mine = who[other], near[other], np.round(exact[other], 6), mine[other]
-                    order = np.lexsort((near, exact, who))
-                    who = who[order]
-                    start = np.searchsorted(who, who)
-                    best = order[np.arange(len(who)) - start < k]
-                    yield pa.RecordBatch.from_arrays([pa.array(mine[best]), pa.array(near[best]), pa.array(exact[best])], schema=_NEAR)
+                array = lambda name, kind, row=row: np.frombuffer(row[name].as_buffer(), kind)
+                x = array("x", np.float32).reshape(-1, dim)
+                parts = list(search_shard(x, array("links", np.int32).reshape(len(x), -1), row["entry"].as_py(), array("ids", np.int64), array("first", np.int64), qids, q, k, beam))
+                parts += [held] if held is not None else []
+                if parts:
+                    held = best(tuple(np.concatenate([p[c] for p in parts]) for c in range(3)), k)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(qids[held[0]]), pa.array(held[1]), pa.array(held[2])], schema=_NEAR)
 
     return run
 
 
-def neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = K, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
-    """(id_col, neighbour, rank, distance): the k nearest others of every vector, rank from 1."""
+def neighbours(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", *, k: int = K, query_every: int = QUERY_EVERY, shard_rows: int = SHARD_ROWS, degree: int = DEGREE, beam: int = BEAM, build_beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = SEED, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id_col, neighbour, rank, distance): the k nearest others of every query vector, rank from 1."""
     own = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null")
     sound = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     own = own.where(sound & (F.size("v") > 0))
     sizes = own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     spark = table.sparkSession
-    schema = f"{id_col} long, neighbour long, rank int, distance double"
     if not sizes:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{id_col} long, neighbour long, rank int, distance double")
     dim, n = sizes[0]["dim"], sizes[0]["n"]
-    least = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("v")))
-    own = cut(own.where(F.size("v") == dim).withColumn("_r", least).where("_r = 1").select("id", "v"))
     n_shards = max(1, math.ceil(n / shard_rows))
-    sharded = own.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_shards)))
-    graphs = cut(sharded.repartition(n_shards, "shard").groupBy("shard").applyInArrow(_build(dim, degree, beam, alpha, seed), "shard long, dim int, entry int, ids binary, first binary, x binary, links binary"))
-    chunks = cut(arrow_map(own, _chunks(dim, 4 * CHUNK), "qids binary, q binary"))
-    found = arrow_map(graphs.crossJoin(chunks), _query(k, beam), "id long, neighbour long, distance double")
+    own = own.where(F.size("v") == dim).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n_shards)))
+    least = F.row_number().over(Window.partitionBy("shard", "id").orderBy(F.xxhash64("v"), F.hash("v")))
+    once = lambda rows: rows.withColumn("_r", least).where("_r = 1").select("shard", "id", "v")
+    # Rows of an id are of one shard, so that one shuffle serves both the choice of a row and the graphs.
+    graphs = once(own.repartitionByRange(n_shards, "shard")).groupBy("shard").applyInArrow(_build(dim, degree, build_beam, alpha, seed), "shard long, dim int, entry int, ids binary, first binary, x binary, links binary")
+    graphs = cut(graphs)
+    asked = cut(once(own.where(F.pmod("id", F.lit(query_every)) == 0)))
+    blocks = max(1, math.ceil(asked.count() * (4 * dim + 8) / block_bytes))
+    found = None
+    for i in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(blocks)) == i).select("id", "v").toArrow()
+        if not rows.num_rows:
+            continue
+        queries_of = spark.sparkContext.broadcast((rows.column("id").to_numpy(), _matrix(rows.column("v"), dim).tobytes()))
+        one = arrow_map(graphs, _query(queries_of, dim, k, beam), "id long, neighbour long, distance double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        return spark.createDataFrame([], f"{id_col} long, neighbour long, rank int, distance double")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("id").alias(id_col), "neighbour", "rank", "distance")

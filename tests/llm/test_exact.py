@@ -108,20 +108,38 @@ def vectors(n, d=24, seed=0):
     return (centre[g.integers(0, 10, n)] + g.normal(0, 0.8, (n, d))).astype(np.float32)
 
 
-def test_recall_against_brute_force(spark):
-    x = vectors(3000)
+def recall(got, x, ids):
+    d = ((x[ids].astype(np.float64)[:, None, :] - x[None]) ** 2).sum(-1) ** 0.5
+    d[np.arange(len(ids)), ids] = np.inf
+    best = np.argsort(d, axis=1)[:, :10]
+    for at, i in enumerate(ids):
+        assert [k for k, _, _ in sorted(got[i])] == list(range(1, 11))
+        assert all(abs(d[at, n] - dist) < 1e-4 for _, n, dist in got[i])
+    return np.mean([len({n for _, n, _ in got[i]} & set(best[at].tolist())) / 10 for at, i in enumerate(ids)])
+
+
+@pytest.mark.parametrize(("n", "d", "options"), [(3000, 24, {"shard_rows": 800, "query_every": 1}), (18000, 32, {}), (18000, 32, {"block_bytes": 4000})])
+def test_recall_against_brute_force(spark, n, d, options):
+    x = vectors(n, d)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
     got = {}
-    for r in graph_ann.neighbours(df, shard_rows=800).collect():
+    for r in graph_ann.neighbours(df, **options).collect():
         got.setdefault(r.vec_id, []).append((r["rank"], r.neighbour, r.distance))
-    assert len(got) == 3000
-    d = ((x[:, None, :].astype(np.float64) - x[None]) ** 2).sum(-1) ** 0.5
-    np.fill_diagonal(d, np.inf)
-    best = np.argsort(d, axis=1)[:, :10]
-    assert np.mean([len({n for _, n, _ in got[i]} & set(best[i].tolist())) / 10 for i in range(3000)]) >= 0.9
-    for i in range(0, 3000, 97):
-        assert [k for k, _, _ in sorted(got[i])] == list(range(1, 11))
-        assert all(abs(d[i, n] - dist) < 1e-4 for _, n, dist in got[i])
+    ids = np.arange(0, n, options.get("query_every", 100))
+    assert set(got) == set(ids.tolist())
+    assert recall(got, x, ids[:: max(1, len(ids) // 400)].tolist()) >= 0.9
+
+
+def test_recall_on_the_embeddings_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = sorted(df.collect(), key=lambda r: r.vec_id)
+    at = {r.vec_id: i for i, r in enumerate(rows)}
+    got = {}
+    for r in graph_ann.neighbours(df).collect():
+        got.setdefault(at[r.vec_id], []).append((r["rank"], at[r.neighbour], r.distance))
+    asked = [at[r.vec_id] for r in rows if r.vec_id % 100 == 0]
+    assert sorted(got) == asked
+    assert recall(got, np.array([r.embedding for r in rows], np.float32), asked) >= 0.9
 
 
 def test_neighbour_cases(spark):
@@ -129,14 +147,16 @@ def test_neighbour_cases(spark):
     rows = [(i, same) for i in range(30)] + [(40, [1.0, 0.0]), (40, [1.0, 0.0]), (41, None), (None, same), (42, [1.0]), (43, [float("nan"), 1.0]), (44, [1.0, None])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS id", "2 AS v", "3 AS shard", "4 AS rank")
     got = {}
-    for r in graph_ann.neighbours(df, k=3).collect():
+    for r in graph_ann.neighbours(df, k=3, query_every=1).collect():
         got.setdefault(r.vec_id, []).append((r["rank"], r.neighbour, r.distance))
     assert set(got) == {*range(30), 40}
     assert sorted(got[0]) == [(1, 1, 0.0), (2, 2, 0.0), (3, 3, 0.0)]
     assert sorted(got[2]) == [(1, 0, 0.0), (2, 1, 0.0), (3, 3, 0.0)]
     assert [n for _, n, _ in sorted(got[40])] == [0, 1, 2]
-    few = graph_ann.neighbours(df.where("vec_id in (1, 40)"), k=3).collect()
+    few = graph_ann.neighbours(df.where("vec_id in (1, 40)"), k=3, query_every=1).collect()
     assert {(r.vec_id, r.neighbour) for r in few} == {(1, 40), (40, 1)}
+    assert {r.vec_id for r in graph_ann.neighbours(df, k=3, query_every=20).collect()} == {0, 20, 40}
+    assert graph_ann.neighbours(df.where("vec_id = 1")).count() == 0
     assert graph_ann.neighbours(df.limit(0)).count() == 0
 
 
