@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,6 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the checkpoint folder, which all executors share."""
+    cut(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, folder: str) -> DataFrame:
+    """df, written to a folder as Parquet and read again."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def semi(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     """Rows of df whose key is among ids: by broadcast up to BROADCAST_IDS ids, else by a shuffled semi-join."""
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_semi")
@@ -85,13 +98,13 @@ def slices(offs: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         lo = hi
 
 
-def add_vectors(parts: DataFrame, kind: str, tasks: int) -> dict[int, tuple[float, np.ndarray]]:
-    """{piece: (sum of n, sum of vectors)} of rows (piece int, n long, vector binary) that ``tasks`` tasks sent.
+def add_vectors(parts: DataFrame, kind: str, tasks: int) -> dict[object, tuple[float, np.ndarray]]:
+    """{piece: (sum of n, sum of vectors)} of rows (piece, n long, vector binary) that ``tasks`` tasks sent.
 
     Sums go in two steps of about the square root of the tasks' number, so that no task holds all of a piece's vectors.
     """
     first, second = np.dtype(kind), np.dtype(np.int64 if np.dtype(kind).kind == "i" else np.float64)
-    schema = "piece int, n long, vector binary"
+    schema = f"piece {dict(parts.dtypes)['piece']}, n long, vector binary"
 
     def add(dtype: np.dtype) -> Callable[[pa.Table], pa.Table]:
         def run(table: pa.Table) -> pa.Table:
@@ -99,7 +112,7 @@ def add_vectors(parts: DataFrame, kind: str, tasks: int) -> dict[int, tuple[floa
             for v in table.column("vector"):
                 one = np.frombuffer(v.as_buffer(), dtype).astype(second)
                 total = one if total is None else total + one
-            return pa.table({"piece": pa.array([table.column("piece")[0].as_py()], pa.int32()), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "vector": pa.array([total.tobytes()], pa.binary())})
+            return pa.table({"piece": table.column("piece").slice(0, 1).combine_chunks(), "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "vector": pa.array([total.tobytes()], pa.binary())})
 
         return run
 

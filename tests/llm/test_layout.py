@@ -76,64 +76,110 @@ def test_shard_cases(spark):
 # ---------------------------------------------------------------- mixing
 
 
-def test_raked_marginals_and_budget(spark):
-    df, rows = frame(spark, 600)
-    want = {"en": 0.4, "de": 0.35, "fr": 0.25}
-    got = mixing.mixed(df, langs=want, keep=0.3).collect()
+def brute_probabilities(rows, targets, keep):
+    """Plain proportional fitting under the bound of 1, a value at a time, by bisection."""
+    cells = defaultdict(float)
+    for r in rows:
+        if r.tokens:
+            cells[r.source, r.lang, r.topic] += r.tokens
+    factor = [defaultdict(lambda: 1.0) for _ in range(3)]
+    of = lambda c: factor[0][c[0]] * factor[1][c[1]] * factor[2][c[2]]
+    for _ in range(60):
+        for d in range(3):
+            for v, goal in targets[d].items():
+                own = [(c, t) for c, t in cells.items() if c[d] == v]
+                rest = [(of(c) / factor[d][v], t) for c, t in own]
+                low, high = 0.0, 1e6
+                for _ in range(45):
+                    mid = (low + high) / 2
+                    low, high = (mid, high) if sum(t * min(1, w * mid) for w, t in rest) < goal * (1 - 1e-12) else (low, mid)
+                factor[d][v] = high
+    return {c: min(1, of(c)) for c in cells}
+
+
+def test_probabilities_are_those_of_brute_force(spark):
+    df, _ = frame(spark, 600)
+    want = {"en": 0.5, "de": 0.3, "fr": 0.2}
+    options = {"langs": want, "keep": 0.3, "topics": 3}
+    got = mixing.mixed(df, **options).collect()
     total = sum(r.tokens for r in got)
-    assert abs(sum(r.tokens * r.probability for r in got) - 0.3 * total) < 0.01 * total
-    if max(r.probability for r in got) < 1:
-        for lang, share in want.items():
-            assert abs(sum(r.tokens * r.probability for r in got if r.lang == lang) / (0.3 * total) - share) < 0.01
+    targets = [{}, {}, {}]
+    for r in mixing.marginals(df, **options).collect():
+        targets[mixing.DIMENSIONS.index(r.dimension)][r.value] = r.target * 0.3 * total
+    for v, share in want.items():
+        assert np.isclose(targets[1][v], share * 0.3 * total)
+    brute = brute_probabilities(got, targets, 0.3)
+    assert all(abs(r.probability - brute[r.source, r.lang, r.topic]) < 1e-3 for r in got)
     for r in got:
         u = int(hashlib.md5(f"{r.doc_id}:mix".encode()).hexdigest()[:13], 16) / 2**52
         assert abs(u - r.probability) < 1e-5 or r.selected == (u < r.probability)
-    kept = mixing.draw_documents(df, langs=want, keep=0.3)
+    kept = mixing.draw_documents(df, **options)
     assert kept.columns == df.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.selected}
 
 
-def test_topics_are_majorities(spark):
-    df, rows = frame(spark, 50)
-    got = {r.doc_id: r for r in mixing.mixed(df).collect()}
-    fields = defaultdict(set)
-    for i, text, *_ in rows:
-        long = [w for w in text.split() if len(w) >= 5]
-        assert got[i].tokens == len(text.split())
-        assert (got[i].topic == -1) == (not long)
-        if len(set(long)) == 1:
-            fields[long[0]].add(got[i].topic)
-    assert all(len(f) == 1 for f in fields.values())
-
-
-def test_rake_meets_targets_and_spark_agrees(spark):
-    g = np.random.default_rng(2)
-    codes = np.array([(a, b, c) for a in range(4) for b in range(3) for c in range(2)])
-    tokens = g.integers(1, 100, len(codes)).astype(float)
-    targets = [np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.5, 0.3, 0.2]), np.array([0.6, 0.4])]
-    w = mixing.rake(codes, tokens, targets, 200, 1e-12)
-    for d, t in enumerate(targets):
-        assert np.allclose(np.bincount(codes[:, d], weights=w), t, atol=1e-9)
-    df, _ = frame(spark, 200)
-    table = mixing.described(df, "doc_id", "text", "source", "lang", 3)
-    one, two = (sorted(tuple(r) for r in mixing.probabilities(table, driver_cells=n, rounds=3).collect()) for n in (10**6, 0))
-    assert [r[:3] for r in one] == [r[:3] for r in two]
-    assert np.allclose([r[3] for r in one], [r[3] for r in two], atol=1e-6)
-
-
-def test_scale():
-    t, f = np.array([10.0, 20, 30]), np.array([4.0, 1, 0.5])
-    for keep in (0.1, 0.5, 0.9):
-        s = mixing.scale_for(t, f, keep)
-        assert np.isclose((t * np.minimum(1, s * f)).sum(), keep * t.sum())
+def test_drawn_shares_meet_the_targets_as_registered(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.marginals(docs).collect()
+    assert {r.dimension for r in got} == set(mixing.DIMENSIONS)
+    assert max(abs(r.drawn - r.target) for r in got) < 1e-3
+    for d in mixing.DIMENSIONS:
+        assert np.isclose(sum(r.target for r in got if r.dimension == d), 1)
+    rows = mixing.mixed(docs).collect()
+    assert np.isclose(sum(r.tokens * r.probability for r in rows), mixing.KEEP * sum(r.tokens for r in rows), rtol=1e-3)
+
+
+def test_topics_are_those_of_planted_vocabularies(spark):
+    g = np.random.default_rng(5)
+    fields = [[f"w{''.join(g.choice(list('abcdefghij'), 6))}" for _ in range(40)] for _ in range(3)]
+    shared = [f"c{''.join(g.choice(list('abcdefghij'), 6))}" for _ in range(30)]
+    rows = [(i, " ".join([*g.choice(fields[i % 3], 30), *g.choice(shared, 15)]), "en" if i % 2 else "de", "s", 1) for i in range(240)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.topic for r in mixing.mixed(df, topics=3).collect()}
+    seen = [Counter(got[i] for i in range(k, 240, 3)) for k in range(3)]
+    assert len({c.most_common(1)[0][0] for c in seen}) == 3
+    assert sum(c.most_common(1)[0][1] for c in seen) >= 230
+    again = {r.doc_id: r.topic for r in mixing.mixed(df.repartition(7), topics=3).collect()}
+    assert again == got
+    given = mixing.mixed(df.withColumn("kind", df.doc_id % 4), topic_col="kind").collect()
+    assert {r.topic for r in given} == {"0", "1", "2", "3"}
+
+
+@pytest.mark.parametrize("kind", ["string", "boolean", "double"])
+def test_many_cells_are_drawn_alike(spark, kind):
+    rows = []
+    for i in range(600):
+        source = {"string": f"s{i % 3}", "boolean": bool(i % 3), "double": float(i % 3) * 1e20}[kind]
+        rows.append((None if i % 2 else 7, f"words number {i % 11} of this text", "en" if i % 5 else None, source, i, i % 2))
+    df = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source {kind}, n_chars long, kind int")
+    options = {"keep": 0.4, "topic_col": "kind"}
+    one = Counter(tuple(r) for r in mixing.draw_documents(df, **options).collect())
+    picked = Counter((r.doc_id, r.source, r.lang, r.topic) for r in mixing.mixed(df, **options).collect() if r.selected)
+    text = df.selectExpr("n_chars", "cast(source as string)", "coalesce(lang, '')", "cast(kind as string)").collect()
+    of = {r[0]: tuple(r)[1:] for r in text}
+    assert picked == Counter((r[0], *of[r[4]]) for r in one.elements())
+    if kind == "string":
+        many = mixing.draw_documents(df, driver_cells=0, **options)
+        assert Counter(tuple(r) for r in many.collect()) == one
+
+
+def test_targets_beyond_what_there_is_are_lowered():
+    natural = np.array([0.01, 0.09, 0.9])
+    want = mixing.wanted_shares(natural, np.array([0.5, 0.25, 0.25]), 0.5, 0.0)
+    assert np.allclose(want, [0.02, 0.18, 0.8])
+    assert np.allclose(mixing.wanted_shares(natural, np.full(3, np.nan), 0.7, 0.0), natural)
+    assert np.isclose(mixing.wanted_shares(natural, np.zeros(3), 1.0, 0.3).sum(), 1)
 
 
 def test_mixing_cases(spark):
-    rows = [(1, "some words here", "en", "a", 1), (1, "some words here", "en", "a", 1), (2, None, None, None, None), (3, "", "de", "b", 0), (None, "another text", "en", None, 3), (5, "word " * 50000, "fr", "a", 9)]
-    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS topic", "2 AS tokens", "3 AS probability", "4 AS id")
+    rows = [(1, "some words here", "en", "a", 1), (1, "some words here", "en", "a", 1), (2, None, None, None, None), (3, "", "de", "b", 0), (None, "another text", "en", None, 3), (5, "word " * 50000, "fr", "a", 9), (6, "longer " * 50000, "fr", "a", 9)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS topic", "2 AS tokens", "3 AS probability", "4 AS id", "5 AS _mixtopic", "6 AS value", "7 AS factor")
     got = mixing.mixed(df).collect()
     assert len(got) == len(rows)
     assert all(r.probability is not None and 0 <= r.probability <= 1 for r in got)
+    assert all(r.probability == mixing.KEEP for r in got if r.doc_id in (2, 3))
+    assert {r.doc_id: r.topic for r in got}[5] == "none"
+    assert {r.doc_id: r.topic for r in got}[6] != "none"
     assert len({r.selected for r in got if r.doc_id == 1}) == 1
     assert mixing.draw_documents(df).columns == df.columns
     assert mixing.draw_documents(df).count() == sum(r.selected for r in got)
