@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from setloom.llm.common import shared_folder, written
 from setloom.llm.decontaminate import drop_leaks
 from setloom.llm.hilbert import shard_documents
 from setloom.llm.mixing import draw_documents
@@ -50,7 +51,9 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each but the last written as Parquet in the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = shared_folder(spark)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
