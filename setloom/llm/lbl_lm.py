@@ -1,24 +1,24 @@
 """Language-model scoring by a log-bilinear model, trained by noise-contrastive estimation.
 
-Vocabulary. The ``words`` most frequent words of the whole corpus (ties by hash) are symbols, 960 or three times the cube root
-of the corpus's tokens, whichever is more; every other word falls in one of 64 classes, by length and hash, which are symbols
-too. The counts that choose the words and make up the noise distribution cover all texts.
-
-Words of a class. P(word) is P(class) by the model times P(word | class) by the full counts: of a class of N tokens and D words, a
-word seen n times has (n - 1/4) / N, and the D/4 so left are shared evenly by as many unseen words and one more. All words seen
-and those unseen ones add up to 1 in each context.
-
-Model. With context words u (last) and v (the one before), the score of a symbol w is
-``(Q[u] C1 + Q[v] C2) . R[w] + b[w]``. Training tells a word from noise words drawn by frequency (noise-contrastive
-estimation), in numpy. Every task trains on all its texts, from the same start; the parameters are averaged, weighted by words,
-and the average is where the next round starts. So the whole corpus is trained on, and what a task sends is the
-size of the model. Rounds and their split over tasks follow the input's partitions: another partitioning gives a
-slightly different model.
-
-Scoring. Batched matrix products turn the model into the tables ``Q C1 R'``, ``Q C2 R'`` and the log-normaliser of each
-context pair, so that each token's log-probability, exactly normalised over the symbols, is a sum of four look-ups, and one more
-for the word in its class. The shares of the ``known`` most frequent words are broadcast; those of rarer words are joined on
-by hash, which shuffles these words alone, and a corpus of no more words is scored without a shuffle.
+Every word of the corpus is in the vocabulary. P(word) is P(class) by the model times P(word | class) by the full counts.
+The ``HEADS`` most frequent words are classes of their own; every other word falls in one of ``SPELLINGS`` classes by its last two
+bytes. Of a class of N tokens and D words, a word seen n times has (n - d) / N, and the d * D / N so left are shared evenly by as
+many unseen words and one more; d is Ney's estimate from the words seen once and twice. All words seen and those
+unseen ones add up to 1 in each context.
+
+Model. With context words u (last) and v (the one before), the score of a class c is ``(E[u] C1 + E[v] C2) . R[c] + b[c]``.
+E[u] is the vector of u's spelling plus, for the ``words`` most frequent words (as many as are as frequent as the last of
+them), one of its own. Training tells a class from noise classes drawn by frequency (noise-contrastive estimation), in numpy.
+
+Rounds. Texts are dealt by the hash of id and text to ``rounds * shards`` parts, shards of about ``shard_tokens`` words, and
+shuffled there as numbers of two bytes a word. In each round every shard of it trains on its own texts, from the same
+start and in the order of the hash; parameters are averaged, rows of vectors by how often each was met, and the average is where the
+next round starts. The whole corpus is trained on once, and the result depends on the texts, not on how the input is
+partitioned (but for the rounding of sums). What a shard sends is the size of the model.
+
+Scoring. Matrix products turn the model into tables of ``exp(E C1 R' + b)`` and ``exp(E C2 R')``, by symbol and class, so the exact
+normaliser of a context is a product of two rows. The shares of the ``known`` most frequent words are broadcast; those of
+rarer words are joined on by hash, which shuffles these words alone, and a corpus of no more words is scored without.
 
 Cases: a null, empty or wordless text has 0 tokens, a log-probability of 0 and a null perplexity. An empty corpus
 gives no rows. Rows are scored one by one (repeated rows repeat) and whole. Other columns are ignored.
@@ -26,6 +26,8 @@ gives no rows. Rows are scored one by one (repeated rows repeat) and whole. Othe
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,17 +38,18 @@ from pyspark.sql import functions as F
 
 from setloom.llm.common import U, add_vectors, arrow_map, cut, fold, mix, rows_of, slices, texts_of, word_hashes, word_spans
 
-WORDS, GROWTH, KNOWN, HELD_BACK = 960, 3, 1 << 18, 0.25
-CLASSES, DIM, NOISE, BATCH, RATE, ROUNDS, SEED = 64, 32, 64, 2048, 0.05, 1, 3
+WORDS, HEADS, SPELLINGS, KNOWN = 32768, 64, 192, 1 << 18
+CLASSES = HEADS + SPELLINGS
+DIM, NOISE, BATCH, RATE, ROUNDS, SHARD_TOKENS, SEED = 32, 64, 2048, 0.05, 4, 4_000_000, 3
 
 
 def _words(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, class, offsets by text) of the words."""
+    """(hash, spelling, offsets by text) of the words."""
     b = fold(raw)
     starts, ends, woff = word_spans(b, offs)
     h = word_hashes(b, starts, ends)
-    length = np.minimum((ends - starts) // 3, 7)
-    return h, length * 8 + (h >> U(61)).astype(np.int64), woff
+    last = b[ends - 1].astype(U) << U(8) | np.where(ends - starts > 1, b[ends - 2], 0).astype(U) if len(h) else h
+    return h, ((mix(last + U(1)) >> U(40)) % U(SPELLINGS)).astype(np.int64), woff
 
 
 _COUNT = pa.schema([("hash", pa.int64()), ("cls", pa.int32()), ("n", pa.int64())])
@@ -88,13 +91,30 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return cut(arrow_map(texts, _count, "hash long, cls int, n long").groupBy("hash", "cls").agg(F.sum("n").alias("n")))
 
 
-def words_for(tokens: int) -> int:
-    """Words that are symbols of their own in a corpus of so many tokens: the normalisers are a table of their square."""
-    return max(WORDS, round(GROWTH * tokens ** (1 / 3)))
+class Vocabulary:
+    """The words with vectors of their own: sorted hashes, the symbol (rank) of each, spelling and class by symbol, counts by class."""
+
+    def __init__(self, h: np.ndarray, spelling: np.ndarray, by_class: np.ndarray) -> None:
+        order = np.argsort(h)
+        self.hashes, self.numbers, self.size = h[order], order, len(h)
+        self.spelling = np.concatenate((spelling, np.arange(SPELLINGS + 1)))  # the last symbol stands before a text
+        self.cls = np.concatenate((np.where(np.arange(len(h)) < HEADS, np.arange(len(h)), HEADS + spelling), HEADS + np.arange(SPELLINGS)))
+        self.counts = by_class
+
+    @property
+    def start(self) -> int:
+        return self.size + SPELLINGS
+
+
+class Shares:
+    """log P(word | class): of known words by sorted hash, of an unseen word by class; log(1 / N) by class; the discount."""
+
+    def __init__(self, hashes: np.ndarray, share: np.ndarray, unseen: np.ndarray, inverse: np.ndarray, discount: float) -> None:
+        self.hashes, self.share, self.unseen, self.inverse, self.discount = hashes, share, unseen, inverse, discount
 
 
 def _least(tally: list[tuple[int, int]], most: int) -> int:
-    """The least count such that at most ``most`` words are as frequent; tally: words by count."""
+    """The least count such that at most ``most`` words are as frequent; tally: (least count, words) of ranges of counts."""
     least, total = 1 << 62, 0
     for n, k in sorted(tally, reverse=True):
         total += k
@@ -104,52 +124,51 @@ def _least(tally: list[tuple[int, int]], most: int) -> int:
     return least
 
 
-def choose(counts: DataFrame, words: int | None = None, known: int = KNOWN) -> tuple[tuple, tuple, DataFrame | None]:
-    """(vocabulary, (sorted hashes, log-share in its class of each; log-share of an unseen word and log(1 / N), by class), counts
-    of the words outside both, or None if there are none)."""
-    totals = {r["cls"]: (r["n"], r["words"]) for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
-    words = words_for(sum(n for n, _ in totals.values())) if words is None else words
-    top = counts.orderBy(F.desc("n"), "hash").limit(words).collect()
-    n, size, kinds = np.zeros(words + CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
-    for c, (k, w) in totals.items():
-        size[c], kinds[c] = k, w
-    for i, r in enumerate(top):
-        n[i] = r["n"]
-        size[r["cls"]] -= r["n"]
-        kinds[r["cls"]] -= 1
-    n[words:] = size
-    h = np.array([r["hash"] for r in top], np.int64).view(U)
-    order = np.argsort(h)
-    vocab = h[order], np.arange(len(h))[order], n
-
-    least = _least([(r["n"], r["k"]) for r in counts.groupBy("n").agg(F.count("*").alias("k")).collect()], known)
+def choose(counts: DataFrame, words: int = WORDS, known: int = KNOWN) -> tuple[Vocabulary, Shares, DataFrame | None]:
+    """(vocabulary, shares, counts of the words whose shares are in neither, or None if there are none).
+
+    At most ``known`` rows of counts come to the driver, and one for each range of counts, of which there are some hundred.
+    """
+    if not HEADS <= words <= 60_000:
+        raise ValueError(f"words must be from {HEADS} to 60000")
+    # Ranges of a sixteenth of an octave; up to 64, each count by itself.
+    size_of = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.floor(F.log2(F.col("n").cast("double")) * 16) + 64)
+    ranges = counts.groupBy(size_of.alias("range")).agg(F.min("n").alias("n"), F.count("*").alias("k")).collect()
+    tally = [(r["n"], r["k"]) for r in ranges]
+    seen = dict(tally)
+    n1, n2 = seen.get(1, 0), seen.get(2, 0)
+    discount = min(max(n1 / max(n1 + 2 * n2, 1), 0.1), 0.9)
+    least = _least(tally, max(known, words))
     some = counts.where(F.col("n") >= least).toArrow()
-    inverse = -np.log(np.maximum(size, 1))
-    unseen = np.where(size > 0, np.log(np.maximum(HELD_BACK * kinds, 1e-9) / (kinds + 1)) + inverse, 0.0)
-    hk, ck, nk = (some.column(x).to_numpy() for x in ("hash", "cls", "n"))
-    order = np.argsort(hk.view(U))
-    shares = hk.view(U)[order], (np.log(nk - HELD_BACK) + inverse[ck])[order], unseen, inverse
-    rest = sum(w for _, w in totals.values()) > len(hk)
-    return vocab, shares, counts.where(F.col("n") < least) if rest else None
-
-
-def vocabulary(texts: DataFrame, words: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted hashes of the chosen words, the symbol of each, counts by symbol), from all texts."""
-    return choose(word_counts(texts), words)[0]
+    h, c, n = (some.column(x).to_numpy() for x in ("hash", "cls", "n"))
+    h = h.view(U)
+    order = np.lexsort((h, -n))
+    h, c, n = h[order], c[order].astype(np.int64), n[order]
+
+    size, kinds = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
+    for r in counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        size[r["cls"]], kinds[r["cls"]] = r["n"], r["words"]
+    np.subtract.at(size, c[:HEADS], n[:HEADS])
+    np.subtract.at(kinds, c[:HEADS], 1)
+    heads = np.zeros(HEADS)
+    heads[: min(HEADS, len(n))] = n[:HEADS]
+    own = (n >= _least(tally, words)) | (np.arange(len(n)) < HEADS)
+    vocab = Vocabulary(h[own], c[own], np.concatenate((heads, size)))
 
-
-def symbols(raw: np.ndarray, offs: np.ndarray, vocab: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(symbol of each word, offsets by text)."""
-    h, c, woff = _words(raw, offs)
-    return _numbered(h, c, vocab), woff
-
-
-def _numbered(h: np.ndarray, c: np.ndarray, vocab: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    hashes, numbers, counts = vocab
-    out = c + len(counts) - CLASSES
-    at, known = _found(h, hashes)
-    out[known] = numbers[at[known]]
-    return out
+    inverse = -np.log(np.maximum(size, 1))
+    unseen = np.where(size > 0, np.log(np.maximum(discount * kinds, 1e-9) / (kinds + 1)) + inverse, 0.0)
+    share = np.log(n - discount) + inverse[c]
+    share[:HEADS] = 0.0
+    by = np.argsort(h)
+    if known < len(h):  # no more words are broadcast than asked for; the vocabulary's may be more
+        fit = n >= _least(tally, known)
+        fit[:HEADS] = True
+        by = by[fit[by]]
+        least = _least(tally, known)
+    rest = counts.where(F.col("n") < least) if kinds.sum() + min(HEADS, len(n)) > len(by) else None
+    if rest is not None and len(n) and least > n[:HEADS].min():
+        rest = rest.where(~F.col("hash").isin(h[:HEADS].view(np.int64).tolist()))
+    return vocab, Shares(h[by], share[by], unseen, inverse, discount), rest
 
 
 def _found(h: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +180,14 @@ def _found(h: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, hashes[at] == h
 
 
+def symbols(h: np.ndarray, spelling: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """The symbol of each word: its rank, or that of its spelling."""
+    at, known = _found(h, vocab.hashes)
+    out = vocab.size + spelling
+    out[known] = vocab.numbers[at[known]]
+    return out
+
+
 def contexts(s: np.ndarray, woff: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """(last, the one before) of each token; ``start`` stands before a text."""
     u, v = np.full(len(s), start), np.full(len(s), start)
@@ -172,13 +199,17 @@ def contexts(s: np.ndarray, woff: np.ndarray, start: int) -> tuple[np.ndarray, n
     return u, v
 
 
-def start_model(counts: np.ndarray, dim: int, seed: int) -> list[np.ndarray]:
-    """Q, C1, C2, R, b: small random vectors, and the log frequencies as biases."""
+# ---------------------------------------------------------------- training
+
+
+def start_model(vocab: Vocabulary, dim: int, seed: int) -> list[np.ndarray]:
+    """Own vectors, spelling vectors, C1, C2, R, b: small random vectors, and the log frequencies as biases."""
     g = np.random.Generator(np.random.PCG64(seed))
-    n = len(counts)
-    share = (counts + 0.5) / (counts + 0.5).sum()
+    own = np.zeros((vocab.start + 1, dim))
+    own[: vocab.size] = g.normal(0, 0.1, (vocab.size, dim))
     eye = np.eye(dim)
-    return [a.astype(np.float32) for a in (g.normal(0, 0.1, (n + 1, dim)), eye, eye * 0.5, g.normal(0, 0.1, (n, dim)), np.log(share))]
+    share = (vocab.counts + 0.5) / (vocab.counts + 0.5).sum()
+    return [a.astype(np.float32) for a in (own, g.normal(0, 0.1, (SPELLINGS + 1, dim)), eye, eye * 0.5, g.normal(0, 0.1, (CLASSES, dim)), np.log(share))]
 
 
 def _scatter(w: np.ndarray, acc: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
@@ -192,133 +223,205 @@ def _scatter(w: np.ndarray, acc: np.ndarray, at: np.ndarray, g: np.ndarray, rate
     w[rows] -= rate * total / np.sqrt(acc[rows])
 
 
-def train_on(model: list[np.ndarray], acc: list[np.ndarray], s: np.ndarray, u: np.ndarray, v: np.ndarray, noise_log: np.ndarray, noise_cdf: np.ndarray, g: np.random.Generator, noise: int, rate: float) -> None:
+def train_on(model: list[np.ndarray], acc: list[np.ndarray], spelling: np.ndarray, c: np.ndarray, u: np.ndarray, v: np.ndarray, noise_log: np.ndarray, noise_cdf: np.ndarray, g: np.random.Generator, noise: int, rate: float) -> None:
     """One noise-contrastive step over a batch, in place."""
-    q_w, c1, c2, r_w, b = model
+    own, spell, c1, c2, r_w, b = model
     k = np.minimum(np.searchsorted(noise_cdf, g.random(noise)), len(b) - 1)
-    eu, ev = q_w[u], q_w[v]
+    uv = np.concatenate((u, v))
+    e = own[uv] + spell[spelling[uv]]
+    eu, ev = e[: len(u)], e[len(u) :]
     q = eu @ c1 + ev @ c2
-    rw, rk = r_w[s], r_w[k]
+    rw, rk = r_w[c], r_w[k]
     shift = np.float32(np.log(noise))
-    dp = 1 / (1 + np.exp(-np.clip((q * rw).sum(1) + b[s] - noise_log[s] - shift, -30, 30))) - 1
+    dp = 1 / (1 + np.exp(-np.clip((q * rw).sum(1) + b[c] - noise_log[c] - shift, -30, 30))) - 1
     dn = 1 / (1 + np.exp(-np.clip(q @ rk.T + b[k] - noise_log[k] - shift, -30, 30)))
-    scale = np.float32(1 / len(s))
+    scale = np.float32(1 / len(c))
     dp, dn = dp * scale, dn * scale
     dq = dp[:, None] * rw + dn @ rk
-    _scatter(r_w, acc[3], np.concatenate((s, k)), np.concatenate((dp[:, None] * q, dn.T @ q)), rate)
-    bias = np.concatenate((dp, dn.sum(0)))[:, None]
-    _scatter(b[:, None], acc[4][:, None], np.concatenate((s, k)), bias, rate)
-    d1, d2 = dq @ c1.T, dq @ c2.T
-    for i, e in ((1, eu), (2, ev)):
-        grad = e.T @ dq
+    ck = np.concatenate((c, k))
+    _scatter(r_w, acc[4], ck, np.concatenate((dp[:, None] * q, dn.T @ q)), rate)
+    bias = np.bincount(ck, weights=np.concatenate((dp, dn.sum(0))), minlength=len(b)).astype(np.float32)
+    acc[5] += bias * bias
+    b -= rate * bias / np.sqrt(acc[5])
+    d = np.concatenate((dq @ c1.T, dq @ c2.T))
+    for i, x in ((2, eu), (3, ev)):
+        grad = x.T @ dq
         acc[i] += grad * grad
         model[i] -= rate * grad / np.sqrt(acc[i])
-    _scatter(q_w, acc[0], np.concatenate((u, v)), np.concatenate((d1, d2)), rate)
+    _scatter(own, acc[0], uv, d, rate)
+    _scatter(spell, acc[1], spelling[uv], d, rate)
 
 
-_PIECE = 1 << 14
+_ENCODED = pa.schema([("slot", pa.int32()), ("h", pa.int64()), ("words", pa.binary())])
+#: Words that are put in random order at once, and numbers in a piece of a model.
+_MIXED, _PIECE = 1 << 17, 1 << 16
 _PARTS = pa.schema([("piece", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())])
 
 
-def trained(parts: Iterator[tuple[np.ndarray, np.ndarray]], model: list[np.ndarray], vocab: tuple, noise: int, batch: int, rate: float, seed: int) -> tuple[list[np.ndarray], int]:
-    """(model after one pass over the texts, words seen)."""
-    counts = vocab[2]
-    share = (counts + 0.5) / (counts + 0.5).sum()
-    noise_log, noise_cdf = np.log(share).astype(np.float32), np.cumsum(share)
-    g = np.random.Generator(np.random.PCG64(seed))
-    model = [a.copy() for a in model]
-    acc = [np.full_like(a, 1e-6) for a in model]
-    seen = 0
-    for raw, offs in parts:
-        s, woff = symbols(raw, offs, vocab)
-        u, v = contexts(s, woff, len(counts))
-        order = g.permutation(len(s))
-        for lo in range(0, len(s), batch):
-            at = order[lo : lo + batch]
-            train_on(model, acc, s[at], u[at], v[at], noise_log, noise_cdf, g, noise, rate)
-        seen += len(s)
-    return model, seen
+def _encode(vocab_of, slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocab_of.value
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            raw, offs = texts_of(batch.column(1))
+            for lo, hi in slices(offs):
+                h, spelling, woff = _words(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                s = symbols(h, spelling, vocab).astype(np.uint16)
+                own = keys[lo:hi]
+                yield rows_of(_ENCODED, slot=(mix(own.view(U)) % U(slots)).astype(np.int32), h=own, words=[s[a:b].tobytes() for a, b in zip(woff[:-1], woff[1:])])
+
+    return run
+
+
+class Trainer:
+    """One shard of a round: trains as texts arrive; gives its parameters with how often each row was met."""
+
+    def __init__(self, model: list[np.ndarray], vocab: Vocabulary, noise: int, batch: int, rate: float, seed: int) -> None:
+        self.model, self.vocab = [a.copy() for a in model], vocab
+        self.acc = [np.full_like(a, 1e-6) for a in model]
+        share = (vocab.counts + 0.5) / (vocab.counts + 0.5).sum()
+        self.noise_log, self.noise_cdf = np.log(share).astype(np.float32), np.cumsum(share)
+        self.noise, self.batch, self.rate = noise, batch, rate
+        self.g = np.random.Generator(np.random.PCG64(seed))
+        self.met = np.zeros(vocab.start + 1, np.int64)
+        self.seen, self.held, self.parts = 0, 0, []
+
+    def add(self, s: np.ndarray) -> None:
+        self.parts.append(s)
+        self.held += len(s)
+        if self.held >= _MIXED:
+            self._run()
+
+    def _run(self) -> None:
+        if not self.held:
+            return
+        s = np.concatenate(self.parts).astype(np.int64)
+        woff = np.concatenate(([0], np.cumsum([len(p) for p in self.parts])))
+        self.parts, self.held = [], 0
+        u, v = contexts(s, woff, self.vocab.start)
+        c = self.vocab.cls[s]
+        order = self.g.permutation(len(s))
+        for lo in range(0, len(s), self.batch):
+            at = order[lo : lo + self.batch]
+            train_on(self.model, self.acc, self.vocab.spelling, c[at], u[at], v[at], self.noise_log, self.noise_cdf, self.g, self.noise, self.rate)
+        self.met += np.bincount(u, minlength=len(self.met)) + np.bincount(v, minlength=len(self.met))
+        self.seen += len(s)
+
+    def weighted(self) -> np.ndarray:
+        """All parameters times their weights, and the weights of the vectors' rows, as one row of numbers."""
+        self._run()
+        spell = np.bincount(self.vocab.spelling, weights=self.met, minlength=SPELLINGS + 1)
+        own, spelling, *dense = self.model
+        flat = [(own * self.met[:, None]).ravel(), self.met, (spelling * spell[:, None]).ravel(), spell, *[a.ravel() * self.seen for a in dense]]
+        return np.concatenate(flat).astype(np.float32)
+
+
+def averaged(model: list[np.ndarray], total: np.ndarray, seen: float) -> list[np.ndarray]:
+    """The model of added-up weighted parameters; rows that no shard met stay as they are."""
+    out, at = [], 0
+    for i, a in enumerate(model):
+        part = total[at : at + a.size].reshape(a.shape)
+        at += a.size
+        if i < 2:
+            weight = total[at : at + len(a)][:, None]
+            at += len(a)
+            out.append(np.where(weight > 0, part / np.maximum(weight, 1), a).astype(np.float32))
+        else:
+            out.append((part / seen).astype(np.float32))
+    return out
 
 
 def _train(state_of, noise: int, batch: int, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, vocab = state_of.value
-
-        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for b in batches:
-                raw, offs = texts_of(b.column(0))
-                for lo, hi in slices(offs):
-                    yield raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
-
-        new, seen = trained(parts(), model, vocab, noise, batch, rate, seed)
-        if seen:
-            flat = np.concatenate([a.ravel() for a in new]).astype(np.float64) * seen
-            pieces = [flat[i : i + _PIECE].tobytes() for i in range(0, len(flat), _PIECE)]
-            yield rows_of(_PARTS, piece=range(len(pieces)), n=[seen] * len(pieces), vector=pieces)
+        slot, trainer = None, None
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if trainer is not None:
+                flat = trainer.weighted()
+                pieces = [flat[i : i + _PIECE].tobytes() for i in range(0, len(flat), _PIECE)]
+                if trainer.seen:
+                    yield rows_of(_PARTS, piece=range(len(pieces)), n=[trainer.seen] * len(pieces), vector=pieces)
+
+        for b in batches:
+            for own, words in zip(b.column(0).to_pylist(), b.column(1)):
+                if own != slot:
+                    yield from sent()
+                    slot, trainer = own, Trainer(model, vocab, noise, batch, rate, seed + own)
+                trainer.add(np.frombuffer(words.as_buffer(), np.uint16))
+        yield from sent()
 
     return run
 
 
-def train(texts: DataFrame, vocab: tuple, *, dim: int = DIM, noise: int = NOISE, batch: int = BATCH, rate: float = RATE, rounds: int = ROUNDS, seed: int = SEED) -> list[np.ndarray]:
-    model = start_model(vocab[2], dim, seed)
-    sc = texts.sparkSession.sparkContext
+def train(docs: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", *, dim: int = DIM, noise: int = NOISE, batch: int = BATCH, rate: float = RATE, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> list[np.ndarray]:
+    model = start_model(vocab, dim, seed)
+    sc = docs.sparkSession.sparkContext
+    shards = max(1, math.ceil(vocab.counts.sum() / rounds / shard_tokens))
+    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("h"), F.col(text_col).cast("string").alias("text"))
+    encoded = arrow_map(texts, _encode(sc.broadcast(vocab), rounds * shards), "slot int, h long, words binary")
+    dealt = cut(encoded.repartitionByRange(rounds * shards, "slot").sortWithinPartitions("slot", "h").select("slot", "words"))
     for r in range(rounds):
+        own = dealt.where((F.col("slot") >= r * shards) & (F.col("slot") < (r + 1) * shards))
         state_of = sc.broadcast((model, vocab))
-        sums = add_vectors(arrow_map(texts, _train(state_of, noise, batch, rate, seed + r), "piece int, n long, vector binary"), "float64", texts.rdd.getNumPartitions())
-        if not sums:
-            return model
-        flat = np.concatenate([sums[i][1] / sums[i][0] for i in sorted(sums)])
-        ends = np.cumsum([a.size for a in model])
-        model = [flat[e - a.size : e].reshape(a.shape).astype(np.float32) for a, e in zip(model, ends)]
+        sums = add_vectors(arrow_map(own, _train(state_of, noise, batch, rate, seed), "piece int, n long, vector binary"), "float32", shards)
+        if sums:
+            model = averaged(model, np.concatenate([sums[i][1] for i in sorted(sums)]), sums[0][0])
     return model
 
 
-def tables(model: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(scores by last word with the bias, scores by the word before, log-normaliser by both)."""
-    q_w, c1, c2, r_w, b = model
-    one, two = q_w @ c1 @ r_w.T + b, q_w @ c2 @ r_w.T
-    norm = np.empty((len(q_w), len(q_w)), np.float32)
-    # exp(one + two) = exp(one) * exp(two): the normalisers of all pairs are one matrix product.
-    top1, top2 = one.max(1, keepdims=True), two.max(1, keepdims=True)
-    e1, e2 = np.exp(one - top1).astype(np.float64), np.exp(two - top2).astype(np.float64)
-    for lo in range(0, len(q_w), 256):
-        norm[lo : lo + 256] = np.log(np.maximum(e1[lo : lo + 256] @ e2.T, 1e-300)) + top1[lo : lo + 256] + top2.T
-    return one.astype(np.float32), two.astype(np.float32), norm
+# ---------------------------------------------------------------- scoring
 
 
-def token_log_probs(raw: np.ndarray, offs: np.ndarray, vocab: tuple, made: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probability of each token's symbol, offsets by text)."""
-    s, woff = symbols(raw, offs, vocab)
-    return _symbol_log_probs(s, woff, vocab, made), woff
+def tables(model: list[np.ndarray], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the scores by last word with the bias, and by the word before, each row's largest being 1."""
+    own, spell, c1, c2, r_w, b = model
+    e = own + spell[vocab.spelling]
+    one, two = e @ c1 @ r_w.T + b, e @ c2 @ r_w.T
+    return tuple(np.exp(np.maximum(x - x.max(1, keepdims=True), -80)).astype(np.float32) for x in (one, two))
 
 
-def _symbol_log_probs(s: np.ndarray, woff: np.ndarray, vocab: tuple, made: tuple) -> np.ndarray:
-    one, two, norm = made
-    u, v = contexts(s, woff, len(vocab[2]))
-    return one[u, s] + two[v, s] - norm[u, v]
+def class_log_probs(s: np.ndarray, woff: np.ndarray, vocab: Vocabulary, made: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """log P(class) of each token's class, exactly normalised."""
+    one, two = made
+    u, v = contexts(s, woff, vocab.start)
+    c = vocab.cls[s]
+    out = np.empty(len(s))
+    for lo in range(0, len(s), 4096):
+        x, y, z = u[lo : lo + 4096], v[lo : lo + 4096], c[lo : lo + 4096]
+        a, b = one[x], two[y]
+        rows = np.arange(len(x))
+        out[lo : lo + 4096] = np.log(a[rows, z]) + np.log(b[rows, z]) - np.log(np.einsum("ij,ij->i", a, b))
+    return out
 
 
-def word_log_probs(raw: np.ndarray, offs: np.ndarray, vocab: tuple, shares: tuple, made: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_log_probs(raw: np.ndarray, offs: np.ndarray, vocab: Vocabulary, shares: Shares, made: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(log-probability of each token, offsets by text, places of the words outside shares, their hashes). Such a word counts as unseen."""
-    h, c, woff = _words(raw, offs)
-    s = _numbered(h, c, vocab)
-    lp = _symbol_log_probs(s, woff, vocab, made).astype(np.float64)
-    out = np.flatnonzero(s >= len(vocab[2]) - CLASSES)
-    at, known = _found(h[out], shares[0])
-    lp[out[known]] += shares[1][at[known]]
-    rare = out[~known]
-    lp[rare] += shares[2][c[rare]]
+    h, spelling, woff = _words(raw, offs)
+    s = symbols(h, spelling, vocab)
+    lp = class_log_probs(s, woff, vocab, made)
+    at, known = _found(h, shares.hashes)
+    lp[known] += shares.share[at[known]]
+    rare = np.flatnonzero(~known)
+    lp[rare] += shares.unseen[spelling[rare]]
     return lp, woff, rare, h[rare]
 
 
 _PART = pa.schema([("row", pa.int64()), ("hash", pa.int64()), ("times", pa.int64()), ("id", pa.int64()), ("tokens", pa.int64()), ("log_prob", pa.float64())])
+#: The tables of the model that a worker scores by, by the model's name.
+_made: dict[str, tuple] = {}
 
 
 def _score(state_of, with_rare: bool):
     """A row for each text; with_rare: and one, of ``times`` > 0, for each word of it outside the shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, shares, made = state_of.value
+        name, vocab, shares, model = state_of.value
+        if name not in _made:
+            _made.clear()
+            _made[name] = tables(model, vocab)
+        made = _made[name]
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             raw, offs = texts_of(batch.column(1))
@@ -340,22 +443,20 @@ def _score(state_of, with_rare: bool):
     return run
 
 
-def score(docs: DataFrame, vocab: tuple, shares: tuple, rest: DataFrame | None, model: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, shares: Shares, rest: DataFrame | None, model: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, tokens, log_prob, perplexity) for each row of docs. Shuffles words of rest only."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    state_of = docs.sparkSession.sparkContext.broadcast((vocab, shares, tables(model)))
+    state_of = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, vocab, shares, model))
     rows = arrow_map(own, _score(state_of, rest is not None), "row long, hash long, times long, id long, tokens long, log_prob double")
     if rest is not None:
-        unseen, inverse = shares[2:]
-        more = F.element_at(F.lit((inverse - unseen).tolist()), F.col("cls") + 1)
-        gains = rest.select("hash", (F.log(F.col("n") - HELD_BACK) + more).alias("gain"))
+        more = F.element_at(F.lit((shares.inverse - shares.unseen).tolist()), F.col("cls") + 1)
+        gains = rest.select("hash", (F.log(F.col("n") - shares.discount) + more).alias("gain"))
         rows = rows.join(gains, "hash", "left").groupBy("row").agg(F.max("id").alias("id"), F.max("tokens").alias("tokens"), F.sum(F.coalesce("log_prob", F.lit(0.0)) + F.col("times") * F.coalesce("gain", F.lit(0.0))).alias("log_prob"))
     perplexity = F.when(F.col("tokens") > 0, F.round(F.exp(F.least(-F.col("log_prob") / F.col("tokens"), F.lit(700.0))), 4))
     return rows.select(F.col("id").alias(id_col), "tokens", F.round("log_prob", 4).alias("log_prob"), perplexity.alias("perplexity"))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int | None = None, known: int = KNOWN, **parameters: object) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = WORDS, known: int = KNOWN, **parameters: object) -> DataFrame:
     """Trains on all texts of docs, then scores them."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    vocab, shares, rest = choose(word_counts(texts), words, known)
-    return score(docs, vocab, shares, rest, train(texts, vocab, **parameters), id_col, text_col)
+    vocab, shares, rest = choose(word_counts(docs.select(F.col(text_col).cast("string").alias("text"))), words, known)
+    return score(docs, vocab, shares, rest, train(docs, vocab, id_col, text_col, **parameters), id_col, text_col)

@@ -65,35 +65,71 @@ def test_language_cases(spark):
 # ---------------------------------------------------------------- language model
 
 
-def parts(texts):
-    return [texts_of(pa.array(texts))]
-
-
-@pytest.fixture(scope="module")
-def texts(spark):
-    return [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()]
-
-
-def test_model_is_normalised_and_beats_frequencies(spark, texts):
-    seen, held = texts[:150], texts[150:]
-    df = spark.createDataFrame([(t,) for t in seen], "text string")
-    vocab = lbl_lm.vocabulary(df)
-    words = Counter(int(x) for t in seen for x in lbl_lm._words(*texts_of(pa.array([t])))[0])
-    assert vocab[2].sum() == sum(words.values())
-    assert sorted(vocab[2][:960], reverse=True) == [n for _, n in words.most_common(960)]
-    model = lbl_lm.train(df, vocab, rounds=3, rate=0.1)
-    made = lbl_lm.tables(model)
-    q_w, c1, c2, r_w, b = model
-    for u, v in ((1, 2), (1024, 1024), (5, 1000)):
-        z = (q_w[u] @ c1 + q_w[v] @ c2) @ r_w.T + b
-        assert np.isclose(np.log(np.exp(z - z.max()).sum()) + z.max(), made[2][u, v], atol=1e-3)
-        assert np.isclose(np.exp(made[0][u] + made[1][v] - made[2][u, v]).sum(), 1, atol=1e-3)
-    share = np.log((vocab[2] + 0.5) / (vocab[2] + 0.5).sum())
-    ours = base = 0.0
-    for raw, offs in parts(held):
-        ours += lbl_lm.token_log_probs(raw, offs, vocab, made)[0].sum()
-        base += share[lbl_lm.symbols(raw, offs, vocab)[0]].sum()
-    assert ours > base
+def lm(docs, **options):
+    vocab, shares, rest = lbl_lm.choose(lbl_lm.word_counts(docs.select("text")))
+    return vocab, shares, rest, lbl_lm.train(docs, vocab, **options)
+
+
+def test_probabilities_add_up_to_one(spark):
+    g = np.random.default_rng(1)
+    words = [f"{a}{b}{c}" for a in "abcde" for b in "fghij" for c in "klmno"]
+    rows = [(i, " ".join(words[min(int(g.exponential(18)), 124)] for _ in range(60))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab, shares, rest, model = lm(df)
+    assert rest is None
+    counts = Counter(w for _, t in rows for w in t.split())
+    seen = sorted(counts)
+    n1, n2 = (sum(n == k for n in counts.values()) for k in (1, 2))
+    assert np.isclose(shares.discount, np.clip(n1 / (n1 + 2 * n2), 0.1, 0.9))
+    made = lbl_lm.tables(model, vocab)
+    lp = lambda t: lbl_lm.word_log_probs(*texts_of(pa.array([t])), vocab, shares, made)[0]
+    one, two = made
+    # Words in their classes, by brute force from the model's own scores.
+    own, spell, c1, c2, r_w, bias = model
+    e = own + spell[vocab.spelling]
+    h, spelling, _ = lbl_lm._words(*texts_of(pa.array(seen)))
+    s = lbl_lm.symbols(h, spelling, vocab)
+    kinds = np.bincount(vocab.cls[s], minlength=lbl_lm.CLASSES)
+    for context in (["afk", "bgl"], ["zzz", "afk"]):
+        v, u = lbl_lm.symbols(*lbl_lm._words(*texts_of(pa.array(context)))[:2], vocab)
+        z = (e[u] @ c1 + e[v] @ c2) @ r_w.T + bias
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        got = np.array([lp(" ".join([*context, w]))[2] for w in seen])
+        within = np.exp(got) / p[vocab.cls[s]]
+        by = np.bincount(vocab.cls[s], weights=within, minlength=lbl_lm.CLASSES)
+        spelt = np.flatnonzero(kinds)[np.flatnonzero(kinds) >= lbl_lm.HEADS]
+        by[spelt] += np.exp(shares.unseen[spelt - lbl_lm.HEADS]) * (kinds[spelt] + 1)
+        assert np.allclose(by[kinds > 0], 1, atol=1e-4)
+        most = max(counts.items(), key=lambda kv: kv[1])[0]
+        assert vocab.cls[s[seen.index(most)]] < lbl_lm.HEADS
+
+
+def test_production_training_beats_frequencies_whatever_the_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 3 = 0").select("doc_id", "text")
+    seen = docs.where("doc_id % 10 <> 1")
+    raw, offs = texts_of(pa.array([r.text for r in docs.where("doc_id % 10 = 1").collect()]))
+    h, spelling, woff = lbl_lm._words(raw, offs)
+    counts = {np.int64(r.hash): r.n for r in lbl_lm.word_counts(seen.select("text")).collect()}
+    total = sum(counts.values())
+    found = []
+    for n in (2, 32):
+        vocab, shares, rest, model = lm(seen.repartition(n))
+        assert rest is None
+        assert len(vocab.hashes) > 20_000
+        found.append(lbl_lm.word_log_probs(raw, offs, vocab, shares, lbl_lm.tables(model, vocab))[0].mean())
+        spare = shares.discount * len(counts) / total / (len(counts) + 1)
+        plain = np.mean([np.log((counts[x] - shares.discount) / total if x in counts else spare) for x in h.view(np.int64).tolist()])
+        assert found[-1] > plain + 0.2
+    assert abs(found[0] - found[1]) < 0.01
+
+
+def test_averaged_shards_learn_too(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id % 5 = 0").select("doc_id", "text")
+    raw, offs = texts_of(pa.array([r.text for r in docs.where("doc_id % 10 = 5").collect()]))
+    vocab, shares, _, model = lm(docs.where("doc_id % 10 = 0"), shard_tokens=25_000)
+    start = lbl_lm.start_model(vocab, lbl_lm.DIM, lbl_lm.SEED)
+    ours, before = (lbl_lm.word_log_probs(raw, offs, vocab, shares, lbl_lm.tables(m, vocab))[0].mean() for m in (model, start))
+    assert ours > before + 0.2
 
 
 def test_contexts():
@@ -102,53 +138,39 @@ def test_contexts():
     assert v.tolist() == [9, 9, 1, 9, 9]
 
 
+def test_ranges_of_counts():
+    assert lbl_lm._least([(1, 50), (2, 20), (3, 5)], 30) == 2
+    assert lbl_lm._least([(1, 50), (2, 20), (3, 5)], 4) == 1 << 62
+
+
 def test_language_model_cases(spark):
     rows = [(1, "a b a b a"), (1, "a b a b a"), (2, None), (3, ""), (4, "?!"), (None, "a"), (6, "a b " * 100000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS tokens", "2 AS id", "3 AS perplexity")
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS tokens", "2 AS id", "3 AS perplexity", "4 AS h", "5 AS slot")
     got = {r.doc_id: r for r in lbl_lm.lm_scores(df).collect()}
     assert [got[i].tokens for i in (1, 2, 3, 4, None, 6)] == [5, 0, 0, 0, 1, 200000]
     assert got[2].perplexity is None
     assert got[2].log_prob == 0
     assert got[1].perplexity > 1
     assert lbl_lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    with pytest.raises(ValueError, match="words must be"):
+        lbl_lm.lm_scores(df, words=10)
 
 
-def test_words_of_a_class_have_their_own_probabilities(spark):
-    rows = [(1, "a b a b cat cat dog a"), (1, "a b a b cat cat dog a"), (2, "b a fox hen a b b b owl"), (3, None), (None, "a cat cat hen")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    vocab, shares, rest = lbl_lm.choose(lbl_lm.word_counts(df.select("text")), words=2)
+def test_shares_that_are_joined_on_count_as_those_that_are_broadcast(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    counts = lbl_lm.word_counts(docs.select("text"))
+    vocab, shares, rest = lbl_lm.choose(counts)
     assert rest is None
-    model = lbl_lm.train(df.select("text"), vocab)
-    made = lbl_lm.tables(model)
-    lp = lambda *ts: lbl_lm.word_log_probs(*texts_of(pa.array(ts)), vocab, shares, made)[0]
-    seen = ["a", "b", "cat", "dog", "fox", "hen", "owl"]
-    kinds = np.bincount(lbl_lm._words(*texts_of(pa.array(seen[2:])))[1], minlength=64)
-    empty = np.flatnonzero(kinds == 0) + 2
-    total = np.exp(lp(*seen)).sum() + np.exp(made[0][66, empty] + made[1][66, empty] - made[2][66, 66]).sum()
-    classes = np.flatnonzero(kinds)
-    symbol = np.exp(made[0][66, classes + 2] + made[1][66, classes + 2] - made[2][66, 66])
-    assert np.isclose(total + (symbol * np.exp(shares[2][classes]) * (kinds[classes] + 1)).sum(), 1, atol=1e-4)
-    want = sorted((r.doc_id or 0, r.tokens, r.log_prob) for r in lbl_lm.lm_scores(df, words=2).collect())
-    # Words whose shares are joined on, some or all, count as those whose shares are broadcast.
-    for known in (0, 3):
-        got = sorted((r.doc_id or 0, r.tokens, r.log_prob) for r in lbl_lm.lm_scores(df, words=2, known=known).collect())
-        assert [g[:2] for g in got] == [w[:2] for w in want]
-        assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=2e-4)
-
-
-def test_production_training_over_partitions_beats_frequencies(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    seen = docs.where("doc_id % 10 <> 1").select("text").repartition(8)
-    raw, offs = texts_of(pa.array([r.text for r in docs.where("doc_id % 10 = 1").select("text").collect()]))
-    vocab = lbl_lm.vocabulary(seen)
-    share = np.log((vocab[2] + 0.5) / (vocab[2] + 0.5).sum())
-    ours = lbl_lm.token_log_probs(raw, offs, vocab, lbl_lm.tables(lbl_lm.train(seen, vocab)))[0]
-    assert ours.mean() > share[lbl_lm.symbols(raw, offs, vocab)[0]].mean() + 0.1
-
-
-def test_symbols_grow_with_the_corpus():
-    assert lbl_lm.words_for(1000) == 960
-    assert lbl_lm.words_for(10**9) == 3000
+    model = lbl_lm.start_model(vocab, lbl_lm.DIM, 1)
+    want = {r.doc_id: (r.tokens, r.log_prob) for r in lbl_lm.score(docs, vocab, shares, rest, model).collect()}
+    assert len(want) == docs.count()
+    for known in (0, 300):
+        few, less, rest = lbl_lm.choose(counts, known=known)
+        assert rest is not None
+        assert len(less.hashes) <= max(known, lbl_lm.HEADS)
+        got = {r.doc_id: (r.tokens, r.log_prob) for r in lbl_lm.score(docs, few, less, rest, model).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 0.01 for i in want)
 
 
 # ---------------------------------------------------------------- quality
