@@ -7,17 +7,20 @@ is negative, a step goes against its gradient instead. g is a network of one hid
 a text: shares of kinds of characters, word lengths, repetition of words and lines.
 
 The prior is estimated by the mixture-proportion bound: the least ratio of the unlabelled to the positive share above
-a cut of a first scorer (positives against unlabelled), over cuts that leave three tenths of the held-out positives.
+a cut of a first scorer (positives against unlabelled), over cuts that leave three tenths of the positives; the scorer learns from rows of
+even hash, the shares are those of all rows of odd hash.
 
-The fit uses at most ``max_positives`` and ``max_unlabelled`` rows, those of least id hash; scoring covers all rows.
+Features of all rows are written once (80 bytes a row). Their means and deviations, the prior's shares, the gradients of the last
+``polish`` steps and the quantile of the positives' scores cover all rows; only the steps before start from at most
+``max_positives`` and ``max_unlabelled`` rows, those of least hash. Scoring covers all rows.
 A document is rejected if it scores ``margin`` below the smaller of 0 and the ``max_loss`` quantile of the positives.
 
 Toxic texts, if ``toxic_col`` names their label, are told by words; of good form they stay positives of the form scorer, whose
-score the words overrule. All labelled documents, whole, are counted by word; a word counts as a sign if its share of toxic documents is above theirs by a
+score the words overrule. Labelled documents (at most ``max_labelled``, those of least id hash), whole, are counted by word; a word counts as a sign if its share of toxic documents is above theirs by a
 likelihood-ratio test, corrected for the number of words. A document is rejected too if the odds of toxic, by naive Bayes over its
-signs, are above 1; its score is then lowered below the cut. The labelled ids are broadcast (8 bytes each), never the texts moved.
+signs, are above 1; its score is then lowered below the cut. The sample's labels are broadcast (9 bytes each), never the texts moved.
 
-Cases: a null, empty or wordless text has a null score and is rejected. Without any positive, or with no unlabelled
+Cases: a null, empty or wordless text has a null score and is rejected. Rows without an id are not learnt from. Without any positive, or with no unlabelled
 text, nothing can be learnt and every text with a word is kept at score 0. Rows are judged one by one;
 repeated rows repeat. Whole texts count, however long. Other columns are ignored or passed through.
 """
@@ -31,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import arrow_map, cut, fold, rows_of, slices, texts_of, word_hashes, word_spans
+from setloom.llm.common import add_vectors, arrow_map, cut, fold, rows_of, slices, texts_of, word_hashes, word_spans
 
 #: What the test of a sign must pass besides twice the log of the number of words: 10 is the 0.0016 quantile of chi-square.
 SIGN = 10.0
-MAX_POSITIVES, MAX_UNLABELLED, MAX_LOSS, MARGIN, HIDDEN, STEPS, SEED = 8000, 16000, 0.001, 1.5, 16, 1500, 11
+MAX_POSITIVES, MAX_UNLABELLED, MAX_LABELLED, MAX_LOSS, MARGIN, HIDDEN, STEPS, POLISH, SEED = 8000, 16000, 200_000, 0.001, 1.5, 16, 1500, 8, 11
 
 _KINDS = ["small", "capital", "digit", "blank", "line", "stop", "mark", "sign", "other"]
 
@@ -126,35 +129,72 @@ def _fit(pos: np.ndarray, unl: np.ndarray, prior: float | None, steps: int, hidd
     return tuple(w)
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, steps: int = STEPS, hidden: int = HIDDEN, seed: int = SEED) -> float:
-    """The share of positives in the unlabelled rows, from held-out halves of both."""
-    half_p, half_u = max(1, len(pos) // 2), max(1, len(unl) // 2)
-    w = _fit(pos[:half_p], unl[:half_u], None, steps, hidden, seed)
-    held_p, held_u = (pos[half_p:] if len(pos) > 1 else pos), (unl[half_u:] if len(unl) > 1 else unl)
-    sp, su = np.sort(_forward(w, held_p)[1]), np.sort(_forward(w, held_u)[1])
-    cuts = sp[: max(1, int(0.7 * len(sp)))]
-    above_p = 1 - np.searchsorted(sp, cuts) / len(sp)
-    above_u = 1 - np.searchsorted(su, cuts) / len(su)
-    return float(np.clip((above_u / above_p).min(initial=1.0), 0.05, 0.99))
+def prior_bound(pos: np.ndarray, unl: np.ndarray) -> float:
+    """The share of positives in the unlabelled rows, at most; from histograms of a first scorer's scores."""
+    if not pos.sum() or not unl.sum():
+        return 0.5
+    above_p, above_u = (np.cumsum(h[::-1])[::-1] / h.sum() for h in (pos, unl))
+    some = above_p >= 0.3
+    return float(np.clip((above_u[some] / above_p[some]).min(initial=1.0), 0.05, 0.99))
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, max_loss: float = MAX_LOSS, margin: float = MARGIN, steps: int = STEPS, hidden: int = HIDDEN, seed: int = SEED) -> dict | None:
-    """The model, or None if there is nothing to learn from."""
-    if not len(pos) or not len(unl):
-        return None
-    both = np.concatenate((pos, unl)).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    pos, unl = (np.clip((a - mean) / scale, -8, 8) for a in (pos, unl))
-    prior = estimate_prior(pos, unl, steps, hidden, seed) if prior is None else prior
-    w = _fit(pos, unl, prior, steps, hidden, seed + 1)
-    cut_at = min(0.0, float(np.quantile(_forward(w, pos)[1], max_loss))) - margin
-    return {"mean": mean, "scale": scale, "w": w, "cut": cut_at, "prior": prior}
+#: Scores are counted in bins of 1/256 from -40 to 40.
+_BINS, _LOW, _STEP = 80 * 256, -40.0, 1 / 256
+
+
+def _bins(z: np.ndarray) -> np.ndarray:
+    return np.bincount(np.clip((z - _LOW) / _STEP, 0, _BINS - 1).astype(np.int64), minlength=_BINS)
+
+
+def _flat(w: tuple) -> np.ndarray:
+    return np.concatenate([np.ravel(a) for a in w])
+
+
+def _shaped(v: np.ndarray, like: tuple) -> tuple:
+    ends = np.cumsum([np.size(a) for a in like])
+    return tuple(v[e - np.size(a) : e].reshape(np.shape(a)) for e, a in zip(ends, like))
+
+
+def _slopes(w: tuple, x: np.ndarray, d: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The gradient of sum(d * score) by all weights, as one row."""
+    dh = d[:, None] * w[2] * (1 - h * h)
+    return _flat((x.T @ dh, dh.sum(0), h.T @ d, d.sum()))
+
+
+def risk_parts(w: tuple, x: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Sums over rows: losses l(g), l(-g) of positives and l(-g) of the others, then the gradients of the three."""
+    out = []
+    h, z = _forward(w, x)
+    sig = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for rows, sign in ((good, 1), (good, -1), (~good, -1)):
+        d = (sig - 1) if sign > 0 else sig
+        out.append((np.logaddexp(0, -sign * z[rows]).sum(), _slopes(w, x[rows], d[rows], h[rows])))
+    return np.concatenate([[o[0] for o in out], *[o[1] for o in out]])
+
+
+def polished(w: tuple, sums, prior: float, n_pos: int, n_unl: int, steps: int) -> tuple:
+    """w after steps of Adam on the non-negative risk; sums(w) gives risk_parts over all rows."""
+    v = _flat(w)
+    m, s = np.zeros_like(v), np.zeros_like(v)
+    for t in range(1, steps + 1):
+        total = sums(_shaped(v, w))
+        loss, grads = total[:3], total[3:].reshape(3, -1)
+        negative = loss[2] / n_unl - prior * loss[1] / n_pos
+        d = grads[2] / n_unl - prior * grads[1] / n_pos
+        g = prior * grads[0] / n_pos + d if negative >= 0 else -d
+        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+        v = v - 0.003 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+    return _shaped(v, w)
+
+
+def standard(x: np.ndarray, model: dict) -> np.ndarray:
+    return np.clip((x - model["mean"]) / model["scale"], -8, 8)
 
 
 def scores(model: dict | None, x: np.ndarray) -> np.ndarray:
     if model is None or "w" not in model:
         return np.zeros(len(x))
-    return _forward(model["w"], np.clip((x - model["mean"]) / model["scale"], -8, 8))[1]
+    return _forward(model["w"], standard(x, model))[1]
 
 
 _COUNT = pa.schema([("hash", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
@@ -201,11 +241,11 @@ def _count(labelled_of):
     return run
 
 
-def toxic_signs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic") -> dict | None:
+def toxic_signs(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> dict | None:
     """The signs of toxic documents: sorted hashes, the log-odds each adds, the log-odds before any; None if there are none."""
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     flags = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(toxic_col) == 1).cast("int").alias("toxic")).where("id is not null and toxic is not null")
-    said = flags.groupBy("id").agg(F.max("toxic").alias("toxic")).toArrow()
+    said = flags.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_labelled).toArrow()
     ids, toxic = said.column("id").to_numpy(), said.column("toxic").to_numpy()
     if not toxic.any() or toxic.all():
         return None
@@ -238,6 +278,7 @@ def _toxic_odds(signs: dict, h: np.ndarray, owner: np.ndarray, n: int) -> np.nda
 
 
 _ROW = pa.schema([("id", pa.int64()), ("x", pa.binary())])
+_SUM = pa.schema([("piece", pa.int32()), ("n", pa.int64()), ("vector", pa.binary())])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,33 +290,71 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield rows_of(_ROW, id=batch.column(0).slice(lo, hi - lo).take(pa.array(at)).to_pylist(), x=[x[i].tobytes() for i in at])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str | None = None, *, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, **parameters: object) -> dict | None:
-    """Fits on a bounded sample: the positives and the other ids of least hash. toxic_col: also learns the signs of toxic documents, from all labels."""
-    signs = toxic_signs(docs, labels, id_col, text_col, toxic_col) if toxic_col else None
-    model = _train_form(docs, labels, id_col, text_col, quality_col, max_positives, max_unlabelled, parameters)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+
+
+def _added(feats: DataFrame, f, pieces: int) -> list[np.ndarray]:
+    """Sums over all rows of f(features, positive), ``pieces`` rows of numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                one = f(_matrix(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False).astype(bool))
+                total = one if total is None else [a + b for a, b in zip(total, one)]
+        if total is not None:
+            yield rows_of(_SUM, piece=range(pieces), n=[1] * pieces, vector=[np.asarray(t, np.float64).tobytes() for t in total])
+
+    sums = add_vectors(arrow_map(feats.select("good", "x"), run, "piece int, n long, vector binary"), "float64", feats.rdd.getNumPartitions())
+    return [sums[i][1] for i in range(pieces)] if sums else []
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", toxic_col: str | None = None, *, max_labelled: int = MAX_LABELLED, **parameters: object) -> dict | None:
+    """The model, or None if there is nothing to learn from. toxic_col: also learns the signs of toxic documents."""
+    signs = toxic_signs(docs, labels, id_col, text_col, toxic_col, max_labelled) if toxic_col else None
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    rows = arrow_map(own, _extract, "id long, x binary").join(good.withColumn("good", F.lit(True)), "id", "left")
+    model = fit(rows.select("id", F.coalesce("good", F.lit(False)).alias("good"), "x"), **parameters)
     if signs:
         model = (model or {"cut": 0.0}) | {"toxic": signs}
     return model
 
 
-def _train_form(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, quality_col: str, max_positives: int, max_unlabelled: int, parameters: dict) -> dict | None:
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    good = labels.where(F.col(quality_col) == 1).select(F.col(id_col).cast("long").alias("id")).distinct()
-    ids = own.select("id").join(good.withColumn("good", F.lit(True)), "id", "left")
-    pick = lambda d, n: d.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(n)
-    chosen = {r["id"]: True for r in pick(ids.where("good"), max_positives).collect()}
-    chosen |= {r["id"]: False for r in pick(ids.where("good is null"), max_unlabelled).collect()}
-    if not chosen:
+def fit(rows: DataFrame, *, prior: float | None = None, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, max_loss: float = MAX_LOSS, margin: float = MARGIN, steps: int = STEPS, polish: int = POLISH, hidden: int = HIDDEN, seed: int = SEED) -> dict | None:
+    """The form scorer of rows (id, good, x), or None if there is nothing to learn from."""
+    feats = cut(rows.withColumn("half", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))))
+    counted = _added(feats, lambda x, good: [np.concatenate(([good.sum(), (~good).sum()], x.sum(0), (x * x).sum(0)))], 1)
+    if not counted or not counted[0][:2].all():
         return None
-    few = docs.sparkSession.createDataFrame([(i,) for i in chosen], "id long")
-    rows = arrow_map(own.join(F.broadcast(few), "id", "left_semi"), _extract, "id long, x binary").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["x"])))
-    order = np.random.Generator(np.random.PCG64(SEED)).permutation(len(rows))
-    sets: dict[bool, list] = {True: [], False: []}
-    for i in order:
-        sets[chosen[rows[i]["id"]]].append(np.frombuffer(rows[i]["x"], np.float32))
-    pos, unl = (np.array(sets[k], np.float64).reshape(-1, N_FEATURES) for k in (True, False))
-    return fit(pos, unl, **parameters)
+    n_pos, n_unl = (int(v) for v in counted[0][:2])
+    n = n_pos + n_unl
+    mean = counted[0][2 : 2 + N_FEATURES] / n
+    model = {"mean": mean, "scale": np.sqrt(np.maximum(counted[0][2 + N_FEATURES :] / n - mean * mean, 0)) + 1e-3}
+
+    def sample(of: DataFrame, most: int) -> np.ndarray:
+        table = of.orderBy(F.xxhash64("id", "x"), "id", "x").limit(most).select("x").toArrow()
+        x = standard(_matrix(table.column("x")), model)
+        return x[np.random.Generator(np.random.PCG64(SEED)).permutation(len(x))]
+
+    def bins(w: tuple, of: DataFrame) -> list[np.ndarray]:
+        found = _added(of, lambda x, good: [_bins(_forward(w, standard(x[g], model))[1]) for g in (good, ~good)], 2)
+        return found or [np.zeros(_BINS)] * 2
+
+    pos, unl = sample(feats.where("good"), max_positives), sample(feats.where("not good"), max_unlabelled)
+    if prior is None:
+        even = feats.where("half = 0")
+        first = [sample(even.where(c), m) for c, m in (("good", max_positives // 2), ("not good", max_unlabelled // 2))]
+        if len(first[0]) and len(first[1]):
+            prior = prior_bound(*bins(_fit(*first, None, steps, hidden, seed), feats.where("half = 1")))
+        else:
+            prior = prior_bound(*bins(_fit(pos, unl, None, steps, hidden, seed), feats))
+    w = _fit(pos, unl, prior, steps, hidden, seed + 1)
+    w = polished(w, lambda at: _added(feats, lambda x, good: [risk_parts(at, standard(x, model), good)], 1)[0], prior, n_pos, n_unl, polish)
+    below = np.cumsum(bins(w, feats)[0])
+    low = _LOW + _STEP * int(np.searchsorted(below, max(max_loss * n_pos, 1e-9)))
+    return model | {"w": w, "cut": min(0.0, low) - margin, "prior": prior}
 
 
 def _judge(raw: np.ndarray, offs: np.ndarray, model: dict | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

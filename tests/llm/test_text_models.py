@@ -185,14 +185,43 @@ def test_quality_on_held_out_labels(spark):
     assert sum(not r.keep for r in got if r.quality == 0) >= 0.9 * sum(r.quality == 0 for r in got)
 
 
-def test_prior_and_risk_on_mixed_gaussians():
+def test_prior_and_risk_on_mixed_gaussians(spark):
     g = np.random.default_rng(0)
-    pos, unl = g.normal(2, 1, (2000, 2)), np.concatenate((g.normal(2, 1, (1400, 2)), g.normal(-2, 1, (600, 2))))
-    unl = unl[g.permutation(2000)]
-    assert abs(quality_pu.estimate_prior(pos, unl) - 0.7) < 0.1
-    model = quality_pu.fit(pos, unl, prior=0.7, margin=0)
-    assert (quality_pu.scores(model, g.normal(2, 1, (500, 2))) >= model["cut"]).mean() > 0.95
-    assert (quality_pu.scores(model, g.normal(-2, 1, (500, 2))) < model["cut"]).mean() > 0.95
+    draw = lambda m, n: np.concatenate((g.normal(m, 1, (n, 2)), np.zeros((n, quality_pu.N_FEATURES - 2))), 1)
+    x = np.concatenate((draw(2, 2000), draw(2, 1400), draw(-2, 600))).astype(np.float32)
+    rows = spark.createDataFrame([(i, i < 2000, v.tobytes()) for i, v in enumerate(x)], "id long, good boolean, x binary")
+    model = quality_pu.fit(rows, margin=0)
+    assert abs(model["prior"] - 0.7) < 0.12
+    assert (quality_pu.scores(model, draw(2, 500)) >= model["cut"]).mean() > 0.95
+    assert (quality_pu.scores(model, draw(-2, 500)) < model["cut"]).mean() > 0.95
+    # What covers all rows, by brute force.
+    assert np.allclose(model["mean"], x.mean(0), atol=1e-5)
+    assert np.allclose(model["scale"], x.std(0) + 1e-3, atol=1e-4)
+    at = np.quantile(quality_pu.scores(model, x[:2000]), quality_pu.MAX_LOSS, method="inverted_cdf")
+    assert abs(model["cut"] - min(0, at)) < 0.01
+    # Rows over a sample's bound are in the risk: without the last steps, other weights.
+    few = quality_pu.fit(rows, margin=0, max_positives=50, max_unlabelled=50, polish=0)
+    more = quality_pu.fit(rows, margin=0, max_positives=50, max_unlabelled=50, polish=8)
+
+    def risk(m):
+        total = quality_pu.risk_parts(m["w"], quality_pu.standard(x.astype(float), m), np.arange(len(x)) < 2000)
+        return m["prior"] * total[0] / 2000 + max(0, total[2] / 2000 - m["prior"] * total[1] / 2000)
+
+    assert risk(more) < risk(few)
+
+
+def test_gradients_of_the_risk():
+    g = np.random.default_rng(1)
+    w = (g.normal(0, 1, (3, 4)), g.normal(0, 1, 4), g.normal(0, 1, 4), np.array(0.3))
+    x, good = g.normal(0, 1, (20, 3)), np.arange(20) % 3 == 0
+    total = quality_pu.risk_parts(w, x, good)
+    flat = quality_pu._flat(w)
+    for part in range(3):
+        for i in range(len(flat)):
+            e = np.zeros_like(flat)
+            e[i] = 1e-5
+            up, down = (quality_pu.risk_parts(quality_pu._shaped(flat + k * e, w), x, good)[part] for k in (1, -1))
+            assert np.isclose((up - down) / 2e-5, total[3:].reshape(3, -1)[part, i], atol=1e-5)
 
 
 def test_features_are_those_of_brute_force():
