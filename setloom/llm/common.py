@@ -291,6 +291,13 @@ def running(df: DataFrame, keys: list[str], weight: Column, name: str) -> DataFr
     return inner.join(F.broadcast(sums), "_part").withColumn(name, F.col("_inner") + F.col("_before")).drop("_part", "_weight", "_inner", "_before")
 
 
+def unused(prefix: str, columns: list[str]) -> str:
+    """prefix, with underscores added until no column's name starts with it."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def pick(df: DataFrame, columns: dict[str, Callable[[Column], Column] | None]) -> DataFrame:
     """Only these columns of df, under these names: what else it holds can't clash with a working column."""
     return df.select(*[(f(F.col(c)) if f else F.col(c)).alias(c) for c, f in columns.items()])

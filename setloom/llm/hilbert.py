@@ -6,7 +6,9 @@ transform) orders the documents, then their id, then a hash of the whole row; a
 ``floor(characters before / shard_chars)``. Rows equal in curve index and id share the shard of the first.
 A file of one shard then has a narrow range in every dimension, so a reader's min/max statistics prune files.
 
-What comes to the driver: at most ``2^bits - 1`` cuts a dimension, and one boundary a shard.
+What comes to the driver: at most ``2^bits - 1`` cuts a dimension, and one boundary for each part of the output: of ``PART_SHARDS``
+shards, or of as many more as leave ``MAX_PARTS`` parts. Documents are sent to their parts, and shards told by a
+join with the boundaries of the part, which are never gathered as a whole.
 
 Cases: a null dimension sorts before all values, a null id before all ids; a null or negative ``n_chars`` weighs 0. Repeated
 rows go together. An empty table has no shard. Texts are not read. Of other columns, those named like the two
@@ -19,9 +21,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import running
+from setloom.llm.common import cut, running, unused
 
 DIMENSIONS, BITS, SHARD_CHARS = ("lang", "source", "n_chars"), 4, 4_000_000
+PART_SHARDS, MAX_PARTS = 8, 100_000
 
 
 def curve(points: np.ndarray, bits: int) -> np.ndarray:
@@ -99,12 +102,10 @@ def _placed(docs: DataFrame, index: Column, id_col: str, chars_col: str, shard_c
     return running(narrow, ["hilbert", "id"], F.col("chars"), "before")
 
 
-def shard_bounds(placed: DataFrame, shard_chars: int) -> list[tuple[int, int, int]]:
-    """(hilbert, id, shard) of the first row of each shard, in order."""
-    first = F.min(F.struct("hilbert", "id"))
+def shard_bounds(placed: DataFrame, shard_chars: int) -> DataFrame:
+    """(shard, first): the (hilbert, id) of the first row of each shard."""
     same = placed.groupBy("hilbert", "id").agg(F.min("before").alias("before"))
-    rows = same.groupBy(F.floor(F.col("before") / shard_chars).cast("long").alias("shard")).agg(first.alias("f")).select("f.hilbert", "f.id", "shard").collect()
-    return sorted((r["hilbert"], r["id"], r["shard"]) for r in rows)
+    return same.groupBy(F.floor(F.col("before") / shard_chars).cast("long").alias("shard")).agg(F.min(F.struct("hilbert", "id")).alias("first"))
 
 
 def shards(docs: DataFrame, id_col: str = "doc_id", chars_col: str = "n_chars", *, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -115,34 +116,40 @@ def shards(docs: DataFrame, id_col: str = "doc_id", chars_col: str = "n_chars",
     return out.select(id_col, "hilbert", "shard")
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", chars_col: str = "n_chars", *, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """docs with ``hilbert`` and ``shard``, a run of shards to a task, in curve order: one shuffle of the texts."""
-    clash = {"hilbert", "shard"} & set(docs.columns)
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", chars_col: str = "n_chars", *, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, shard_chars: int = SHARD_CHARS, part_shards: int = PART_SHARDS, max_parts: int = MAX_PARTS) -> DataFrame:
+    """docs with ``hilbert`` and ``shard``, all of a shard in one task, in curve order: one shuffle of the texts."""
+    clash = {"hilbert", "shard"} & {c.lower() for c in docs.columns}
     if clash:
         raise ValueError(f"docs already has {sorted(clash)}")
     index = hilbert_index(docs, dimensions, bits)
-    bounds = shard_bounds(_placed(docs, index, id_col, chars_col, shard_chars), shard_chars)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    if not bounds:
+    bounds = cut(shard_bounds(_placed(docs, index, id_col, chars_col, shard_chars), shard_chars))
+    most = bounds.agg(F.max("shard")).first()[0]
+    if most is None:
         return docs.withColumns({"hilbert": index, "shard": F.lit(None).cast("long")})
+    own = unused("_curve", docs.columns)
+    key, part, low, ids, parts, fine = (f"{own}_{x}" for x in ("key", "part", "low", "ids", "parts", "fine"))
+    per = max(part_shards, -(-(most + 1) // max_parts))
+    bounds = bounds.withColumn(part, F.floor(F.col("shard") / per).cast("int"))
+    coarse = sorted((r["f"]["hilbert"], r["f"]["id"], r[part]) for r in bounds.groupBy(part).agg(F.min("first").alias("f")).collect())
+
     by_cell: dict[int, list[tuple[int, int]]] = {}
-    before: dict[int, int] = {}
-    for h, i, s in bounds:
-        by_cell.setdefault(h, []).append((i, s))
-    last = 0
+    for h, i, p in coarse:
+        by_cell.setdefault(h, []).append((i, p))
+    rows, last = [], coarse[0][2]
     for h in range(1 << (bits * len(dimensions))):
-        before[h] = last
-        if h in by_cell:
-            last = by_cell[h][-1][1]
-    rows = [(h, before[h], [i for i, _ in by_cell.get(h, [])], [s for _, s in by_cell.get(h, [])]) for h in before]
-    cells = docs.sparkSession.createDataFrame(rows, "hilbert long, _curve_low long, _curve_ids array<long>, _curve_shards array<long>")
-    at = F.size(F.filter("_curve_ids", lambda i: i <= F.col("_curve_key")))
-    placed = docs.withColumn("hilbert", index).withColumn("_curve_key", key).join(F.broadcast(cells), "hilbert", "left")
-    placed = placed.withColumn("shard", F.when(at > 0, F.get("_curve_shards", at - 1)).otherwise(F.col("_curve_low")))
-    spark = docs.sparkSession
-    parts = max(1, min(len(bounds), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    ranged = placed.select(*docs.columns, "hilbert", "shard").repartitionByRange(parts, "shard")
-    return ranged.sortWithinPartitions("shard", "hilbert", F.col(id_col).asc_nulls_first())
+        here = by_cell.get(h, [])
+        rows.append((h, last, [i for i, _ in here], [p for _, p in here]))
+        last = here[-1][1] if here else last
+    cells = docs.sparkSession.createDataFrame(rows, f"hilbert long, {low} int, {ids} array<long>, {parts} array<int>")
+    at = F.size(F.filter(ids, lambda i: i <= F.col(key)))
+    placed = docs.withColumn("hilbert", index).withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).join(F.broadcast(cells), "hilbert", "left")
+    placed = placed.withColumn(part, F.when(at > 0, F.get(parts, at - 1)).otherwise(F.col(low))).repartition(len(coarse), part)
+
+    inner = bounds.groupBy(part).agg(F.array_sort(F.collect_list(F.struct(F.col("first.hilbert").alias("h"), F.col("first.id").alias("i"), "shard"))).alias(fine))
+    joined = placed.join(inner.hint("shuffle_hash"), part)
+    reached = F.filter(fine, lambda b: (b["h"] < F.col("hilbert")) | ((b["h"] == F.col("hilbert")) & (b["i"] <= F.col(key))))
+    out = joined.withColumn("shard", F.element_at(reached, -1)["shard"])
+    return out.select(*docs.columns, "hilbert", "shard").sortWithinPartitions("shard", "hilbert", F.col(id_col).asc_nulls_first())
 
 
 def oracle_sql(dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, shard_chars: int = SHARD_CHARS) -> str:

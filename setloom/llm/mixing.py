@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import U, add_vectors, arrow_map, cut, fold, rows_of, slices, texts_of, word_hashes, word_spans
+from setloom.llm.common import U, add_vectors, arrow_map, cut, fold, rows_of, slices, texts_of, unused, word_hashes, word_spans
 
 TOPICS, ROUNDS, TOLERANCE, KEEP, BLEND, SEED, DRIVER_CELLS = 8, 200, 1e-6, 0.7, 0.3, "mix", 500_000
 DIMENSIONS = ("source", "lang", "topic")
@@ -390,9 +390,7 @@ def draw_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     model = describer(docs, text_col, lang_col, topic_col, topics)
     factors = calibrated(described(docs, model, id_col, text_col, source_col, lang_col, topic_col), keep=keep, **parameters)[0]
     model_of = docs.sparkSession.sparkContext.broadcast(model)
-    columns, mark = docs.columns, "_mix"
-    while any(c.lower().startswith(mark) for c in columns):
-        mark += "_"
+    columns, mark = docs.columns, unused("_mix", docs.columns)
     more = [f"{mark}{x}" for x in ("source", "lang", "topic", "tokens")]
     n, text_at = len(columns), columns.index(text_col)
     topic = _text(topic_col) if topic_col else F.lit(NO_TOPIC)

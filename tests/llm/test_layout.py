@@ -52,6 +52,8 @@ def brute_shards(rows, shard_chars, bits=4):
 def test_shards_are_those_of_brute_force(spark):
     df, rows = frame(spark)
     assert Counter(tuple(r) for r in hilbert.shards(df, shard_chars=700).collect()) == brute_shards(rows, 700)
+    for options in ({"part_shards": 1}, {"max_parts": 3}):
+        assert Counter((r.doc_id, r.hilbert, r.shard) for r in hilbert.shard_documents(df, shard_chars=700, **options).collect()) == brute_shards(rows, 700)
     done = hilbert.shard_documents(df, shard_chars=700)
     assert Counter((r.doc_id, r.hilbert, r.shard) for r in done.collect()) == brute_shards(rows, 700)
     assert done.columns == [*df.columns, "hilbert", "shard"]
