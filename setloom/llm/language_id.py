@@ -5,7 +5,9 @@ An n-gram's vector binds its letters' vectors, each permuted (rotated) once more
 ``rot(rot(a)) * rot(b) * c``. A text's vector bundles (adds) those of all its n-grams; a language's prototype
 bundles the texts that carry its label, all of them. A text gets the language of the largest cosine.
 
-Bundling is linear, so a task counts n-grams and multiplies counts by the n-grams' vectors in batches.
+Bundling is linear, so a task counts n-grams and multiplies counts by the n-grams' vectors, ``GRAMS`` at a time and for so few texts at
+once that no table of counts has more than ``CELLS`` numbers. A task sends one vector a language, of whole numbers, so
+that prototypes do not depend on the order of adding; the driver holds the prototypes.
 
 Cases: a null, empty or letterless text gets a null language and score. Rows without a language label add to
 no prototype; without any labelled text every language is null. Ties go to the language first in
@@ -21,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from setloom.llm.common import arrow_map, rows_of, slices, texts_of
+from setloom.llm.common import add_vectors, arrow_map, rows_of, slices, texts_of
 
 DIMENSIONS, SEED, SYMBOLS = 1024, 7, 64
 _N_GRAMS = SYMBOLS**3
+#: Numbers in a table of counts, n-grams whose vectors are made at once, and languages whose counts a task holds.
+CELLS, GRAMS, HELD = 1 << 22, 8192, 16
 
 
 def _symbols() -> np.ndarray:
@@ -97,59 +101,86 @@ def gram_ids(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return g[valid[:-2]], np.concatenate(([0], np.cumsum(number)))
 
 
-_COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
+_SUMS = pa.schema([("piece", pa.string()), ("n", pa.int64()), ("vector", pa.binary())])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[str, np.ndarray] = {}
-    for batch in batches:
-        langs = batch.column(0).to_pylist()
-        raw, offs = texts_of(batch.column(1))
-        for lo, hi in slices(offs):
-            g, goff = gram_ids(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-            names, code = np.unique(np.array(langs[lo:hi], object).astype(str), return_inverse=True)
-            label = np.repeat(code, np.diff(goff))
-            for i, name in enumerate(names.tolist()):
-                if name not in total:
-                    total[name] = np.zeros(_N_GRAMS, np.int64)
-                total[name] += np.bincount(g[label == i], minlength=_N_GRAMS)
-    for name, counts in total.items():
-        at = np.flatnonzero(counts)
-        yield rows_of(_COUNTS, lang=[name] * len(at), gram=at, n=counts[at])
+def bundled(grams: np.ndarray, counts: np.ndarray, dimensions: int, seed: int) -> np.ndarray:
+    """Sums of the n-grams' vectors by their counts (a row each, or one), ``GRAMS`` n-grams at a time."""
+    out = np.zeros((*counts.shape[:-1], dimensions), counts.dtype)
+    for lo in range(0, len(grams), GRAMS):
+        out += counts[..., lo : lo + GRAMS] @ gram_vectors(grams[lo : lo + GRAMS], dimensions, seed)
+    return out
+
+
+def _bundle(dimensions: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+
+        def sent() -> pa.RecordBatch:
+            vectors = []
+            for counts in total.values():
+                at = np.flatnonzero(counts)
+                vectors.append(np.rint(bundled(at, counts[at].astype(np.float64), dimensions, seed)).astype(np.int64).tobytes())
+            return rows_of(_SUMS, piece=list(total), n=[1] * len(total), vector=vectors)
+
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            raw, offs = texts_of(batch.column(1))
+            for lo, hi in slices(offs):
+                g, goff = gram_ids(raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+                names, code = np.unique(np.array(langs[lo:hi], object).astype(str), return_inverse=True)
+                label = np.repeat(code, np.diff(goff))
+                for i, name in enumerate(names.tolist()):
+                    if name not in total:
+                        if len(total) >= HELD:
+                            yield sent()
+                            total.clear()
+                        total[name] = np.zeros(_N_GRAMS, np.int64)
+                    total[name] += np.bincount(g[label == i], minlength=_N_GRAMS)
+        if total:
+            yield sent()
+
+    return run
 
 
 def prototypes(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> tuple[list[str], np.ndarray]:
-    """(languages in order, their prototypes of length 1). What is gathered is at most 64^3 counts a language."""
+    """(languages in order, their prototypes of length 1)."""
     own = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = arrow_map(own, _count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(counts["lang"].unique().tolist())
-    out = np.zeros((len(langs), dimensions))
-    for i, lang in enumerate(langs):
-        one = counts[counts["lang"] == lang].sort_values("gram")
-        for lo in range(0, len(one), 8192):
-            out[i] += one["n"].to_numpy()[lo : lo + 8192].astype(np.float64) @ gram_vectors(one["gram"].to_numpy(np.int64)[lo : lo + 8192], dimensions, seed)
+    sums = add_vectors(arrow_map(own, _bundle(dimensions, seed), "piece string, n long, vector binary"), "int64", own.rdd.getNumPartitions())
+    langs = sorted(lang for lang, (_, v) in sums.items() if v.any())
+    out = np.array([sums[lang][1] for lang in langs], float).reshape(-1, dimensions)
     return langs, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def cosines(raw: np.ndarray, offs: np.ndarray, protos: np.ndarray, seed: int) -> np.ndarray:
     """The cosine of each text with each prototype; NaN for a text without an n-gram."""
     g, goff = gram_ids(raw, offs)
-    n = len(offs) - 1
-    out = np.full((n, len(protos)), np.nan)
-    if not len(g) or not len(protos):
-        return out
+    out = np.full((len(offs) - 1, len(protos)), np.nan)
+    if len(g) and len(protos):
+        _cosines(g, goff, 0, len(out), protos, seed, out)
+    return out
+
+
+def _cosines(g: np.ndarray, goff: np.ndarray, lo: int, hi: int, protos: np.ndarray, seed: int, out: np.ndarray) -> None:
+    """Fills rows lo to hi, in halves until their table of counts is small enough."""
+    own = g[goff[lo] : goff[hi]]
     present = np.zeros(_N_GRAMS, bool)
-    present[g] = True
+    present[own] = True
     ids = np.flatnonzero(present)
+    if hi - lo > 1 and (hi - lo) * len(ids) > CELLS:
+        mid = (lo + hi) // 2
+        _cosines(g, goff, lo, mid, protos, seed, out)
+        _cosines(g, goff, mid, hi, protos, seed, out)
+        return
     place = np.zeros(_N_GRAMS, np.int64)
     place[ids] = np.arange(len(ids))
-    own = np.repeat(np.arange(n), np.diff(goff))
-    counts = np.bincount(own * len(ids) + place[g], minlength=n * len(ids)).reshape(n, len(ids)).astype(np.float32)
-    v = counts @ gram_vectors(ids, protos.shape[1], seed)
+    size = np.diff(goff[lo : hi + 1])
+    row = np.repeat(np.arange(hi - lo), size)
+    counts = np.bincount(row * len(ids) + place[own], minlength=(hi - lo) * len(ids)).reshape(hi - lo, len(ids)).astype(np.float32)
+    v = bundled(ids, counts, protos.shape[1], seed)
     length = np.linalg.norm(v, axis=1)
-    some = (np.diff(goff) > 0) & (length > 0)
-    out[some] = (v[some] @ protos.T.astype(np.float32)) / length[some, None]
-    return out
+    some = (size > 0) & (length > 0)
+    out[lo:hi][some] = (v[some] @ protos.T.astype(np.float32)) / length[some, None]
 
 
 _LANG = pa.schema([("id", pa.int64()), ("language", pa.string()), ("score", pa.float64()), ("margin", pa.float64())])

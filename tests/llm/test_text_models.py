@@ -52,6 +52,31 @@ def test_language_of_held_out_documents(spark):
     assert sum(r.language == r.lang for r in both) >= 0.97 * len(both)
 
 
+def test_many_short_texts_need_little_memory(monkeypatch):
+    g = np.random.default_rng(2)
+    texts = ["".join(chr(int(c)) for c in g.integers(97, 1400, 15)) for _ in range(400)]
+    protos = g.normal(0, 1, (3, 256))
+    protos /= np.linalg.norm(protos, axis=1, keepdims=True)
+    want = language_id.cosines(*texts_of(pa.array(texts)), protos, 7)
+    monkeypatch.setattr(language_id, "CELLS", 2000)
+    monkeypatch.setattr(language_id, "GRAMS", 50)
+    widest = []
+    inner = language_id.bundled
+    monkeypatch.setattr(language_id, "bundled", lambda ids, counts, *a: (widest.append(counts.size), inner(ids, counts, *a))[1])
+    assert np.allclose(language_id.cosines(*texts_of(pa.array(texts)), protos, 7), want, atol=1e-4, equal_nan=True)
+    assert max(widest) <= 2000
+
+
+def test_prototypes_are_bundles_of_all_labelled_texts(spark, monkeypatch):
+    rows = [(i, t, f"l{i % 20}") for i, t in enumerate(["the cat and dog", "der hund", "le chat", "x y z", "un perro"] * 12)]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    langs, protos = language_id.prototypes(df, dimensions=64)
+    v = language_id.letter_vectors(64, language_id.SEED)
+    for lang, proto in zip(langs, protos):
+        want = sum((np.roll(v[a], 2) * np.roll(v[b], 1) * v[c] for _, t, name in rows if name == lang for a, b, c in grams(t)), np.zeros(64))
+        assert np.allclose(proto, want / np.linalg.norm(want))
+
+
 def test_language_cases(spark):
     rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", None), (5, "123 !!", "en"), (None, "the dog", None), (7, "the dog " * 50000, None)]
     df = spark.createDataFrame(rows, DOCS).selectExpr("*", "0 AS score", "0 AS language", "0 AS id")
