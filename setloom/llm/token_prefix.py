@@ -29,27 +29,26 @@ from pyspark.sql import functions as F
 
 from setloom.llm.common import arrow_map
 
-#: Where the rank file is, and the longest and total number of pieces that a worker remembers.
-RANKS, BUDGETS, REMEMBERED = "/opt/tokenizers/byte_bpe_50k.tiktoken", (256, 1024, 4096), 300_000
+#: Where the driver finds the rank file, and how many pieces, and characters of pieces, a worker remembers.
+RANKS, BUDGETS, REMEMBERED, REMEMBERED_CHARS = "/opt/tokenizers/byte_bpe_50k.tiktoken", (256, 1024, 4096), 300_000, 8 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_counters: dict[str, PrefixCounter] = {}
+_counters: dict[int, PrefixCounter] = {}
 
 
 class PrefixCounter:
-    """Prefix counts of texts under one rank file, remembering pieces."""
+    """Prefix counts of texts under one rank file (its lines), remembering pieces."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
+    def __init__(self, lines: bytes, remembered: int = REMEMBERED, remembered_chars: int = REMEMBERED_CHARS) -> None:
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines())}
         self.longest = max(map(len, self.ranks))
         self.coder = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.split = regex.compile(PATTERN).findall
         self.follows: dict[int, bool] = {}
-        self.remembered = remembered
+        self.remembered, self.remembered_chars = remembered, remembered_chars
         self._forget()
 
     def _forget(self) -> None:
@@ -111,7 +110,7 @@ class PrefixCounter:
         pieces = self.split(text)
         if not pieces:
             return np.zeros(0, np.int32)
-        if len(self.place) > self.remembered:
+        if len(self.place) > self.remembered or self.used > self.remembered_chars:
             self._forget()
         get = self.place.get
         ids = [get(p) for p in pieces]
@@ -137,11 +136,18 @@ class PrefixCounter:
         return out
 
 
-def counter(path: str = RANKS) -> PrefixCounter:
-    """The worker's counter for a rank file."""
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+def rank_lines(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def counter(lines: bytes) -> PrefixCounter:
+    """The worker's counter for a rank file's lines."""
+    key = zlib.crc32(lines)
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = PrefixCounter(lines)
+    return _counters[key]
 
 
 def pack(counts: np.ndarray) -> bytes:
@@ -168,11 +174,15 @@ def longest_within(counts: np.ndarray, budget: int) -> int:
 
 
 def token_prefixes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, ranks: str = RANKS, budgets: tuple[int, ...] = BUDGETS) -> DataFrame:
-    """(id_col, tokens, prefix_counts, and chars_<budget> for each budget) for each row of docs. No shuffle."""
+    """(id_col, tokens, prefix_counts, and chars_<budget> for each budget) for each row of docs. No shuffle.
+
+    The driver reads the rank file and broadcasts it (under 1 MB); workers need no such file.
+    """
+    lines_of = docs.sparkSession.sparkContext.broadcast(rank_lines(ranks))
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.int64()), ("prefix_counts", pa.binary()), *[(f"chars_{b}", pa.int64()) for b in budgets]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(ranks)
+        own = counter(lines_of.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
