@@ -17,7 +17,7 @@ order; what a task holds is one conversation's messages.
 
 Cases: rows without a conversation are left out. A null sequence sorts first; events of one sequence sort by kind, message,
 role and text. Repeated rows are one event (a log delivered twice folds alike). A null kind is ``message``, a null message
-id the sequence as text (or ""), a null role ``unknown`` unless one was given, a null text "". A conversation without messages
+id the sequence as text (or ""), a null role ``unknown`` unless one was given (an empty role is one), a null text "". A conversation without messages
 left renders as "". Empty tables give none. Very long texts are taken whole. Other columns are ignored.
 """
 
@@ -26,7 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from setloom.llm.common import arrow_map
@@ -66,7 +66,7 @@ class Fold:
             own[0] = role
 
     def final(self) -> list[tuple[str, str]]:
-        return [(role or "unknown", "".join(parts)) for role, parts in self.messages.values()]
+        return [("unknown" if role is None else role, "".join(parts)) for role, parts in self.messages.values()]
 
 
 def _safe(text: str) -> str:
@@ -102,7 +102,7 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row == before:
                 continue
             before = row
-            state.apply(kind or "message", message if message is not None else "" if seq is None else str(seq), role, text or "")
+            state.apply("message" if kind is None else kind, message if message is not None else "" if seq is None else str(seq), role, text or "")
     if current is not None:
         done.append((current, state.final()))
     yield flush()
@@ -130,3 +130,39 @@ SELECT conv_id, count(*) AS messages,
 FROM (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, max(coalesce(text, '')) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL)
 GROUP BY conv_id
 """
+
+
+def replayed_log(conversations: DataFrame) -> DataFrame:
+    """An event log that ends in known messages: every text comes in two parts, each second of three turns is generated again,
+    the first message of every fifth conversation is edited at the end and the second of others deleted."""
+    own = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    own = own.groupBy("conv_id", "turn", "role").agg(F.max("text").alias("text"))
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    event = lambda seq, kind, text, role=None: F.struct(seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), (F.col("role") if role else F.lit(None).cast("string")).alias("role"), text.alias("text"))
+    base, last = F.col("turn") * 10, F.lit(1 << 40)
+    none = F.lit(None).cast("struct<seq:bigint,kind:string,role:string,text:string>")
+    again, edited = F.pmod("turn", F.lit(3)) == 1, (F.pmod("conv_id", F.lit(5)) == 0) & (F.col("n") == 1)
+    deleted = (F.pmod("conv_id", F.lit(5)) != 0) & (F.pmod("conv_id", F.lit(7)) == 3) & (F.col("n") == 2)
+    events = [
+        event(base, "message", F.substring("text", F.lit(1), half), True),
+        event(base + 1, "delta", F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")),
+        F.when(again, event(base + 2, "regenerate", F.lit("Again: "))).otherwise(none),
+        F.when(again, event(base + 3, "delta", F.col("text"))).otherwise(none),
+        F.when(edited, event(last, "edit", F.concat(F.lit("Edited: "), F.col("text")))).otherwise(none),
+        F.when(deleted, event(last, "delete", F.lit(None).cast("string"))).otherwise(none),
+    ]
+    each = own.select("conv_id", F.concat_ws(":", F.col("turn").cast("string"), "role").alias("message_id"), F.explode(F.array(*events)).alias("e")).where("e is not null")
+    return each.select("conv_id", "e.seq", "e.kind", "message_id", "e.role", "e.text")
+
+
+REPLAY_ORACLE = """
+WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, max(coalesce(text, '')) AS text FROM conversations WHERE conv_id IS NOT NULL GROUP BY ALL),
+     n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n FROM m),
+     f AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 5 = 0 THEN 'Edited: ' || text WHEN turn % 3 = 1 THEN 'Again: ' || text ELSE text END AS text
+           FROM n WHERE CASE WHEN conv_id % 5 = 0 THEN n = 1 WHEN conv_id % 7 = 3 THEN n <> 2 ELSE true END)
+SELECT conv_id, count(*) AS messages,
+       string_agg('<|im_start|>' || replace(replace(role, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || chr(10)
+                  || replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' || chr(10), '' ORDER BY turn, role) AS rendered
+FROM f GROUP BY conv_id
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from setloom.llm.chat_events import ORACLE as CHAT_SQL
-from setloom.llm.chat_events import chats, turns_as_events
+from setloom.llm.chat_events import REPLAY_ORACLE, chats, replayed_log, turns_as_events
 from setloom.llm.decontaminate import leaks
 from setloom.llm.graph_ann import neighbours
 from setloom.llm.hilbert import oracle_sql as shard_sql
@@ -62,14 +62,19 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats(turns_as_events(table(spark, sf_dir, "conversations")))
 
 
+def chat_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ninth operator over a log of deltas, edits, regenerations and deletions that is made of the conversations."""
+    return chats(replayed_log(table(spark, sf_dir, "conversations")))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_duplicates, op2_language_id, op3_hilbert_shards, op4_mixing, op5_lm_scores, op6_quality, op7_token_prefixes, op8_neighbours, op9_chat_format, op10_decontamination]
+    found = [op1_near_duplicates, op2_language_id, op3_hilbert_shards, op4_mixing, op5_lm_scores, op6_quality, op7_token_prefixes, op8_neighbours, op9_chat_format, op10_decontamination, chat_replay]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_hilbert_shards": shard_sql(), "op9_chat_format": CHAT_SQL}
+    return {"op3_hilbert_shards": shard_sql(), "op9_chat_format": CHAT_SQL, "chat_replay": REPLAY_ORACLE}
