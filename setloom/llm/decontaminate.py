@@ -7,8 +7,11 @@ characters has an edit budget of ``k = floor(rate * m)``. If it occurs in a docu
 bands of ``step + k`` diagonals, one every ``step``, some band holds that many. Bands that reach the bound are
 aligned within their diagonals; a document leaks an item if some window's distance is within its budget.
 
+A passage taken over without edits is sure to be found from ``window + stride - 1`` characters on, a whole item always.
+q-grams that many windows share are looked up in steps of ``PLACES`` places, so memory does not grow with them.
+
 Cases: a null or empty text leaks nothing; an item under ``min_chars`` folded characters, or null, is too short to tell
-and leaks nowhere. Each row of the documents is judged by itself, so repeated rows give repeated results.
+and leaks nowhere (``too_short`` lists them). Items without an id count as one item of null id. Each row of the documents is judged by itself, so repeated rows give repeated results.
 Whole texts are searched, however long. Other columns are ignored; an empty benchmark finds nothing.
 
 The benchmark is what is broadcast. It is taken in parts of at most ``part_bytes``, one pass over the documents
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 
 from setloom.llm.common import U, arrow_map, fold, powers, rows_of, slices, texts_of
 
-Q, WINDOW, STRIDE, RATE, STEP, MIN_CHARS, PART_BYTES = 12, 100, 50, 0.06, 16, 32, 16_000_000
+Q, WINDOW, STRIDE, RATE, STEP, MIN_CHARS, PART_BYTES = 12, 100, 25, 0.06, 16, 32, 16_000_000
+#: Places of shared q-grams that are looked at at once.
+PLACES = 1 << 21
 _BITS = 20
 
 
@@ -134,6 +139,34 @@ def align(ix: Index, text: np.ndarray, start: np.ndarray, end: np.ndarray, windo
     return best
 
 
+def _counted(ix: Index, at: np.ndarray, to: np.ndarray, doc: np.ndarray, widest: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, window, band) as one number, and how many q-grams they share, from hits in steps of PLACES places."""
+    n = ix.first[to + 1] - ix.first[to]
+    upto = np.cumsum(n)
+    key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PLACES, "right")))
+        k = n[lo:hi]
+        post = np.repeat(ix.first[to[lo:hi]] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        w = ix.window_of[post]
+        diagonal = np.repeat(at[lo:hi], k) - ix.place_of[post] + widest
+        band = diagonal // ix.step
+        base = (np.repeat(doc[lo:hi], k) * len(ix.items) + w) * bands
+        again = (diagonal % ix.step <= ix.budget[w]) & (band > 0)
+        new, times = np.unique(np.concatenate((base + band, base[again] + band[again] - 1)), return_counts=True)
+        if len(key):
+            new, first = np.unique(np.concatenate((key, new)), return_inverse=True)
+            times = np.bincount(first, weights=np.concatenate((count, times))).astype(np.int64)
+        key, count = new, times
+        lo = hi
+        if lo < len(at) and doc[lo] != doc[lo - 1]:  # what is short of its bound in texts done with can go
+            pair = key // bands
+            kept = (count >= ix.bound[pair % len(ix.items)]) | (pair // len(ix.items) >= doc[lo])
+            key, count = key[kept], count[kept]
+    return key, count
+
+
 def found(ix: Index, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, object, int, int]]:
     """(text, item, windows within their budget, least edits) of what the texts leak."""
     text, noff = normalised(raw, offs)
@@ -149,16 +182,9 @@ def found(ix: Index, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, objec
     doc = np.searchsorted(noff, at, "right") - 1
     whole = at + ix.q <= noff[doc + 1]
     at, to, doc = at[whole], to[whole], doc[whole]
-    n = ix.first[to + 1] - ix.first[to]
-    post = np.repeat(ix.first[to] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-    at, doc, w = np.repeat(at, n), np.repeat(doc, n), ix.window_of[post]
     widest = int(ix.length.max())
-    diagonal = at - ix.place_of[post] + widest
-    band = diagonal // ix.step
     bands = (len(text) + widest) // ix.step + 2
-    base = doc * len(ix.items) + w
-    again = (diagonal % ix.step <= ix.budget[w]) & (band > 0)
-    key, count = np.unique(np.concatenate((base * bands + band, base[again] * bands + band[again] - 1)), return_counts=True)
+    key, count = _counted(ix, at, to, doc, widest, bands)
     pair = key // bands
     kept = count >= ix.bound[pair % len(ix.items)]
     if not kept.any():
@@ -185,7 +211,7 @@ def found(ix: Index, raw: np.ndarray, offs: np.ndarray) -> list[tuple[int, objec
 
 def parts(benchmark: DataFrame, item_col: str, text_col: str, part_bytes: int, **parameters: object) -> list:
     """The benchmark's indexes as broadcasts, each of a part within part_bytes (on average)."""
-    own = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null and item is not null")
+    own = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + int(total // part_bytes)
     sc = benchmark.sparkSession.sparkContext
@@ -239,3 +265,17 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     for ix in parts(benchmark, item_col, item_text_col, part_bytes, **parameters):
         docs = arrow_map(docs, _clean(ix, docs.columns.index(text_col)), docs.schema)
     return docs
+
+
+def too_short(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """(item_col, chars) of the items that are too short to tell, in folded characters; null texts have 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folded, offs = normalised(*texts_of(batch.column(1)))
+            size = np.diff(offs)
+            size -= (size > 0) & (folded[np.maximum(offs[1:] - 1, 0)] == 0x20) if len(folded) else 0
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64))], names=["item", "chars"])
+
+    own = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text"))
+    return arrow_map(own, run, "item long, chars long").where(F.col("chars") < max(min_chars, Q)).withColumnRenamed("item", item_col)

@@ -14,7 +14,7 @@ CASES = ["", "a  b", "a \n\n b\n c", "  x  ", "it's we're I'll 'really 'lx' don'
 
 @pytest.fixture(scope="module")
 def counter():
-    return token_prefix.PrefixCounter(token_prefix.RANKS)
+    return token_prefix.PrefixCounter(token_prefix.rank_lines(token_prefix.RANKS))
 
 
 @pytest.mark.parametrize("text", CASES)
@@ -36,13 +36,25 @@ def test_random_texts(counter):
         assert counter.counts(text).tolist() == [len(counter.coder.encode_ordinary(text[:i])) for i in range(1, len(text) + 1)], repr(text)
 
 
-def test_token_cases(spark):
+def test_pieces_are_forgotten(counter):
+    few = token_prefix.PrefixCounter(token_prefix.rank_lines(token_prefix.RANKS), remembered_chars=50)
+    for text in ["one two three " * 5, "abcdefgh" * 20, "one two three " * 5]:
+        assert few.counts(text).tolist() == counter.counts(text).tolist()
+        assert few.used <= 50 + 2 * len(text)
+
+
+def test_token_cases(spark, tmp_path):
     rows = [(1, "hello world"), (1, "hello world"), (2, None), (3, ""), (None, "x"), (5, "word " * 30000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS tokens", "2 AS id")
     got = {r.doc_id: r for r in token_prefix.token_prefixes(df).collect()}
     assert (got[1].tokens, got[2].tokens, got[3].tokens, got[None].tokens, got[5].tokens) == (2, None, 0, 1, 30001)
     assert (got[1].chars_256, got[5].chars_1024, got[2].chars_256) == (11, 1024 * 5 - 1, None)
     assert token_prefix.token_prefixes(df.limit(0)).count() == 0
+    # Only the driver needs the rank file.
+    (tmp_path / "ranks").write_bytes(token_prefix.rank_lines(token_prefix.RANKS))
+    planned = token_prefix.token_prefixes(df, ranks=str(tmp_path / "ranks"))
+    (tmp_path / "ranks").unlink()
+    assert planned.where("doc_id = 1").first().tokens == 2
 
 
 # ---------------------------------------------------------------- chats
@@ -70,7 +82,7 @@ def fold_all(events):
             out[at][2] = text
         if role is not None:
             out[at][1] = role
-    return "".join(f"<|im_start|>{r or 'unknown'}\n{t}<|im_end|>\n" for _, r, t in out)
+    return "".join(f"<|im_start|>{'unknown' if r is None else r}\n{t}<|im_end|>\n" for _, r, t in out)
 
 
 EVENTS = "conv_id long, seq long, kind string, message_id string, role string, text string"
@@ -80,7 +92,7 @@ def test_folds_are_those_of_a_replay(spark):
     g = random.Random(3)
     rows, want = [], {}
     for c in range(60):
-        log = [(g.choice(["message", "delta", "delta", "edit", "regenerate", "delete", "other"]), g.choice("abcd"), g.choice(["user", "assistant", None]), g.choice(["x", "yy ", "", "z\n"])) for _ in range(g.randint(1, 14))]
+        log = [(g.choice(["message", "delta", "delta", "edit", "regenerate", "delete", "other"]), g.choice("abcd"), g.choice(["user", "assistant", "", None]), g.choice(["x", "yy ", "", "z\n"])) for _ in range(g.randint(1, 14))]
         want[c] = fold_all(log)
         rows += [(c, i, *e) for i, e in enumerate(log)]
     rows += rows[::3]
@@ -89,13 +101,14 @@ def test_folds_are_those_of_a_replay(spark):
 
 
 def test_chat_cases(spark):
-    rows = [(1, 0, None, None, None, None), (2, None, "message", "a", "user", "first"), (2, 1, "delta", "a", None, "<|im_end|>"), (None, 1, "message", "a", "user", "lost"), (3, 1, "edit", "gone", "user", "x"), (4, 1, "message", "m", "user", "t" * 200000)]
+    rows = [(1, 0, None, None, None, None), (2, None, "message", "a", "user", "first"), (2, 1, "delta", "a", None, "<|im_end|>"), (None, 1, "message", "a", "user", "lost"), (3, 1, "edit", "gone", "user", "x"), (4, 1, "message", "m", "user", "t" * 200000), (5, 1, "message", "m", "", "x"), (5, 2, "", "m", "user", "y")]
     got = {r.conv_id: (r.messages, r.rendered) for r in chat_events.chats(spark.createDataFrame(rows, EVENTS).selectExpr("*", "1 AS messages", "2 AS rendered")).collect()}
     assert got[1] == (1, "<|im_start|>unknown\n<|im_end|>\n")
     assert got[2] == (1, "<|im_start|>user\nfirst<| im_end|><|im_end|>\n")
     assert got[3] == (0, "")
     assert len(got[4][1]) > 200000
-    assert set(got) == {1, 2, 3, 4}
+    assert got[5] == (1, "<|im_start|>\nx<|im_end|>\n")
+    assert set(got) == {1, 2, 3, 4, 5}
     assert chat_events.chats(spark.createDataFrame([], EVENTS)).count() == 0
 
 
@@ -175,7 +188,7 @@ def distance_within(pattern, text):
     return int(row.min())
 
 
-def test_leaks_are_those_of_brute_force():
+def test_leaks_are_those_of_brute_force(monkeypatch):
     g = random.Random(5)
     word = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(g.randint(2, 8)))
     items = [(i, " ".join(word() for _ in range(g.randint(8, 40)))) for i in range(12)]
@@ -190,6 +203,8 @@ def test_leaks_are_those_of_brute_force():
     ix = decontaminate.index(items)
     raw, offs = texts_of(pa.array(docs))
     got = {(d, item): e for d, item, _, e in decontaminate.found(ix, raw, offs)}
+    monkeypatch.setattr(decontaminate, "PLACES", 400)
+    assert {(d, item): e for d, item, _, e in decontaminate.found(ix, raw, offs)} == got
     want = {}
     for d, text in enumerate(docs):
         n = " ".join("".join(c if c.isalnum() else " " for c in text).split())
@@ -206,11 +221,14 @@ def test_leak_cases(spark):
     bench = spark.createDataFrame([(1, passage), (2, "short"), (3, None), (4, ""), (None, passage), (5, passage)], "item_id long, text string")
     rows = [(1, "Before: " + passage.upper() + "!"), (1, "Before: " + passage.upper() + "!"), (2, None), (3, ""), (None, passage), (5, "word " * 100000 + passage), (6, "short and clean"), (7, passage[:30])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS item_id", "2 AS id", "3 AS edits")
-    want = sorted([(1, i, 1, 0) for i in (1, 5)] * 2 + [(i, j, 1, 0) for i in (0, 5) for j in (1, 5)])
+    want = sorted([(1, i, 1, 0) for i in (0, 1, 5)] * 2 + [(i, j, 1, 0) for i in (0, 5) for j in (0, 1, 5)])
     for size in (decontaminate.PART_BYTES, 40):
-        assert sorted(((r.doc_id or 0), r.item_id, r.windows, r.edits) for r in decontaminate.leaks(docs, bench, part_bytes=size).collect()) == want
+        assert sorted(((r.doc_id or 0), r.item_id or 0, r.windows, r.edits) for r in decontaminate.leaks(docs, bench, part_bytes=size).collect()) == want
         clean = decontaminate.drop_leaks(docs, bench, part_bytes=size)
         assert clean.columns == docs.columns
         assert sorted(r.doc_id for r in clean.collect()) == [2, 3, 6, 7]
+    only = bench.where("item_id is null")
+    assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, only).collect()) == [2, 3, 6, 7]
+    assert {tuple(r) for r in decontaminate.too_short(bench).collect()} == {(2, 5), (3, 0), (4, 0)}
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
