@@ -60,3 +60,26 @@ def fragment_bound(before_a: Column, before_b: Column, shared: Column, after_a:
 def most_differences(n: Column, t: float) -> Column:
     """The most tokens that are in one only of a set of size n and a similar one."""
     return floor_guarded(n * ((1 - t) / t))
+
+
+def histogram_difference(a: Column, b: Column) -> Column:
+    """The sum of differences of two histograms of tokens by group: sets differ in so many tokens at least."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+
+
+def suffix_bound(a: Column, b: Column, depth: int = 2) -> Column:
+    """The least number of tokens that are in one only of two sorted arrays of comparable tokens, by halving: b's middle token
+    cuts both arrays, and what is left and right of it can only match on its own side."""
+    if depth == 0:
+        return F.abs(F.size(a) - F.size(b))
+    middle = F.get(b, F.floor(F.size(b) / 2).cast("int"))
+    left, right = (lambda x: F.filter(x, lambda t: t < middle)), (lambda x: F.filter(x, lambda t: t > middle))
+    there = F.when(F.array_contains(a, middle), 0).otherwise(1)
+    whole = suffix_bound(left(a), left(b), depth - 1) + there + suffix_bound(right(a), right(b), depth - 1)
+    return F.when(F.size(b) == 0, F.size(a)).otherwise(whole)
+
+
+def suffix_filter(a: Column, b: Column, t: float, depth: int = 2) -> Column:
+    """Whether sorted sets may still be similar enough by ``suffix_bound``."""
+    n, m = F.size(a), F.size(b)
+    return suffix_bound(a, b, depth) <= n + m - 2 * min_overlap(n, m, t)

@@ -58,6 +58,11 @@ def partial_overlap(a: Column, b: Column, stop: Column) -> Column:
     return overlap(upto(a), upto(b))
 
 
+def partial_intersect(a: Column, b: Column, stop: Column) -> Column:
+    """(overlap, at1, at2): common elements of two sorted arrays up to and with ``stop``, and its place in each from 1 (0: not there)."""
+    return F.struct(partial_overlap(a, b, stop).alias("overlap"), F.array_position(a, stop).alias("at1"), F.array_position(b, stop).alias("at2"))
+
+
 def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
     """Edit distance; with ``most``, -1 above it."""
     return F.levenshtein(a, b) if most is None else F.levenshtein(a, b, most)
@@ -67,8 +72,17 @@ def edit_distance_folded(a: Column, b: Column, most: int | None = None) -> Colum
     return edit_distance(F.lower(a), F.lower(b), most)
 
 
-def token_edit_distance(a: Column, b: Column) -> Column:
-    """Edit distance of two token arrays, by rows of the dynamic program."""
+def edit_distance_bytes(a: Column, b: Column, most: int | None = None) -> Column:
+    """Edit distance of the UTF-8 bytes in small letters: what differs by one accented letter differs by its bytes."""
+    raw = lambda c: F.decode(F.encode(F.lower(c), "UTF-8"), "ISO-8859-1")
+    return edit_distance(raw(a), raw(b), most)
+
+
+def token_edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
+    """Edit distance of two token arrays, by rows of the dynamic program; with ``most``, -1 above it."""
+    if most is not None:
+        exact = token_edit_distance(a, b)
+        return F.when(F.abs(F.size(a) - F.size(b)) > most, -1).when(exact > most, -1).otherwise(exact)
     start = F.transform(F.sequence(F.lit(0), F.size(b)), lambda x: x.cast("int"))
 
     def row(before: Column, x: Column) -> Column:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STOP = "a able about across after all almost also am among an and any are as at be because been but by can for from i if in is it of on or that the this to was with".split()
+STOP = "a i an as at be by in is it of on or to and are com for how not the was who www also from that this what when will with about where".split()
 
 
 def _words(text: Column, separators: str) -> Column:
@@ -27,9 +27,18 @@ def plain_words(text: Column) -> Column:
 
 
 def stopped(text: Column, stop: list[str] = STOP) -> Column:
-    """Distinct ASCII-letter words in small letters, stop words (at ASCII word bounds) taken out."""
-    kept = F.regexp_replace(text, rf"(?i)\b(?:{'|'.join(map(re.escape, stop))})\b", "")
-    return F.array_distinct(_words(F.lower(F.regexp_replace(kept, "[^a-zA-Z ]", "")), " +"))
+    """Distinct ASCII-letter words in small letters: stop words (at word bounds) and all other characters become blanks."""
+    kept = F.regexp_replace(text, rf"(?i)\b(?:{'|'.join(map(re.escape, stop))})\b", " ")
+    return F.array_distinct(_words(F.lower(F.regexp_replace(kept, "[^a-zA-Z ]", " ")), " +"))
+
+
+def title_words(text: Column) -> Column:
+    """Words of bibliographic titles: runs that begin with a letter, in small letters, without dots, of two characters at least;
+    the k-th occurrence of a word has k - 1 ones appended."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z\u00a0-\u00ff][a-z0-9\u00a0-\u00ff.\-]*"), F.lit(0))
+    kept = F.filter(F.transform(words, lambda w: F.replace(w, F.lit("."), F.lit(""))), lambda w: F.length(w) > 1)
+    tagged = F.transform(numbered(kept, "\x1f"), lambda t: F.split(t, "\x1f"))
+    return F.transform(tagged, lambda p: F.concat(p[0], F.repeat(F.lit("1"), p[1].cast("int") - 1)))
 
 
 def numbered(tokens: Column, separator: str = "_") -> Column:
@@ -66,6 +75,31 @@ def ngrams(text: Column, n: int = 3, pad: str = "$", tag: bool = True) -> Column
     return F.when(F.length(text) > 0, out).otherwise(F.array().cast("array<string>"))
 
 
+def hashed_ngrams(text: Column, n: int = 3, pre: str = "#", post: str = "$") -> Column:
+    """Character n-grams of the text between pre- and post-characters as 32-bit hashes, the occurrence number folded in last."""
+    padded = F.concat(F.lit(pre * (n - 1)), F.lower(text), F.lit(post * (n - 1)))
+    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n)))
+    parts = F.transform(numbered(grams, "\x1f"), lambda t: F.split(t, "\x1f"))
+    signed = lambda h: F.when(h >= 1 << 31, h - (1 << 32)).otherwise(h).cast("int")
+    out = F.transform(parts, lambda p: signed(F.pmod(string_hash(p[0]).cast("long") * 31 + p[1].cast("long"), F.lit(1 << 32))))
+    return F.when(F.length(text) > 0, out).otherwise(F.array().cast("array<int>"))
+
+
+def utf8_token(text: Column) -> Column:
+    """The UTF-8 bytes of a token in small letters after their number in two bytes."""
+    raw = F.encode(F.lower(text), "UTF-8")
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(raw)), 4, "0")), raw)
+
+
+def polynomial_hash(parts: list[Column], buckets: int, base: int = 33) -> Column:
+    """``h = base * h + part`` over integer parts in 32 bits with wrap-around, its absolute value modulo ``buckets``."""
+    wrap = lambda x: F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    h = F.lit(0).cast("long")
+    for part in parts:
+        h = wrap(h * base + part.cast("long"))
+    return F.pmod(F.abs(h), F.lit(buckets)).cast("int")
+
+
 def string_hash(text: Column, fold: bool = True) -> Column:
     """``h = 31 h + c`` over UTF-16 code units below the surrogates, in 32 bits with wrap-around."""
     s = F.lower(text) if fold else text
@@ -137,12 +171,22 @@ def stem(w: str) -> str:
 ENGLISH_STOP = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
+#: A word: letters and digits, with an apostrophe, dot or colon between letters, or a dot, comma or apostrophe between digits.
+_ENGLISH = re.compile(r"\w+(?:(?:(?<=[^\W\d_])['\u2019.:](?=[^\W\d_])|(?<=\d)[.,;'\u2019](?=\d))\w+)*")
+
+
+def english_words(text: str) -> list[str]:
+    """Words in small letters, without a possessive 's and without stop words."""
+    words = (re.sub(r"['\u2019]s$", "", w.lower()) for w in _ENGLISH.findall(text) if w.strip("_"))
+    return [w for w in words if w and w not in ENGLISH_STOP]
+
+
 def _english(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     kept: dict[str, str] = {}
     for texts in batches:
         out = []
         for text in texts:
-            words = [] if text is None else [w for w in re.findall(r"[^\W_]+", text.lower()) if w not in ENGLISH_STOP]
+            words = [] if text is None else english_words(text)
             for w in words:
                 if w not in kept:
                     kept[w] = stem(w)
@@ -157,7 +201,7 @@ def english(text: Column) -> Column:
     return F.pandas_udf(_english, "array<string>")(text)
 
 
-TOKENIZERS: dict[str, Callable[..., Column]] = {"basic": basic, "stopped": stopped, "english": english, "occurrences": occurrences, "words": word_counts, "ngrams": ngrams, "plain": plain_words}
+TOKENIZERS: dict[str, Callable[..., Column]] = {"basic": basic, "stopped": stopped, "english": english, "occurrences": occurrences, "words": word_counts, "ngrams": ngrams, "plain": plain_words, "titles": title_words, "hashed_words": hashed_words, "hashed_ngrams": hashed_ngrams}
 
 
 def tokenizer(name: str) -> Callable[..., Column]:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under the checkpoint folder, which all executors share."""
+    cut(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def running_sum(df: DataFrame, keys: list[str], weight: Column, name: str) -> DataFrame:
     """df with the weight of all rows before each, in the order of keys, as ``name``.
 

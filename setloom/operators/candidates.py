@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from setloom.functions import bounds
 from setloom.operators.base import cut
+from setloom.operators.kernel import PrefixIndex
+from setloom.operators.order import group_histograms, hash_sample, token_groups, token_order
+from setloom.operators.stats import cell_sizes
 
 Strategy = Callable[..., DataFrame]
 
@@ -61,16 +64,79 @@ def chunked(r: DataFrame, s: DataFrame, self_join: bool, t: float, chunk_size: i
     return both.groupBy("rid1", "rid2", "n1", "n2").agg(F.count("*").alias("overlap"))
 
 
+#: Prefix postings of a token up to which it is joined as a whole; more are cut into chunks of as many.
+HEAVY = 2000
+
+
+def _met(a: DataFrame, b: DataFrame, condition: Column, heavy: int = HEAVY) -> DataFrame:
+    """a and b, sides 1 and 2 of postings, joined by token. Chunks of heavy tokens' postings meet pairwise, so no task holds one whole."""
+    load = a.select("tok").unionByName(b.select("tok")).groupBy("tok").agg(F.count("*").alias("f")).where(F.col("f") > 2 * heavy)
+    large = cut(load.select("tok", F.ceil(F.col("f") / (2 * heavy)).cast("int").alias("c")))
+    if not large.count():
+        return a.join(b, "tok").where(condition)
+    left, right = (x.join(large, "tok").withColumn("_k", F.pmod(F.xxhash64(r), F.col("c").cast("long")).cast("int")) for x, r in ((a, "rid1"), (b, "rid2")))
+    every = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
+    left, right = left.withColumn("_j", every).withColumnRenamed("_k", "_i").drop("c"), right.withColumn("_i", every).withColumnRenamed("_k", "_j").drop("c")
+    small = a.join(large, "tok", "left_anti").join(b, "tok").where(condition)
+    return small.unionByName(left.join(right, ["tok", "_i", "_j"]).where(condition).select(*small.columns))
+
+
 def prefix(r: DataFrame, s: DataFrame, self_join: bool, t: float) -> DataFrame:
-    """Pairs that share one of their first tokens in the order of frequency, within the length and position filters."""
-    p = bounds.prefix_length(F.col("n"), t)
-    a, b = _side(_exploded(r, p), "1", "tok"), _side(_exploded(s, p), "2", "tok")
+    """Pairs that share one of their first tokens in the order of frequency, within the length and position filters.
+
+    Of a self-join, the shorter set of a pair is looked for by its index prefix alone.
+    """
     n1, n2, i, j = (F.col(c) for c in ("n1", "n2", "pos1", "pos2"))
-    return _pairs(a.join(b, "tok").where(_order(self_join) & bounds.length_filter(n1, n2, t) & bounds.position_filter(n1, i, n2, j, t)))
+    p = bounds.prefix_length(F.col("n"), t)
+    first = bounds.index_prefix_length(F.col("n"), t) if self_join else p
+    a, b = _side(_exploded(r, first), "1", "tok"), _side(_exploded(s, p), "2", "tok")
+    near = bounds.length_filter(n1, n2, t) & bounds.position_filter(n1, i, n2, j, t)
+    if self_join:
+        near = ((n1 < n2) | ((n1 == n2) & (F.col("rid1") < F.col("rid2")))) & near
+    met = _met(a, b, near).select("rid1", "rid2")
+    if self_join:
+        met = met.select(F.least("rid1", "rid2").alias("rid1"), F.greatest("rid1", "rid2").alias("rid2"))
+    return met.distinct()
+
+
+def _ranked(r: DataFrame, s: DataFrame) -> list[DataFrame]:
+    """(rid, ranks) of both: tokens as numbers in one order, sorted, for filters that compare tokens."""
+    posts = [x.select("rid", F.explode("toks").alias("tok")) for x in (r, s)]
+    ids = cut(token_order(posts[0].unionByName(posts[1])).select(F.col("token").alias("tok"), "rank"))
+    return [p.join(ids, "tok").groupBy("rid").agg(F.array_sort(F.collect_list("rank")).alias("ranks")) for p in posts]
+
+
+def _with_suffix_bound(df: DataFrame, a: str, b: str, depth: int, name: str) -> DataFrame:
+    """df with ``bounds.suffix_bound`` of two columns as ``name``, level by level: each half is made once."""
+    if depth == 0:
+        return df.withColumn(name, F.abs(F.size(a) - F.size(b)))
+    middle = F.get(b, F.floor(F.size(b) / 2).cast("int"))
+    at = F.size(F.filter(a, lambda t: t < F.col(f"{name}_m")))
+    there = F.get(a, F.col(f"{name}_at")) == F.col(f"{name}_m")
+    df = df.withColumn(f"{name}_m", middle).withColumn(f"{name}_at", at).withColumn(f"{name}_in", F.coalesce(there, F.lit(False)).cast("int"))
+    half, found = F.floor(F.size(b) / 2).cast("int"), F.col(f"{name}_at")
+    end = lambda x, k: F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0)))
+    halves = {f"{name}_la": F.slice(a, 1, found), f"{name}_lb": F.slice(b, 1, half), f"{name}_ra": end(a, found + F.col(f"{name}_in")), f"{name}_rb": end(b, half + 1)}
+    df = df.withColumns(halves)
+    for side in "lr":
+        df = _with_suffix_bound(df, f"{name}_{side}a", f"{name}_{side}b", depth - 1, f"{name}_{side}")
+    whole = F.col(f"{name}_l") + F.col(f"{name}_r") + 1 - F.col(f"{name}_in")
+    return df.withColumn(name, F.when(F.size(b) == 0, F.size(a)).otherwise(whole))
+
+
+def prefix_suffix(r: DataFrame, s: DataFrame, self_join: bool, t: float, depth: int = 2) -> DataFrame:
+    """Prefix pairs that pass the suffix filter: halving both sets, too many tokens are in one only."""
+    found = prefix(r, s, self_join, t)
+    ranks = _ranked(r, s)
+    for k, x in (("1", ranks[0]), ("2", ranks[1])):
+        found = found.join(x.select(F.col("rid").alias(f"rid{k}"), F.col("ranks").alias(f"ranks{k}")), f"rid{k}")
+    bounded = _with_suffix_bound(found, "ranks1", "ranks2", depth, "_b")
+    n, m = F.size("ranks1"), F.size("ranks2")
+    return bounded.where(F.col("_b") <= n + m - 2 * bounds.min_overlap(n, m, t)).select("rid1", "rid2")
 
 
 def two_sided(r: DataFrame, s: DataFrame, self_join: bool, t: float) -> DataFrame:
-    """Prefix pairs whose last tokens in reverse order meet as well: both tests hold for every answer."""
+    """Prefix pairs whose last tokens in reverse order meet as well: each test holds for every answer, so both may be asked for."""
     p = bounds.prefix_length(F.col("n"), t)
     back = F.slice(F.reverse("toks"), 1, p)
     found = prefix(r, s, self_join, t)
@@ -115,9 +181,10 @@ def group(r: DataFrame, s: DataFrame, self_join: bool, t: float) -> DataFrame:
     return _pairs(both)
 
 
-def segment(r: DataFrame, s: DataFrame, self_join: bool, t: float) -> DataFrame:
+def segment(r: DataFrame, s: DataFrame, self_join: bool, t: float, groups: int = 0) -> DataFrame:
     """Sorted records are cut into one segment more than they may differ by; one of them stands whole in any similar
-    record, not far from its place. Probes enumerate substrings for all lengths that a partner may have."""
+    record, not far from its place. Probes enumerate substrings for all lengths that a partner may have. With ``groups``, pairs
+    go whose tokens, counted by so many groups of level frequency, differ too much."""
 
     def shape(a: Column) -> Column:
         return F.least(bounds.most_differences(a, t) + 1, a)
@@ -140,14 +207,30 @@ def segment(r: DataFrame, s: DataFrame, self_join: bool, t: float) -> DataFrame:
     probe = probe.withColumn("lo", low).withColumn("hi", high).where("lo <= hi").withColumn("p", F.explode(F.sequence("lo", "hi")))
     probe = probe.select("rid", "n", "a", "i", F.slice("toks", p + 1, F.col("m")).alias("sig")).distinct()
     both = _side(own, "1", "a", "i", "sig").join(_side(probe, "2", "a", "i", "sig"), ["a", "i", "sig"])
+    if groups:
+        both = _light(both, r, s, self_join, t, groups)
     if self_join:
         both = both.where("n1 < n2 or (n1 = n2 and rid1 < rid2)").select(F.least("rid1", "rid2").alias("rid1"), F.greatest("rid1", "rid2").alias("rid2"))
     return _pairs(both)
 
 
-def fragment(r: DataFrame, s: DataFrame, self_join: bool, t: float, fragments: int = 11) -> DataFrame:
+def _light(pairs: DataFrame, r: DataFrame, s: DataFrame, self_join: bool, t: float, groups: int) -> DataFrame:
+    """Pairs (rid1, n1, rid2, n2) whose histograms over token groups are near enough."""
+    posts = [x.select("rid", F.explode("toks").alias("tok")) for x in ((r,) if self_join else (r, s))]
+    every = posts[0] if self_join else posts[0].unionByName(posts[1])
+    of = cut(token_groups(cut(token_order(every)), groups))
+    hist = [group_histograms(p, of, groups) for p in posts]
+    out = pairs.select("rid1", "n1", "rid2", "n2").distinct()
+    for k, x in (("1", hist[0]), ("2", hist[-1])):
+        out = out.join(x.select(F.col("rid").alias(f"rid{k}"), F.col("hist").alias(f"hist{k}")), f"rid{k}")
+    most = F.col("n1") + F.col("n2") - 2 * bounds.min_overlap(F.col("n1"), F.col("n2"), t)
+    return out.where(bounds.histogram_difference(F.col("hist1"), F.col("hist2")) <= most)
+
+
+def fragment(r: DataFrame, s: DataFrame, self_join: bool, t: float, fragments: int = 11, horizontal: int = 3) -> DataFrame:
     """Records are cut at fixed token ranks into fragments; overlaps are counted by fragment, dropped where even the rest
-    could not reach the threshold, and added up. Returns overlaps."""
+    could not reach the threshold, and added up. Records are also dealt to ``horizontal`` bands of lengths, one side to the
+    bands of all lengths that a partner may have, so that only records of near lengths meet. Returns overlaps."""
     posts = _all(r).unionByName(_all(s)) if not self_join else _all(r)
     freq = posts.groupBy("tok").agg(F.count("*").alias("f"))
     total = freq.agg(F.sum("f")).first()[0] or 1
@@ -161,12 +244,32 @@ def fragment(r: DataFrame, s: DataFrame, self_join: bool, t: float, fragments: i
     for c in cuts[:-1]:
         place = place + F.when(F.col("f") > c, 1).otherwise(0)
 
-    def cutted(sets: DataFrame) -> DataFrame:
-        out = sets.select("rid", "n", F.posexplode("toks").alias("pos", "tok")).join(freq, "tok").select("rid", "n", "tok", place.alias("frag"), "pos")
+    lengths = r.select("n") if self_join else r.select("n").unionByName(s.select("n"))
+    upto, band_ends = 0, []
+    sizes = lengths.groupBy("n").agg(F.count("*").alias("k")).orderBy("n").collect()
+    for row in sizes:
+        upto += row["k"]
+        if upto >= sum(x["k"] for x in sizes) * (len(band_ends) + 1) / horizontal:
+            band_ends.append(row["n"])
+
+    def band(n: Column) -> Column:
+        out = F.lit(0)
+        for end in band_ends[:-1]:
+            out = out + F.when(n > end, 1).otherwise(0)
+        return out
+
+    def cutted(sets: DataFrame, bands: Column) -> DataFrame:
+        # Places in the order of these frequencies, which need not be that of toks.
+        at = F.row_number().over(Window.partitionBy("rid").orderBy("f", "tok")) - 1
+        out = _all(sets).join(freq, "tok").withColumn("pos", at).select("rid", "n", "tok", place.alias("frag"), "pos")
         ends = out.groupBy("rid", "frag").agg(F.min("pos").alias("before"), F.max("pos").alias("last"))
-        return out.join(ends, ["rid", "frag"]).select("rid", "n", "tok", "frag", "before", (F.col("n") - F.col("last") - 1).alias("after"))
+        return out.join(ends, ["rid", "frag"]).select("rid", "n", "tok", "frag", "before", (F.col("n") - F.col("last") - 1).alias("after"), F.explode(bands).alias("band"))
 
-    both = _side(cutted(r), "1", "tok", "frag").join(_side(cutted(s), "2", "tok", "frag"), ["tok", "frag"]).where(_order(self_join) & bounds.length_filter(F.col("n1"), F.col("n2"), t))
+    least, most = bounds.min_length(F.col("n"), t), bounds.max_length(F.col("n"), t)
+    left = cutted(r, F.sequence(band(least), band(most)))
+    right = cutted(s, F.array(band(F.col("n"))))
+    keys = ["tok", "frag", "band"]
+    both = _side(left, "1", *keys).join(_side(right, "2", *keys), keys).where(_order(self_join) & bounds.length_filter(F.col("n1"), F.col("n2"), t))
     parts = both.groupBy("rid1", "rid2", "n1", "n2", "frag", "before1", "before2", "after1", "after2").agg(F.count("*").alias("o"))
     parts = parts.where(bounds.fragment_bound(F.col("before1"), F.col("before2"), F.col("o"), F.col("after1"), F.col("after2")) >= bounds.min_overlap(F.col("n1"), F.col("n2"), t))
     return parts.groupBy("rid1", "rid2", "n1", "n2").agg(F.sum("o").alias("overlap"))
@@ -180,22 +283,41 @@ def _distance(a: Column, b: Column) -> Column:
 def _cells(sets: DataFrame, pivots: DataFrame, eps: float, keys: list[str]) -> DataFrame:
     """(…keys, rid, n, toks, pivot, home, dist): a row for the cell of the nearest pivot and each cell whose window it is in."""
     pv = pivots.select(*keys, F.col("rid").alias("pivot"), F.col("toks").alias("ptoks"))
-    near = sets.join(pv, keys) if keys else sets.crossJoin(F.broadcast(pv))  # without keys, a fixed number of pivots
-    near = near.withColumn("dist", _distance(F.col("toks"), F.col("ptoks"))).groupBy(*keys, "rid", "n").agg(F.first("toks").alias("toks"), F.array_sort(F.collect_list(F.struct("dist", "pivot"))).alias("all"))
+    near = sets.join(pv, keys).withColumn("dist", _distance(F.col("toks"), F.col("ptoks"))).groupBy(*keys, "rid", "n").agg(F.first("toks").alias("toks"), F.array_sort(F.collect_list(F.struct("dist", "pivot"))).alias("all"))
     near = near.withColumn("best", F.col("all")[0]).withColumn("one", F.explode("all"))
     return near.where((F.col("one.dist") - F.col("best.dist")) / 2 <= eps + 1e-12).select(*keys, "rid", "n", "toks", F.col("one.pivot").alias("pivot"), (F.col("one.pivot") == F.col("best.pivot")).alias("home"), F.col("one.dist").alias("dist"))
 
 
-def pivot(r: DataFrame, s: DataFrame, self_join: bool, t: float, pivots: int = 16) -> DataFrame:
+def pivot_cells(sets: DataFrame, pivots: list, eps: float) -> DataFrame:
+    """The same around a few pivots (rows rid, toks), which go with the plan: no join, and token arrays stay where they are."""
+    of = F.array(*[F.struct(F.lit(p["rid"]).alias("pivot"), F.lit(p["toks"]).alias("ptoks")) for p in pivots])
+    near = sets.withColumn("all", F.array_sort(F.transform(of, lambda p: F.struct(_distance(F.col("toks"), p["ptoks"]).alias("dist"), p["pivot"].alias("pivot")))))
+    near = near.withColumn("best", F.col("all")[0]).withColumn("one", F.explode("all"))
+    return near.where((F.col("one.dist") - F.col("best.dist")) / 2 <= eps + 1e-12).select("rid", "n", F.col("one.pivot").alias("pivot"), (F.col("one.pivot") == F.col("best.pivot")).alias("home"), F.col("one.dist").alias("dist"))
+
+
+def chosen_pivots(sets: DataFrame, pivots: int, samples: int) -> list:
+    """The first ``pivots`` ids of a sample of ``samples`` records."""
+    return hash_sample(sets.select("rid", "toks"), ["rid"], samples).orderBy("rid").limit(pivots).collect()
+
+
+def pivot(r: DataFrame, s: DataFrame, self_join: bool, t: float, pivots: int = 16, samples: int = 200, max_cell: int = 2000) -> DataFrame:
     """Metric cells around sampled pivots: a record meets, in the cell of its nearest pivot, the records at home there and
-    those near enough to its border. Lengths and the triangle inequality filter pairs within a cell."""
-    chosen = cut(r.orderBy(F.xxhash64("rid"), "rid").limit(pivots))
-    a = _cells(r, chosen, 1 - t, [])
-    b = a if self_join else _cells(s, chosen, 1 - t, [])
-    left = _side(a.where("home").select("rid", "n", "pivot", "dist"), "1", "pivot")
-    right = _side(b.select("rid", "n", "pivot", "dist"), "2", "pivot")
+    those near enough to its border. Lengths and the triangle inequality filter pairs within a cell. Cells of more than
+    ``max_cell`` records at home are cut into a grid of chunks, so that no task holds a large cell."""
+    rows = chosen_pivots(r, pivots, samples)
+    if not rows:
+        return r.select(F.col("rid").alias("rid1"), F.col("rid").alias("rid2")).limit(0)
+    a = cut(pivot_cells(r, rows, 1 - t))
+    b = a if self_join else cut(pivot_cells(s, rows, 1 - t))
+    parts = cell_sizes(a).select("pivot", F.ceil(F.col("records") / max_cell).cast("int").alias("c"))
+    own = F.pmod(F.xxhash64("rid"), F.col("c").cast("long")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("c") - 1))
+    left = a.where("home").join(F.broadcast(parts), "pivot").select("rid", "n", "pivot", "dist", own.alias("i"), every.alias("j"))
+    right = b.join(F.broadcast(parts), "pivot").select("rid", "n", "pivot", "dist", every.alias("i"), own.alias("j"))
+    keys = ["pivot", "i", "j"]
     near = F.abs(F.col("dist1") - F.col("dist2")) <= 1 - t + 1e-9
-    both = left.join(right, "pivot").where(bounds.length_filter(F.col("n1"), F.col("n2"), t) & near)
+    both = _side(left, "1", *keys).join(_side(right, "2", *keys), keys).where(bounds.length_filter(F.col("n1"), F.col("n2"), t) & near)
     if self_join:
         both = both.where("rid1 <> rid2").select(F.least("rid1", "rid2").alias("rid1"), F.greatest("rid1", "rid2").alias("rid2"))
     return _pairs(both)
@@ -309,13 +431,41 @@ def full_ball(r: DataFrame, s: DataFrame, self_join: bool, t: float, max_univers
     return _pairs(_side(ball, "1", "sig").join(_side(own, "2", "sig"), "sig").where(_order(self_join)))
 
 
-def probe(r: DataFrame, s: DataFrame, self_join: bool, t: float) -> DataFrame:
-    """R is indexed by its prefixes, S streams past: records of S meet the index by an equi-join, with no order on ids."""
-    return prefix(r, s, self_join, t)
+_COUNTED = "rid1 long, rid2 long, n1 int, n2 int, overlap long"
+
+
+def _asymmetric(t: float, self_join: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        index = PrefixIndex(t)
+        for rid, toks in zip(left.column("rid").to_pylist(), left.column("toks").to_pylist()):
+            index.add(rid, toks)
+        out = []
+        for rid, toks, same in zip(right.column("rid").to_pylist(), right.column("toks").to_pylist(), [c == k for c, k in zip(right.column("i").to_pylist(), right.column("j").to_pylist())]):
+            for other, shared, _ in index.probe(toks):
+                if self_join and (other == rid or (same and other > rid)):
+                    continue
+                pair = (other, rid, len(index.sets[other]), len(toks))
+                out.append((rid, other, pair[3], pair[2], shared) if self_join and other > rid else (*pair, shared))
+        columns = list(zip(*out)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["rid1", "rid2", "n1", "n2", "overlap"])
+
+    return run
+
+
+def probe(r: DataFrame, s: DataFrame, self_join: bool, t: float, chunk: int = 2000) -> DataFrame:
+    """Chunks of R of about ``chunk`` records are indexed by prefix in memory, and records of S stream past each; of a self-join,
+    a chunk probes itself and those of lower number. Returns overlaps. A record goes to as many tasks as there are chunks."""
+    m = max(1, -(-r.count() // chunk))
+    k = max(1, -(-s.count() // chunk))
+    number = lambda c: F.pmod(F.xxhash64("rid"), F.lit(c)).cast("int")
+    left = r.select("rid", "toks", number(m).alias("i"), F.explode(F.sequence(number(m) if self_join else F.lit(0), F.lit(k - 1))).alias("j"))
+    right = s.select("rid", "toks", number(k).alias("j"), F.explode(F.sequence(F.lit(0), number(k) if self_join else F.lit(m - 1))).alias("i"))
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_asymmetric(t, self_join), _COUNTED)
 
 
-STRATEGIES: dict[str, Strategy] = {f.__name__: f for f in (full, chunked, prefix, two_sided, remainder, group, segment, fragment, pivot, recursive_pivot, grid, length_bucket, deletion_ball, full_ball, probe)}
+STRATEGIES: dict[str, Strategy] = {f.__name__: f for f in (full, chunked, prefix, prefix_suffix, two_sided, remainder, group, segment, fragment, pivot, recursive_pivot, grid, length_bucket, deletion_ball, full_ball, probe)}
 #: Strategies that return overlaps and need no verification.
-COUNTED = {"full", "chunked", "remainder", "fragment"}
+COUNTED = {"full", "chunked", "remainder", "fragment", "probe"}
 #: Strategies whose natural comparison is >=; the others' is >.
-INCLUSIVE = {"prefix", "pivot", "recursive_pivot", "deletion_ball", "full_ball"}
+INCLUSIVE = {"prefix", "prefix_suffix", "probe", "pivot", "recursive_pivot", "deletion_ball", "full_ball"}

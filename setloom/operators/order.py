@@ -34,6 +34,10 @@ def collect_sets(posts: DataFrame, order: Column) -> DataFrame:
     return sets.select("rid", F.size("toks").alias("n"), F.transform("toks", lambda t: t["tok"]).alias("toks"))
 
 
+#: Tokens whose frequencies are broadcast (under 100 bytes each); more are joined by a shuffle.
+BROADCAST_TOKENS = 500_000
+
+
 def encode(*collections: DataFrame) -> list[DataFrame]:
     """Each collection of postings as (rid, n, toks), rare tokens first (by frequency in all of them, ties by token).
 
@@ -43,7 +47,29 @@ def encode(*collections: DataFrame) -> list[DataFrame]:
     for other in collections[1:]:
         every = every.unionByName(other)
     freq = cut(every.groupBy("tok").agg(F.count("*").alias("freq")))
-    return [cut(collect_sets(p.join(freq, "tok"), F.col("freq"))) for p in collections]
+    side = F.broadcast(freq) if freq.count() <= BROADCAST_TOKENS else freq
+    return [cut(collect_sets(p.join(side, "tok"), F.col("freq"))) for p in collections]
+
+
+def records(df: DataFrame, rid: str = "rid", tokens: str = "tokens") -> DataFrame:
+    """Postings of records, each token of a record once. Only if ids repeat are all postings shuffled to find repeated tokens."""
+    own = cut(df.where(F.col(rid).isNotNull()).select(F.col(rid).cast("long").alias("rid"), F.array_distinct(F.array_compact(tokens)).alias("toks")).where("size(toks) > 0"))
+    posts = own.select("rid", F.explode("toks").alias("tok"))
+    again = own.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return posts.distinct() if again else posts
+
+
+def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(sets without those equal to one of a lower id, (rep, rid, n) of those left out; None if there are none)."""
+    key = F.xxhash64("toks")
+    keys = cut(sets.groupBy("n", key.alias("h")).agg(F.count("*").alias("c")).where("c > 1").select("n", "h"))
+    few = keys.count()
+    if not few:
+        return sets, None
+    alike = sets.withColumn("h", key).join(F.broadcast(keys) if few <= BROADCAST_TOKENS else keys, ["n", "h"], "left_semi")
+    reps = alike.groupBy("toks").agg(F.min("rid").alias("rep"))
+    members = cut(alike.join(reps, "toks").where("rid <> rep").select("rep", "rid", "n"))
+    return cut(sets.join(members.select("rid"), "rid", "left_anti")), members
 
 
 def with_ranks(posts: DataFrame) -> DataFrame:
@@ -92,14 +118,40 @@ def tokenize(df: DataFrame, tokens: Column, rid: str = "rid") -> DataFrame:
 
 
 def token_groups(order: DataFrame, groups: int = 30) -> DataFrame:
-    """(token, grp): tokens by ascending frequency to the group of least total frequency so far, approximated in rounds.
+    """(token, grp): tokens in order, each to the group of least total frequency so far (ties to the lower group).
 
-    Round r of ``groups`` tokens goes over the groups forwards if r is even, else backwards, so that totals
-    stay level without a fold over the vocabulary on one machine.
+    Tokens of one frequency are a run. Once the totals of a run differ by less than its frequency, groups take turns; so the driver
+    needs a row for each different frequency and a step for each token before that, and no task sees the vocabulary.
     """
-    place = F.pmod(F.col("rank"), F.lit(groups))
-    turn = F.pmod(F.floor(F.col("rank") / groups), F.lit(2))
-    return order.select("token", F.when(turn == 0, place).otherwise(groups - 1 - place).cast("int").alias("grp"))
+    runs = order.groupBy("freq").agg(F.min("rank").alias("start"), F.count("*").alias("n")).orderBy("freq").collect()
+    totals, rows = [0] * groups, []
+    for r in runs:
+        first, left = [], r["n"]
+        while left and max(totals) - min(totals) >= r["freq"]:
+            g = totals.index(min(totals))
+            totals[g] += r["freq"]
+            first.append(g)
+            left -= 1
+        turns = sorted(range(groups), key=lambda g: (totals[g], g))
+        for i, g in enumerate(turns):
+            totals[g] += r["freq"] * (left // groups + (i < left % groups))
+        rows.append((r["freq"], r["start"], first, turns))
+    about = order.sparkSession.createDataFrame(rows, "freq long, start long, first array<int>, turns array<int>")
+    at = (F.col("rank") - F.col("start")).cast("int")
+    later = F.get("turns", F.pmod(at - F.size("first"), F.lit(groups)).cast("int"))
+    return order.join(F.broadcast(about), "freq").select("token", F.when(at < F.size("first"), F.get("first", at)).otherwise(later).alias("grp"))
+
+
+def group_histograms(posts: DataFrame, groups_of: DataFrame, groups: int = 30) -> DataFrame:
+    """(rid, hist): how many tokens of each group a record has."""
+    own = posts.join(groups_of.select(F.col("token").alias("tok"), "grp"), "tok").groupBy("rid", "grp").agg(F.count("*").cast("int").alias("k"))
+    each = own.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("grp", "k"))).alias("m"))
+    return each.select("rid", F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.coalesce(F.try_element_at("m", g), F.lit(0))).alias("hist"))
+
+
+def descending(sets: DataFrame) -> DataFrame:
+    """(rid, tokens) with the tokens of each set from the largest down."""
+    return sets.select("rid", F.sort_array("tokens", asc=False).alias("tokens"))
 
 
 def prefix_tokens(sets: DataFrame, length: Column) -> DataFrame:
@@ -107,10 +159,6 @@ def prefix_tokens(sets: DataFrame, length: Column) -> DataFrame:
     return sets.select("rid", F.posexplode(F.slice("toks", 1, length)).alias("pos", "tok"))
 
 
-def nearest_first(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+def hash_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     """A deterministic sample: the n rows of least hash of their keys."""
     return df.orderBy(F.xxhash64(*keys), *keys).limit(n)
-
-
-def numbered_window(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from setloom.operators.base import cut
 from setloom.operators.candidates import COUNTED, INCLUSIVE, STRATEGIES
-from setloom.operators.order import encode, postings
-from setloom.operators.verify import scored, verify
+from setloom.operators.order import classes, encode, records
+from setloom.operators.verify import passes, scored, verify
 
 
-def similarity_join(df: DataFrame, df_s: DataFrame | None = None, *, threshold: float, algorithm: str = "prefix", strict: bool | None = None, rid: str = "rid", tokens: str = "tokens", **options: object) -> DataFrame:
+def similarity_join(df: DataFrame, df_s: DataFrame | None = None, *, threshold: float, algorithm: str = "prefix", strict: bool | None = None, rid: str = "rid", tokens: str = "tokens", by_class: bool = False, **options: object) -> DataFrame:
     """(rid1, rid2, overlap, sim) of the pairs whose Jaccard similarity is above (strict) or at least the threshold.
 
     One collection is joined with itself, rid1 < rid2; of two, rid1 is of the first. ``strict`` defaults to the
     algorithm's own comparison. Repeated tokens of a record count once, empty records match nothing, records that
     repeat an id are one record with all their tokens.
+
+    Of a self-join, equal sets are compared once, as a class named by its least id. ``by_class`` gives pairs of classes, and
+    each other member's pair with its class, from which all pairs follow; without it, members are paired too, and a
+    class of k copies has k (k - 1) / 2 rows.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
@@ -24,16 +29,30 @@ def similarity_join(df: DataFrame, df_s: DataFrame | None = None, *, threshold:
     if strict is None:
         strict = algorithm not in INCLUSIVE
     self_join = df_s is None
-    collections = [postings(df, rid, tokens)] + ([] if self_join else [postings(df_s, rid, tokens)])
-    sets = encode(*collections)
+    sets = encode(*[records(x, rid, tokens) for x in ((df,) if self_join else (df, df_s))])
     r, s = sets[0], sets[-1]
+    members = None
+    if self_join:
+        r, members = classes(r)
+        s = r
     found = STRATEGIES[algorithm](r, s, self_join, threshold, **options)
-    if algorithm in COUNTED:
-        return scored(found, threshold, strict)
-    return verify(cut(found), r, s, threshold, strict)
+    pairs = scored(found, threshold, strict) if algorithm in COUNTED else verify(cut(found), r, s, threshold, strict)
+    if members is None:
+        return pairs
+    equal = lambda d: d.select("rid1", "rid2", F.col("n").cast("long").alias("overlap"), F.lit(1.0).alias("sim")).where(passes(F.col("sim"), threshold, strict))
+    if by_class:
+        return pairs.unionByName(equal(members.select(F.col("rep").alias("rid1"), F.col("rid").alias("rid2"), "n")))
+    pairs = cut(pairs)
+    every = members.select("rep", "rid", "n").unionByName(members.select("rep", F.col("rep").alias("rid"), "n").distinct())
+    a, b = (every.select("rep", F.col("rid").alias(f"rid{k}"), "n") for k in (1, 2))
+    within = equal(a.join(b.drop("n"), "rep").where("rid1 < rid2").select("rid1", "rid2", "n"))
+    for k, side in ((1, a), (2, b)):
+        also = side.select(F.col("rep").alias(f"rid{k}"), F.col(f"rid{k}").alias("_member"))
+        pairs = pairs.join(also, f"rid{k}", "left").withColumn(f"rid{k}", F.coalesce("_member", f"rid{k}")).drop("_member")
+    return pairs.select(F.least("rid1", "rid2").alias("rid1"), F.greatest("rid1", "rid2").alias("rid2"), "overlap", "sim").unionByName(within)
 
 
 def all_similarities(df: DataFrame, rid: str = "rid", tokens: str = "tokens") -> DataFrame:
     """(rid1, rid2, overlap, sim) of every pair with a common token."""
-    sets = encode(postings(df, rid, tokens))[0]
+    sets = encode(records(df, rid, tokens))[0]
     return scored(STRATEGIES["full"](sets, sets, True, 1.0), None, True)

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setloom.functions import bounds, metrics, tokenizers
-from setloom.operators import order, stats, text_join, verify
-from setloom.operators.base import cut
+from setloom.operators import candidates, order, stats, text_join, verify
+from setloom.operators.base import cut, shared_folder
 from setloom.plans.join import all_similarities, similarity_join
+from setloom.sources import sets as sets_io
+from setloom.streaming.probe import probe_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +45,11 @@ baskets = _grouped("lineitem", "l_orderkey", "l_partkey")
 parts = _grouped("lineitem", "l_partkey", "l_suppkey")
 
 
+def modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small sets over a universe of a few tokens."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("rid"), F.concat("l_returnflag", "l_linestatus").alias("t")).groupBy("rid").agg(F.collect_set("t").alias("tokens"))
+
+
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("rid"), F.get_json_object("props", "$.k").cast("long").alias("k")).groupBy("rid").agg(F.collect_set("k").alias("tokens"))
 
@@ -59,6 +66,7 @@ SOURCES = {
     baskets: "SELECT DISTINCT l_orderkey AS rid, l_partkey AS tok FROM lineitem",
     parts: "SELECT DISTINCT l_partkey AS rid, l_suppkey AS tok FROM lineitem",
     users: "SELECT DISTINCT user_id AS rid, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tok FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
+    modes: "SELECT DISTINCT l_orderkey AS rid, l_returnflag || l_linestatus AS tok FROM lineitem",
     customers: "SELECT DISTINCT o_custkey AS rid, l_suppkey AS tok FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
 }
 
@@ -72,6 +80,17 @@ SELECT rid1, rid2, overlap, overlap / (n1 + n2 - overlap) AS sim FROM o WHERE {c
 """
 
 
+def class_sql(src: str, condition: str) -> str:
+    """Pairs of the least ids of equal sets, and each other id with that of its own set."""
+    return f"""
+WITH p AS (SELECT DISTINCT rid, tok FROM ({src})), k AS (SELECT rid, list_sort(list(tok)) AS t, count(*) AS n FROM p GROUP BY rid),
+     c AS (SELECT rid, n, min(rid) OVER (PARTITION BY t) AS rep FROM k), a AS (SELECT rid, tok, n FROM p JOIN c USING (rid) WHERE rid = rep),
+     o AS (SELECT a.rid AS rid1, b.rid AS rid2, a.n AS n1, b.n AS n2, count(*) AS overlap FROM a JOIN a b ON a.tok = b.tok AND a.rid < b.rid GROUP BY ALL)
+SELECT rid1, rid2, overlap, overlap / (n1 + n2 - overlap) AS sim FROM o WHERE {condition}
+UNION ALL SELECT rep, rid, n, CAST(1 AS DOUBLE) FROM c WHERE rid <> rep
+"""
+
+
 def add(name: str, query: Query, sql: str | None) -> None:
     QUERIES[name] = query
     if sql:
@@ -88,16 +107,26 @@ def _join(algorithm: str, source: Query, t: float, strict: bool, source_s: Query
 
 def add_join(name: str, algorithm: str, source: Query, t: float, strict: bool, source_s: Query | None = None, **options: object) -> None:
     sim = "overlap / (n1 + n2 - overlap)"
-    add(name, _join(algorithm, source, t, strict, source_s, **options), join_sql(SOURCES[source], f"{sim} {'>' if strict else '>='} {t}", SOURCES[source_s] if source_s else None))
-
-
-for _name in ("full", "chunked", "prefix", "two_sided", "remainder", "fragment", "pivot", "recursive_pivot", "grid", "length_bucket"):
-    add_join(f"{_name}_documents", _name, documents, 0.7, True)
-add_join("group_documents", "group", documents, 0.9, True)
+    condition = f"{sim} {'>' if strict else '>='} {t}"
+    sql = class_sql(SOURCES[source], condition) if options.get("by_class") else join_sql(SOURCES[source], condition, SOURCES[source_s] if source_s else None)
+    add(name, _join(algorithm, source, t, strict, source_s, **options), sql)
+
+
+# Documents hold groups of copies: their joins give pairs of classes and who is in a class.
+for _name in ("full", "chunked", "prefix", "prefix_suffix", "two_sided", "remainder", "fragment", "pivot", "recursive_pivot", "grid", "length_bucket"):
+    add_join(f"{_name}_documents", _name, documents, 0.7, True, by_class=True)
+add_join("prefix_documents_half", "prefix", documents, 0.5, False, by_class=True)
+add_join("prefix_documents_near", "prefix", documents, 0.9, False, by_class=True)
+add_join("prefix_documents_pairs", "prefix", documents, 0.7, True)
+add_join("group_documents", "group", documents, 0.9, True, by_class=True)
 for _name in ("full", "chunked", "prefix", "two_sided", "remainder", "fragment", "segment"):
     add_join(f"{_name}_baskets_strict", _name, baskets, 0.5, True)
     add_join(f"{_name}_baskets_ge", _name, baskets, 0.5, False)
 add_join("group_baskets", "group", baskets, 0.7, True)
+add_join("group_users_half", "group", users, 0.5, True)
+add_join("probe_baskets", "probe", baskets, 0.5, False)
+add_join("segment_light_baskets", "segment", baskets, 0.5, True, groups=30)
+add_join("prefix_suffix_baskets", "prefix_suffix", baskets, 0.5, False)
 add_join("deletion_ball_baskets", "deletion_ball", baskets, 0.7, False)
 for _name in ("prefix", "pivot", "recursive_pivot", "grid", "length_bucket"):
     add_join(f"{_name}_users_ge", _name, users, 0.5, False)
@@ -109,6 +138,7 @@ for _name in ("full", "chunked", "prefix", "two_sided", "remainder", "fragment",
 add_join("segment_baskets_rs", "segment", baskets, 0.5, True, baskets)
 add_join("group_baskets_rs", "group", baskets, 0.7, True, baskets)
 add_join("deletion_ball_baskets_rs", "deletion_ball", baskets, 0.7, False, baskets)
+add_join("full_ball_modes", "full_ball", modes, 0.5, False, by_class=True)
 add_join("prefix_documents_benchmark_rs", "prefix", documents, 0.1, False, benchmark)
 
 
@@ -204,6 +234,60 @@ def _integer_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("integer_sets_benchmark", _integer_sets, f"""
 WITH p AS ({SOURCES[benchmark]}), v AS (SELECT tok, row_number() OVER (ORDER BY tok) - 1 AS id FROM (SELECT DISTINCT tok FROM p))
 SELECT rid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS tokens FROM p JOIN v USING (tok) GROUP BY rid""")
+#: Tokens in order, each to the group of least total (list_position finds the first one).
+_GROUPS = """
+o AS (SELECT token, freq, row_number() OVER (ORDER BY freq, token) AS r FROM ({freq})),
+g AS (SELECT CAST(0 AS BIGINT) AS r, list_transform(range({k}), lambda x: CAST(0 AS BIGINT)) AS sums, CAST(-1 AS BIGINT) AS spot
+      UNION ALL SELECT g.r + 1, list_transform(range({k}), lambda x: g.sums[x + 1] + CASE WHEN x + 1 = list_position(g.sums, list_min(g.sums)) THEN o.freq ELSE 0 END), list_position(g.sums, list_min(g.sums)) - 1 FROM g JOIN o ON o.r = g.r + 1),
+t AS (SELECT token, CAST(spot AS INTEGER) AS grp FROM g JOIN o USING (r))""".format(freq=FREQ.format(src=SOURCES[parts]), k=12)
+add("token_groups_parts", lambda spark, d: order.token_groups(cut(order.token_order(order.postings(parts(spark, d)))), 12), f"WITH RECURSIVE {_GROUPS} SELECT token, grp FROM t")
+
+
+def _histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = cut(order.postings(parts(spark, sf_dir)))
+    hist = order.group_histograms(posts, order.token_groups(cut(order.token_order(posts)), 12), 12)
+    return hist.select("rid", F.array_join(F.col("hist").cast("array<string>"), ",").alias("hist"))
+
+
+add("group_histograms_parts", _histograms, f"""
+WITH RECURSIVE {_GROUPS}, n AS (SELECT rid, grp, count(*) AS k FROM ({SOURCES[parts]}) p JOIN t ON t.token = p.tok GROUP BY ALL), r AS (SELECT DISTINCT rid FROM n)
+SELECT r.rid, string_agg(CAST(coalesce(n.k, 0) AS VARCHAR), ',' ORDER BY x.i) AS hist FROM r CROSS JOIN range(12) x(i) LEFT JOIN n ON n.rid = r.rid AND n.grp = x.i GROUP BY r.rid""")
+add("descending_sets_baskets", lambda spark, d: order.descending(baskets(spark, d)).select("rid", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens")), f"SELECT rid, string_agg(CAST(tok AS VARCHAR), ',' ORDER BY tok DESC) AS tokens FROM ({SOURCES[baskets]}) GROUP BY rid")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the text format, with lines that are none."""
+    own = baskets(spark, sf_dir).select(F.concat_ws("\t", F.col("rid").cast("string"), F.array_join(F.array_sort("tokens").cast("array<string>"), ",")).alias("value"))
+    return own.unionByName(table(spark, sf_dir, "nation").select(F.col("n_name").alias("value")))
+
+
+add("parsed_sets_baskets", lambda spark, d: sets_io.parse_sets(_lines(spark, d)).select("rid", F.array_join(F.col("tokens").cast("array<string>"), ",").alias("tokens")), f"SELECT rid, string_agg(CAST(tok AS VARCHAR), ',' ORDER BY tok) AS tokens FROM ({SOURCES[baskets]}) GROUP BY rid")
+add("keyed_lines_baskets", lambda spark, d: sets_io.parse_keyed(_lines(spark, d)), f"SELECT rid, CAST(rid AS VARCHAR) || chr(9) || string_agg(CAST(tok AS VARCHAR), ',' ORDER BY tok) AS line FROM ({SOURCES[baskets]}) GROUP BY rid")
+add("line_kinds", lambda spark, d: _lines(spark, d).groupBy(sets_io.line_kind(F.col("value")).alias("kind")).agg(F.count("*").alias("n")), f"SELECT 'integers' AS kind, count(DISTINCT rid) AS n FROM ({SOURCES[baskets]}) UNION ALL SELECT 'raw', count(*) FROM nation")
+
+
+def _cells_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = order.encode(order.postings(users(spark, sf_dir)))[0]
+    rows = sets.orderBy("rid").limit(5).select("rid", "toks").collect()
+    return stats.cell_sizes(candidates.pivot_cells(sets, rows, 0.3))
+
+
+add("pivot_cell_sizes_users", _cells_of_users, f"""
+WITH s AS (SELECT rid, list(DISTINCT tok) AS t FROM ({SOURCES[users]}) GROUP BY rid), v AS (SELECT rid AS "pivot", t AS pt FROM s ORDER BY rid LIMIT 5),
+     d AS (SELECT rid, "pivot", row_number() OVER (PARTITION BY rid ORDER BY 1 - len(list_intersect(t, pt)) / (len(t) + len(pt) - len(list_intersect(t, pt))), "pivot") AS k FROM s, v)
+SELECT "pivot", count(*) AS records FROM d WHERE k = 1 GROUP BY "pivot" """)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users' sets as a stream of files, each batch joined with the parts' sets."""
+    folder = shared_folder(spark)
+    users(spark, sf_dir).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("rid long, tokens array<bigint>").parquet(f"{folder}/in")
+    probe_stream(stream, parts(spark, sf_dir), f"{folder}/out", f"{folder}/progress", threshold=0.3).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("rid1", "rid2", "overlap", "sim")
+
+
+add("stream_parts_users_rs", _streamed, join_sql(SOURCES[parts], "overlap / (n1 + n2 - overlap) >= 0.3", SOURCES[users]))
 add("cardinality", lambda spark, d: stats.cardinality(table(spark, d, "lineitem")), "SELECT count(*) AS records FROM lineitem")
 
 
@@ -216,8 +300,13 @@ def _tokens(build: Callable, name: str = "documents", rid: str = "doc_id", colum
 
 ASCII = lambda c: F.regexp_replace(c, r"[^\x00-\x7F]", " ")
 add("tokens_basic", _tokens(tokenizers.basic), r"SELECT doc_id AS rid, tok, count(*) AS n FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^a-zA-Z0-9_]+')) AS tok FROM documents) WHERE tok <> '' GROUP BY ALL")
+#: The rule of the stop-word tokenizer, by itself: its words, then blanks for all that is neither an ASCII letter nor a blank.
+_STOPPED = "I a about also an and are as at be by com for from how in is it not of on or that the this to was what when where who will with www".replace(" ", "|")
 add("tokens_stopped", _tokens(lambda c: tokenizers.stopped(ASCII(c))), rf"""
-SELECT doc_id AS rid, tok, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT doc_id, tok FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '(?i)\b(?:{"|".join(tokenizers.STOP)})\b', '', 'g'), '[^a-zA-Z ]', '', 'g')), ' +')) AS tok FROM documents) WHERE tok <> '')""")
+SELECT DISTINCT doc_id AS rid, tok, CAST(1 AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(lower(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', ' ', 'g'), '(?i)\b(?:{_STOPPED})\b', ' ', 'g'), '[^a-zA-Z ]', ' ', 'g')), ' ')) AS tok FROM documents) WHERE tok <> ''""")
+add("tokens_titles", _tokens(lambda c: tokenizers.title_words(c), "part", "p_partkey", "p_name"), r"""
+SELECT rid, tok || repeat('1', CAST(row_number() OVER (PARTITION BY rid, tok) - 1 AS INTEGER)) AS tok, CAST(1 AS BIGINT) AS n
+FROM (SELECT rid, replace(w, '.', '') AS tok FROM (SELECT p_partkey AS rid, unnest(regexp_extract_all(lower(p_name), '[a-z\x{a0}-\x{ff}][a-z0-9\x{a0}-\x{ff}.\-]*')) AS w FROM part)) WHERE length(tok) > 1""")
 _NUMBERED = "SELECT rid, tok || '_' || row_number() OVER (PARTITION BY rid, tok) AS tok, CAST(1 AS BIGINT) AS n FROM ({src})"
 _OCCUR = _NUMBERED.format(src=r"SELECT doc_id AS rid, tok FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS tok FROM documents) WHERE tok <> ''")
 _FOLDED = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
@@ -230,6 +319,16 @@ add("tokens_english", _tokens(tokenizers.english), None)
 add("string_hash", lambda spark, d: table(spark, d, "part").select("p_partkey", tokenizers.string_hash(F.col("p_name")).alias("h")), """
 SELECT p_partkey, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS h
 FROM (SELECT p_partkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(lower(p_name), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM part)""")
+_HASHED = """
+WITH g AS ({grams}), t AS (SELECT rid, g, row_number() OVER (PARTITION BY rid, g) AS k FROM g),
+     h AS (SELECT rid, (list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(lower(g), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) * 31 + k) % 4294967296 AS h FROM t)
+SELECT rid, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS tok, count(*) AS n FROM h GROUP BY ALL"""
+add("tokens_hashed_words", _tokens(tokenizers.hashed_words, "part", "p_partkey", "p_name"), _HASHED.format(grams=r"SELECT p_partkey AS rid, unnest(list_filter(regexp_split_to_array(lower(p_name), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS g FROM part"))
+add("tokens_hashed_ngrams", _tokens(tokenizers.hashed_ngrams, "part", "p_partkey", "p_name"), _HASHED.format(grams="SELECT p_partkey AS rid, substr('##' || lower(p_name) || '$$', CAST(i AS BIGINT), 3) AS g FROM part, range(1, (SELECT max(length(p_name)) + 3 FROM part)) r(i) WHERE i <= length(p_name) + 2"))
+add("tokens_utf8", lambda spark, d: table(spark, d, "part").select("p_partkey", F.hex(tokenizers.utf8_token(F.col("p_name"))).alias("raw")), "SELECT p_partkey, upper(printf('%04x', strlen(lower(p_name))) || hex(encode(lower(p_name)))) AS raw FROM part")
+add("polynomial_hash", lambda spark, d: table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", tokenizers.polynomial_hash([F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")], 97).alias("bucket")), """
+WITH h AS (SELECT l_orderkey, l_linenumber, (((CAST(l_orderkey AS HUGEINT) * 33 + l_partkey) * 33 + l_suppkey) * 33 + l_linenumber) % 4294967296 AS h FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(abs(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 97 AS INTEGER) AS bucket FROM h""")
 add("string_measures", lambda spark, d: table(spark, d, "part").select("p_partkey", F.char_length("p_name").cast("long").alias("chars"), F.octet_length("p_name").cast("long").alias("bytes"), F.lower("p_name").alias("low")), "SELECT p_partkey, length(p_name) AS chars, CAST(strlen(p_name) AS BIGINT) AS bytes, lower(p_name) AS low FROM part")
 
 
@@ -249,6 +348,38 @@ add("edit_distance", _near_names(metrics.edit_distance, 0), "SELECT s_suppkey, n
 add("edit_distance_folded", _near_names(metrics.edit_distance_folded, 0), "SELECT s_suppkey, n_nationkey, levenshtein(lower(s_name), lower(n_name)) AS distance FROM supplier, nation")
 add("edit_distance_within", _near_names(lambda a, b: metrics.edit_distance(a, b, 15), 15), "SELECT s_suppkey, n_nationkey, CASE WHEN levenshtein(s_name, n_name) <= 15 THEN levenshtein(s_name, n_name) ELSE -1 END AS distance FROM supplier, nation")
 add("token_edit_distance", _near_names(lambda a, b: metrics.token_edit_distance(F.filter(F.split(a, ""), lambda c: c != ""), F.filter(F.split(b, ""), lambda c: c != "")), 0), "SELECT s_suppkey, n_nationkey, levenshtein(s_name, n_name) AS distance FROM supplier, nation")
+add("token_edit_distance_within", _near_names(lambda a, b: metrics.token_edit_distance(F.filter(F.split(a, ""), lambda c: c != ""), F.filter(F.split(b, ""), lambda c: c != ""), 15), 15), "SELECT s_suppkey, n_nationkey, CASE WHEN levenshtein(s_name, n_name) <= 15 THEN levenshtein(s_name, n_name) ELSE -1 END AS distance FROM supplier, nation")
+add("edit_distance_bytes", _near_names(metrics.edit_distance_bytes, 0), "SELECT s_suppkey, n_nationkey, levenshtein(lower(s_name), lower(n_name)) AS distance FROM supplier, nation")
+
+
+def _pairs_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = users(spark, sf_dir).select("rid", F.array_sort("tokens").alias("tokens"))
+    return own.select(F.col("rid").alias("rid1"), F.col("tokens").alias("a")).join(own.select(F.col("rid").alias("rid2"), F.col("tokens").alias("b")), F.col("rid1") < F.col("rid2"))
+
+
+def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    part = metrics.partial_intersect(a, b, F.lit(50))
+    bag = metrics.bag_jaccard(F.concat(a, F.array(F.lit(-1), F.lit(-1)).cast("array<bigint>")), b)
+    few = metrics.cosine_like(F.slice(a, 1, 4), F.slice(b, 1, 4))
+    return _pairs_of_users(spark, sf_dir).select("rid1", "rid2", bag.alias("bag"), F.round(few, 12).alias("cosine"), metrics.overlap_at_least(a, b, 10).alias("ten"), part["at1"].cast("long").alias("at1"), part["at2"].cast("long").alias("at2"), bounds.suffix_bound(a, b).cast("long").alias("bound"))
+
+
+def suffix_sql(a: str, b: str, depth: int) -> str:
+    """The bound of halving, as an expression over two sorted lists."""
+    if not depth:
+        return f"abs(len({a}) - len({b}))"
+    m = f"({b})[len({b}) // 2 + 1]"
+    x = "xyz"[depth]
+    cut_at = lambda v, op: f"list_filter({v}, lambda {x}: {x} {op} {m})"
+    return f"(CASE WHEN len({b}) = 0 THEN len({a}) ELSE {suffix_sql(cut_at(a, '<'), cut_at(b, '<'), depth - 1)} + CASE WHEN list_contains({a}, {m}) THEN 0 ELSE 1 END + {suffix_sql(cut_at(a, '>'), cut_at(b, '>'), depth - 1)} END)"
+
+
+add("set_measures_users", _measures, f"""
+WITH s AS (SELECT rid, list_sort(list(DISTINCT tok)) AS t FROM ({SOURCES[users]}) GROUP BY rid),
+     p AS (SELECT a.rid AS rid1, b.rid AS rid2, a.t AS a, b.t AS b, len(list_intersect(a.t, b.t)) AS o FROM s a JOIN s b ON a.rid < b.rid)
+SELECT rid1, rid2, o / (len(a) + 2 + len(b) - o) AS bag, round(pow(1.0 / (len(a[:4]) * len(b[:4])), len(list_intersect(a[:4], b[:4]))), 12) AS cosine, o >= 10 AS ten,
+       CAST(coalesce(list_position(a, 50), 0) AS BIGINT) AS at1, CAST(coalesce(list_position(b, 50), 0) AS BIGINT) AS at2, CAST({suffix_sql('a', 'b', 2)} AS BIGINT) AS bound FROM p""")
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,13 +402,13 @@ SELECT rid1, rid2, overlap, overlap / (n + m - overlap) AS jaccard, round(sqrt(n
 
 def _texts(attach: Callable) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pairs = similarity_join(documents(spark, sf_dir), threshold=0.9, strict=True)
+        pairs = similarity_join(documents(spark, sf_dir), threshold=0.9, strict=True, by_class=True)
         return attach(pairs, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), "text"))
 
     return query
 
 
-_TEXTS = f"SELECT j.rid1, j.rid2, a.text AS text1, b.text AS text2 FROM ({join_sql(SOURCES[documents], 'overlap / (n1 + n2 - overlap) > 0.9')}) j JOIN documents a ON a.doc_id = j.rid1 JOIN documents b ON b.doc_id = j.rid2"
+_TEXTS = f"SELECT j.rid1, j.rid2, a.text AS text1, b.text AS text2 FROM ({class_sql(SOURCES[documents], 'overlap / (n1 + n2 - overlap) > 0.9')}) j JOIN documents a ON a.doc_id = j.rid1 JOIN documents b ON b.doc_id = j.rid2"
 add("text_join", _texts(text_join.attach_text), _TEXTS)
 add("text_join_map_side", _texts(text_join.attach_text_map_side), _TEXTS)
 

@@ -51,12 +51,15 @@ def read_mail(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.input_file_name().alias("path"), F.trim(F.regexp_replace(body, r"[\r\n]+", " ")).alias("text"))
 
 
-def read_keyed(spark: SparkSession, path: str) -> DataFrame:
-    """(rid, line)"""
-    lines = spark.read.text(path)
+def parse_keyed(lines: DataFrame) -> DataFrame:
+    """(rid, line) of lines that begin with an id."""
     return lines.select(F.split(F.trim("value"), r"\s+", 2)[0].try_cast("long").alias("rid"), F.col("value").alias("line")).where("rid is not null")
 
 
+def read_keyed(spark: SparkSession, path: str) -> DataFrame:
+    return parse_keyed(spark.read.text(path))
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(rid1, rid2) of lines of two ids, the smaller first, once each."""
     parts = F.split(F.trim("value"), r"\s+")

@@ -11,6 +11,13 @@ def one(spark, text, build):
 
 
 def test_tokenizers(spark):
+    assert one(spark, "The first line.\nSecond line don't", tokenizers.stopped) == ["first", "line", "second", "don", "t"]
+    assert one(spark, "On Set-Joins. v1.2 A joins/join", tokenizers.title_words) == ["on", "set-joins", "v12", "joins", "join"]
+    assert one(spark, "joins Joins joins.", tokenizers.title_words) == ["joins", "joins1", "joins11"]
+    assert one(spark, "The dog's owners don't pay 3.14 or 1,000 a_b U.S.A", tokenizers.english) == ["dog", "owner", "don't", "pai", "3.14", "1,000", "a_b", "u.s.a"]
+    assert one(spark, "Été", tokenizers.utf8_token) == b"\x00\x05\xc3\xa9t\xc3\xa9"
+    assert one(spark, "ab", lambda c: F.size(tokenizers.hashed_ngrams(c))) == 4
+    assert one(spark, "x", lambda c: tokenizers.polynomial_hash([F.lit(-5), F.lit(7)], 1000)) == 158
     assert one(spark, " Don't stop, a_1 x", tokenizers.basic) == ["Don", "t", "stop", "a_1", "x"]
     assert one(spark, "The cat and the HAT cat", tokenizers.stopped) == ["cat", "hat"]
     assert one(spark, "7 Été, été b", lambda c: tokenizers.occurrences(c)) == ["7_1", "été_1", "été_2", "b_1"]
@@ -36,6 +43,9 @@ def test_metrics(spark):
     assert tuple(row) == (0.5, 2 / 5, 2, -1.0, 2, 1, (1 / 12) ** 2)
     words = spark.createDataFrame([(["k", "i", "t"], ["s", "i", "t", "t"]), ([], ["a"]), (["a"], [])], "a array<string>, b array<string>")
     assert [r[0] for r in words.select(metrics.token_edit_distance(a, b)).collect()] == [2, 1, 1]
+    assert [r[0] for r in words.select(metrics.token_edit_distance(a, b, 1)).collect()] == [-1, 1, 1]
+    accents = spark.createDataFrame([("Été", "ete")], "a string, b string")
+    assert tuple(accents.select(metrics.edit_distance_folded(a, b), metrics.edit_distance_bytes(a, b)).first()) == (2, 4)
     assert metrics.metric("jaccard") is metrics.jaccard
 
 

@@ -2,7 +2,8 @@ import random
 
 import pytest
 
-from setloom.operators import order
+from setloom.functions import bounds
+from setloom.operators import candidates, order
 from setloom.operators.candidates import STRATEGIES
 from setloom.operators.kernel import self_join as kernel_join
 from setloom.operators.verify import differences
@@ -51,7 +52,7 @@ GENERAL = sorted(set(STRATEGIES) - {"full_ball", "deletion_ball"})
 @pytest.mark.parametrize(("universe", "longest", "t"), [(60, 15, 0.5), (400, 40, 0.9)])
 def test_self_join_is_exact(spark, algorithm, universe, longest, t):
     sets = collection(7, universe, longest)
-    options = {"max_cell": 30} if algorithm == "recursive_pivot" else {"chunk_size": 5} if algorithm == "chunked" else {}
+    options = {"recursive_pivot": {"max_cell": 30}, "chunked": {"chunk_size": 5}, "segment": {"groups": 6}, "pivot": {"max_cell": 7, "samples": 40}, "probe": {"chunk": 30}}.get(algorithm, {})
     for strict in (True, False):
         assert got(similarity_join(frame(spark, sets), threshold=t, algorithm=algorithm, strict=strict, **options)) == brute(sets, sets, t, strict, True)
 
@@ -97,6 +98,36 @@ def test_defined_cases(spark):
         similarity_join(df, threshold=0)
 
 
+def test_equal_sets_are_one_class(spark):
+    sets = collection(7, 60, 15, 60)
+    sets |= {100 + i: set(sets[i]) for i in range(0, 40, 3)} | {200 + i: set(sets[0]) for i in range(5)}
+    for algorithm in ("prefix", "fragment", "probe"):
+        assert got(similarity_join(frame(spark, sets), threshold=0.6, strict=True, algorithm=algorithm)) == brute(sets, sets, 0.6, True, True)
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(frozenset(sets[i]), i)
+    heads = {i: sets[i] for i in least.values()}
+    want = brute(heads, heads, 0.6, True, True) | {(least[frozenset(x)], i, len(x), 1.0) for i, x in sets.items() if i not in heads and x}
+    assert got(similarity_join(frame(spark, sets), threshold=0.6, strict=True, by_class=True)) == want
+    assert got(similarity_join(frame(spark, sets), threshold=1.0, strict=True)) == set()
+
+
+def test_heavy_tokens_are_joined_in_chunks(spark, monkeypatch):
+    sets = {i: {0, 1, 2 + i % 5} for i in range(60)} | {100: {0}, 101: {1, 0}}
+    monkeypatch.setattr(candidates._met, "__defaults__", (3,))
+    assert got(similarity_join(frame(spark, sets), threshold=0.5, strict=False)) == brute(sets, sets, 0.5, False, True)
+
+
+def test_suffix_bounds_are_below_the_distance(spark):
+    g = random.Random(4)
+    rows = [(sorted(g.sample(range(40), g.randint(0, 15))), sorted(g.sample(range(40), g.randint(0, 15)))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    both = candidates._with_suffix_bound(df, "a", "b", 2, "_b").withColumn("c", bounds.suffix_bound(df.a, df.b)).collect()
+    for r in both:
+        assert r["_b"] == r.c <= len(set(r.a) ^ set(r.b))
+    assert sum(r.c > abs(len(r.a) - len(r.b)) for r in both) > 100
+
+
 def test_kernel_and_all_pairs(spark):
     sets = collection(5, 60, 15)
     ordered = [(i, sorted(x)) for i, x in sets.items()]
@@ -116,4 +147,13 @@ def test_order_is_by_frequency_then_token(spark):
     posts = order.postings(spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "rid long, tokens array<string>"))
     assert {tuple(r) for r in order.token_order(posts).collect()} == {("a", 1, 0), ("c", 1, 1), ("b", 3, 2)}
     assert {(r.rid, tuple(r.toks)) for r in order.encode(posts)[0].collect()} == {(1, ("a", "b")), (2, ("c", "b")), (3, ("b",))}
-    assert sorted(r.grp for r in order.token_groups(order.token_order(posts), 2).collect()) == [0, 1, 1]
+    g = random.Random(2)
+    freqs = sorted(g.choice([1, 1, 2, 3, 8, 40]) for _ in range(200))
+    df = spark.createDataFrame([(f"t{i:03}", f, i) for i, f in enumerate(freqs)], "token string, freq long, rank long")
+    for groups in (2, 7):
+        totals, want = [0] * groups, {}
+        for i, f in enumerate(freqs):
+            k = totals.index(min(totals))
+            totals[k] += f
+            want[f"t{i:03}"] = k
+        assert {r.token: r.grp for r in order.token_groups(df, groups).collect()} == want
