@@ -1,12 +1,14 @@
 import random
 
+import numpy as np
 import pytest
 
 from setloom.functions import bounds
-from setloom.operators import candidates, order
+from setloom.operators import blocks, candidates, order
 from setloom.operators.candidates import STRATEGIES
 from setloom.operators.kernel import self_join as kernel_join
 from setloom.operators.verify import differences
+from setloom.plans import join
 from setloom.plans.join import all_similarities, similarity_join
 
 
@@ -136,6 +138,50 @@ def test_kernel_and_all_pairs(spark):
     assert got(all_similarities(frame(spark, sets))) == brute(sets, sets, 0.0, True, True)
 
 
+@pytest.mark.parametrize(("universe", "longest", "t"), [(60, 15, 0.5), (400, 40, 0.9), (3000, 120, 0.3)])
+@pytest.mark.parametrize("by", ["tokens", "product"])
+def test_blocks_are_exact(spark, monkeypatch, by, universe, longest, t):
+    sets = collection(9, universe, longest, 150)
+    sets |= {300 + i: set(sets[i]) for i in range(0, 40, 3)}
+    other = collection(2, universe, longest, 60) | {i: set(sets[i]) for i in range(0, 60, 7)}
+    monkeypatch.setattr(blocks, "HIT_S", 1.0 if by == "product" else 0.0)
+    monkeypatch.setattr(blocks, "HITS", 50)
+    monkeypatch.setattr(blocks, "TILE", 16)
+    monkeypatch.setattr(blocks, "SLAB", 32)
+    r, s = (order.encode_ranks(order.postings(frame(spark, x)))[0] for x in (sets, other))
+    one = [blocks.Block(*(np.array(c) for c in ([x.rid for x in rows], [x.n for x in rows], [y for x in rows for y in x.toks]))) for rows in (r.collect(), )][0]
+    pairs = [p for x, y, o in blocks.similar(one, one, t, True, 10**6) for p in zip(one.rid[x].tolist(), one.rid[y].tolist(), o.tolist())]
+    assert len(pairs) == len({frozenset(p[:2]) for p in pairs})
+    want = {(i, j): o for i, j, o, _ in brute(sets, sets, t, False, True)}
+    assert {(min(p[:2]), max(p[:2])): p[2] for p in pairs if p[2] >= (len(sets[p[0]]) + len(sets[p[1]]) - p[2]) * t} == want
+    for strict in (True, False):
+        assert got(similarity_join(frame(spark, sets), threshold=t, strict=strict, in_blocks=True)) == brute(sets, sets, t, strict, True)
+        assert got(similarity_join(frame(spark, sets), frame(spark, other), threshold=t, strict=strict, in_blocks=True)) == brute(sets, other, t, strict, False)
+
+
+def test_layout_of_blocks():
+    places, ends = blocks.layout([(1, 10), (2, 4), (3, 100), (5, 1), (9, 3)], 30)
+    assert places == [(1, 0, 1), (2, 0, 1), (3, 1, 10), (5, 11, 1), (9, 12, 1)]
+    assert ends == [(1, 2), *[(3, 3)] * 10, (5, 5), (9, 9)]
+
+
+@pytest.mark.parametrize("algorithm", GENERAL)
+def test_many_pairs_are_not_shuffled(spark, monkeypatch, algorithm):
+    sets = {i: {1, 2, 3, 4, 10 + i} for i in range(400)}
+    monkeypatch.setattr(join, "FEW_PAIRS", 1000)
+    monkeypatch.setitem(STRATEGIES, algorithm, lambda *a, **k: pytest.fail("candidates are shuffled"))
+    assert got(similarity_join(frame(spark, sets), threshold=0.6, algorithm=algorithm, strict=False)) == brute(sets, sets, 0.6, False, True)
+
+
+def test_records_that_share_too_few_tokens_are_left_out(spark, monkeypatch):
+    parts, users = {i: {i % 50, *range(1000 + 30 * i, 1029 + 30 * i)} for i in range(200)} | {500: {1, 2, 3}}, {i: {i % 50, 1, 2, 3} for i in range(200)}
+    seen = []
+    full = STRATEGIES["full"]
+    monkeypatch.setitem(STRATEGIES, "full", lambda r, s, *a: seen.append(r.count()) or full(r, s, *a))
+    assert got(similarity_join(frame(spark, parts), frame(spark, users), threshold=0.3, algorithm="full", strict=False)) == brute(parts, users, 0.3, False, False)
+    assert seen == [1]
+
+
 def test_differences(spark):
     a = spark.createDataFrame([(1, 2), (4, 3)], "rid1 long, rid2 long")
     b = spark.createDataFrame([(2, 1), (5, 6), (7, 7)], "rid1 long, rid2 long")
