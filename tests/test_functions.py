@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from setloom.functions import metrics, tokenizers
@@ -80,3 +82,38 @@ def test_text_join_and_stats(spark):
     assert all(1 <= t <= 50 for r in bags.collect() for t in r.tokens)
     runs = spark.createDataFrame([("a", "d", 0.5, 1.0), ("a", "d", 0.5, 3.0)], "algorithm string, dataset string, threshold double, seconds double")
     assert tuple(stats.average_runtimes(runs).first()) == ("a", "d", 0.5, 2.0, 2)
+
+
+def test_token_edit_distance_by_characters(spark):
+    g = random.Random(8)
+    some = lambda: [g.choice(tokens if g.random() < 0.9 else [*tokens, None]) for _ in range(g.randint(0, 9))]
+    rows = []
+    for tokens in (["a", "bb", "", "ccc"], ["a", "b", "é", "\U0001f600"]):
+        rows += [(some(), some()) for _ in range(100)]
+    df = spark.createDataFrame(rows + [(None, ["a"])], "a array<string>, b array<string>")
+
+    def by_hand(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            own = [i + 1]
+            for j, y in enumerate(b):
+                own.append(min(last[j + 1] + 1, own[-1] + 1, last[j] + (x is None or x != y)))
+            last = own
+        return last[-1]
+
+    out = df.select("a", "b", metrics.token_edit_distance(df.a, df.b).alias("d"), metrics.token_edit_distance(df.a, df.b, 3).alias("d3"))
+    for r in out.collect():
+        want = None if r.a is None else by_hand(r.a, r.b)
+        assert (r.d, r.d3) == (want, want if want is None or want <= 3 else -1)
+    assert "levenshtein" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_of_one_file_are_counted_by_many_tasks(spark, tmp_path, monkeypatch):
+    from setloom.plans import queries
+
+    spark.range(1000).selectExpr("id AS p_partkey", "concat('large ring ', id) AS p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(queries, "TEXTS", 50, raising=False)
+    out = queries.queries()["tokens_ngrams"](spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == 20 and out.count() == out.agg({"n": "sum"}).first()[0]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "Exchange hashpartitioning(rid" in plan and plan.count("Exchange") == 1
