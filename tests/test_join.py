@@ -165,6 +165,33 @@ def test_layout_of_blocks():
     assert ends == [(1, 2), *[(3, 3)] * 10, (5, 5), (9, 9)]
 
 
+@pytest.mark.parametrize(("universe", "longest", "t"), [(60, 15, 0.5), (400, 40, 0.9), (6, 4, 0.3)])
+@pytest.mark.parametrize("room", [400, 10_000])
+def test_records_dealt_by_tokens_are_exact(spark, monkeypatch, room, universe, longest, t):
+    sets = collection(3, universe, longest, 150)
+    other = collection(2, universe, longest, 60) | {i: set(sets[i]) for i in range(0, 60, 7)}
+    monkeypatch.setattr(blocks, "COPIES", 1000)
+    monkeypatch.setattr(blocks, "HITS", 50)
+    monkeypatch.setattr(blocks.join, "__defaults__", (room,))
+    monkeypatch.setattr(blocks, "_written", lambda *a: pytest.fail("not dealt by tokens"))
+    for b in (None, other):
+        found = similarity_join(frame(spark, sets), b and frame(spark, b), threshold=t, strict=False, in_blocks=True).collect()
+        assert len(found) == len({(x.rid1, x.rid2) for x in found})
+        assert {tuple(x) for x in found} == brute(sets, b or sets, t, False, not b)
+
+
+def test_comparisons_of_small_records_grow_with_the_input(spark, monkeypatch):
+    seen, cells = [], blocks._cells
+    monkeypatch.setattr(blocks, "_cells", lambda c, *a: seen.append(len(c)) or cells(c, *a))
+    monkeypatch.setattr(blocks.join, "__defaults__", (160,))
+    for copies in (4, 16):
+        sets = {1000 * c + i: {1000 * c + i, 1000 * c + i + 1, 1000 * c + i + 2} for c in range(copies) for i in range(100)}
+        assert got(similarity_join(frame(spark, sets), threshold=0.5, strict=False, in_blocks=True)) == brute(sets, sets, 0.5, False, True)
+    assert seen[1] <= 5 * seen[0]
+    assert blocks.buckets_of([(4, 9_000_000)], 0.5, 4_000_000, 16) * 6 == blocks.buckets_of([(4, 54_000_000)], 0.5, 4_000_000, 16)
+    assert blocks.buckets_of([(600, 9_000_000)], 0.5, 4_000_000, 16) == 0
+
+
 @pytest.mark.parametrize("algorithm", GENERAL)
 def test_many_pairs_are_not_shuffled(spark, monkeypatch, algorithm):
     sets = {i: {1, 2, 3, 4, 10 + i} for i in range(400)}
