@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -230,3 +231,13 @@ def test_order_is_by_frequency_then_token(spark):
             totals[k] += f
             want[f"t{i:03}"] = k
         assert {r.token: r.grp for r in order.token_groups(df, groups).collect()} == want
+
+
+def test_wide_rows_are_stored_compressed(spark):
+    g = random.Random(1)
+    rows = [(i, sorted({f"word{g.randrange(3000)}" for _ in range(220)})) for i in range(300)]
+    folder = lambda: Path(order.cut(spark.range(0)).sparkSession.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(f.stat().st_size for f in folder().rglob("*") if f.is_file())
+    before = size()
+    assert similarity_join(spark.createDataFrame(rows, "rid long, tokens array<string>"), threshold=0.7, in_blocks=True).count() == 0
+    assert size() - before < 16 * sum(len(x) for _, x in rows)
