@@ -232,3 +232,13 @@ def test_leak_cases(spark):
     assert {tuple(r) for r in decontaminate.too_short(bench).collect()} == {(2, 5), (3, 0), (4, 0)}
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_a_pair_of_tokens_is_tried_once():
+    own = token_prefix.PrefixCounter(token_prefix.rank_lines(token_prefix.RANKS))
+    asked, can_follow = [], own.can_follow
+    own.can_follow = lambda one, raw, two: asked.append((one, two)) or can_follow(one, raw, two)
+    words = ["xqzvkworble", "unthinkxqzable", "xqzvkworbles", "Zrgblthinkyx"]
+    for w in words:
+        assert own.piece(w.encode()) == [len(own.coder.encode_ordinary(w[: i + 1])) for i in range(len(w))]
+    assert asked and len(asked) == len(set(asked))
