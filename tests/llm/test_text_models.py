@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -292,3 +293,48 @@ def test_toxic_documents_on_held_out_labels(spark):
     assert sum(not r.keep for r in toxic) >= 0.55 * len(toxic)
     assert sum(r.keep for r in clean) >= 0.98 * len(clean)
     assert sum(not r.keep for r in junk) >= 0.9 * len(junk)
+
+
+def test_a_training_step_is_that_of_the_plain_formulas_and_scoring_holds_few_rows():
+    g = np.random.Generator(np.random.PCG64(5))
+    vocab = lbl_lm.Vocabulary(np.unique(g.integers(1, 1 << 60, 300).astype(np.uint64)), g.integers(0, lbl_lm.SPELLINGS, 300), g.integers(1, 1000, lbl_lm.CLASSES).astype(float))
+    model = [x + g.normal(0, 0.1, x.shape).astype(np.float32) for x in lbl_lm.start_model(vocab, 8, 1)]
+    c, u, v = g.integers(0, lbl_lm.CLASSES, 500), g.integers(0, vocab.start + 1, 500), g.integers(0, 20, 500)
+    share = vocab.counts / vocab.counts.sum()
+    noise_log, noise_cdf = np.log(share).astype(np.float32), np.cumsum(share)
+    got, acc = [x.copy() for x in model], [np.full_like(x, 1e-6) for x in model]
+    lbl_lm.train_on(got, acc, vocab.spelling, c, u, v, noise_log, noise_cdf, np.random.Generator(np.random.PCG64(9)), 16, 0.05)
+
+    own, spell, c1, c2, r_w, b = (x.astype(np.float64) for x in model)
+    k = np.minimum(np.searchsorted(noise_cdf, np.random.Generator(np.random.PCG64(9)).random(16)), len(b) - 1)
+    eu, ev = (own[x] + spell[vocab.spelling[x]] for x in (u, v))
+    q = eu @ c1 + ev @ c2
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    dp = (sigmoid((q * r_w[c]).sum(1) + b[c] - noise_log[c] - np.log(16)) - 1) / 500
+    dn = sigmoid(q @ r_w[k].T + b[k] - noise_log[k] - np.log(16)) / 500
+    dq = dp[:, None] * r_w[c] + dn @ r_w[k]
+    grads = [np.zeros_like(x) for x in (own, spell, c1, c2, r_w, b)]
+    for x, d in ((u, dq @ c1.T), (v, dq @ c2.T)):
+        np.add.at(grads[0], x, d)
+        np.add.at(grads[1], vocab.spelling[x], d)
+    grads[2], grads[3] = eu.T @ dq, ev.T @ dq
+    for at, d in ((c, dp[:, None] * q), (k, dn.T @ q)):
+        np.add.at(grads[4], at, d)
+    for at, d in ((c, dp), (k, dn.sum(0))):
+        np.add.at(grads[5], at, d)
+    # A step's length is the rate wherever the gradient is well above 0; next to 0 its rounding shows.
+    for a, start, grad in zip(got, model, grads):
+        want = start - 0.05 * grad / np.sqrt(1e-6 + grad * grad)
+        assert np.allclose(a, want, atol=2e-4)
+
+    made = lbl_lm.tables(got, vocab)
+    s = g.integers(0, vocab.size, 8192)
+    tracemalloc.start()
+    lp = lbl_lm.class_log_probs(s, np.array([0, 5000, 8192]), vocab, made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    before, last = lbl_lm.contexts(s, np.array([0, 5000, 8192]), vocab.start)[::-1]
+    e = (got[0] + got[1][vocab.spelling]).astype(np.float64)
+    z = (e[last] @ got[2] + e[before] @ got[3]) @ got[4].T + got[5]
+    assert np.allclose(lp, z[np.arange(8192), vocab.cls[s]] - np.log(np.exp(z).sum(1)), atol=1e-3)
