@@ -9,7 +9,7 @@ from setloom.operators import blocks, candidates, order
 from setloom.operators.candidates import STRATEGIES
 from setloom.operators.kernel import self_join as kernel_join
 from setloom.operators.verify import differences
-from setloom.plans import join
+from setloom.plans import join, queries
 from setloom.plans.join import all_similarities, similarity_join
 
 
@@ -210,6 +210,24 @@ def test_records_that_share_too_few_tokens_are_left_out(spark, monkeypatch):
     assert seen == [1]
 
 
+@pytest.mark.parametrize("name", [f"{a}_users_{b}" for a in ("pivot", "prefix") for b in ("ge", "strict")] + ["group_users_half"])
+def test_joins_of_copies_of_users_grow_with_the_users(spark, tmp_path, name):
+    sets = {i: set(range(3 * i % 17, 3 * i % 17 + 12)) for i in range(10)}
+    many = {}
+    for copies in (2, 6):
+        of = {100 * c + i: x for c in range(copies) for i, x in sets.items()}
+        spark.createDataFrame([(i, f'{{"k": {k}}}') for i, x in of.items() for k in x], "user_id long, props string").write.parquet(f"{tmp_path}/{copies}/events.parquet")
+        found = got(queries.QUERIES[name](spark, f"{tmp_path}/{copies}"))
+        of_class = {i: i for i in of}
+        of_class |= {b: a for a, b, _, sim in found if sim == 1.0}
+        want = brute(of, of, 0.5, not name.endswith("ge"), True)
+        links = {(min(of_class[a], of_class[b]), max(of_class[a], of_class[b]), o, s) for a, b, o, s in want if of_class[a] != of_class[b]}
+        assert {x for x in found if x[3] < 1} == links
+        assert {(a, b) for a, b, _, sim in want if sim == 1.0} == {(a, b) for a in of for b in of if a < b and of_class[a] == of_class[b]}
+        many[copies] = len(found)
+    assert many[6] <= 3 * many[2]
+
+
 def test_differences(spark):
     a = spark.createDataFrame([(1, 2), (4, 3)], "rid1 long, rid2 long")
     b = spark.createDataFrame([(2, 1), (5, 6), (7, 7)], "rid1 long, rid2 long")
