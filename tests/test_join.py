@@ -259,3 +259,32 @@ def test_wide_rows_are_stored_compressed(spark):
     before = size()
     assert similarity_join(spark.createDataFrame(rows, "rid long, tokens array<string>"), threshold=0.7, in_blocks=True).count() == 0
     assert size() - before < 16 * sum(len(x) for _, x in rows)
+
+
+def test_copies_in_two_collections_are_compared_once(spark, monkeypatch):
+    a, b = collection(1, 60, 12, 40), collection(2, 60, 12, 30)
+    b |= {i: set(a[i]) for i in range(0, 30, 7)} | {40: {1, 2, 3}}
+    b[29] = a[29] | {1000}
+    a, b = ({100 * c + i: x for c in range(5) for i, x in sets.items()} for sets in (a, b))
+    seen, cells = [], blocks.join
+    monkeypatch.setattr(blocks, "join", lambda r, s, *rest: seen.extend([r, s]) or cells(r, s, *rest))
+    monkeypatch.setattr(join, "FEW_PAIRS", 100)
+    found = similarity_join(frame(spark, a), frame(spark, b), threshold=0.3, algorithm="full", strict=False).collect()
+    assert len(found) == len({(x.rid1, x.rid2) for x in found})
+    assert {tuple(x) for x in found} == brute(a, b, 0.3, False, False)
+    assert seen[0].count() <= 40 and seen[1].count() <= 31
+
+
+def test_postings_of_two_collections_are_not_shuffled(spark, monkeypatch):
+    words = {i: {f"own{i}.{k}" for k in range(30)} | {f"word{k}" for k in range(i % 7, 30, 7)} for i in range(60)}
+    items = {i: {f"word{k}" for k in range(i, 30, 7)} | {f"item{i}"} for i in range(7)} | {50: set()}
+    frames = [spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "rid long, tokens array<string>") for sets in (words, items)]
+    want = brute(words, items, 0.1, False, False)
+    assert len(want) == 60
+    assert got(similarity_join(*frames, threshold=0.1, strict=False, in_blocks=True)) == want
+    # A vocabulary too large to send is joined with the postings.
+    monkeypatch.setattr(order, "BROADCAST_TOKENS", 10)
+    assert got(similarity_join(*frames, threshold=0.1, strict=False, in_blocks=True)) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(join, "encode_ranks", lambda *a: pytest.fail("postings are shuffled"))
+    assert got(similarity_join(*frames, threshold=0.1, strict=False, in_blocks=True)) == want
