@@ -288,3 +288,15 @@ def test_postings_of_two_collections_are_not_shuffled(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(join, "encode_ranks", lambda *a: pytest.fail("postings are shuffled"))
     assert got(similarity_join(*frames, threshold=0.1, strict=False, in_blocks=True)) == want
+
+
+def test_all_similarities_of_copies_grow_with_the_users(spark, tmp_path):
+    sets = {i: set(range(3 * i % 17, 3 * i % 17 + 12)) for i in range(10)} | {10: {90}}
+    many = {}
+    for copies in (1, 3):
+        of = {100 * c + i: x for c in range(copies) for i, x in sets.items()}
+        spark.createDataFrame([(i, f'{{"k": {k}}}') for i, x in of.items() for k in x], "user_id long, props string").write.parquet(f"{tmp_path}/{copies}/events.parquet")
+        found = queries.QUERIES["all_similarities_users"](spark, f"{tmp_path}/{copies}").collect()
+        assert {tuple(x) for x in found} == brute(sets, sets, 0.0, True, True) | {(i, 100 * c + i, len(x), 1.0) for i, x in sets.items() for c in range(1, copies)}
+        many[copies] = len(found)
+    assert many[3] == many[1] + 2 * len(sets)
