@@ -300,3 +300,14 @@ def test_all_similarities_of_copies_grow_with_the_users(spark, tmp_path):
         assert {tuple(x) for x in found} == brute(sets, sets, 0.0, True, True) | {(i, 100 * c + i, len(x), 1.0) for i, x in sets.items() for c in range(1, copies)}
         many[copies] = len(found)
     assert many[3] == many[1] + 2 * len(sets)
+
+
+def test_only_postings_of_rare_tokens_are_shuffled(spark, monkeypatch):
+    sets = {i: {f"often{k}" for k in range(i % 9, 12)} | {f"rare{i}", f"rare{i // 2}"} for i in range(80)}
+    monkeypatch.setattr(order, "BROADCAST_TOKENS", 12)
+    df = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "rid long, tokens array<string>")
+    seen, ranked = [], order._ranked
+    monkeypatch.setattr(order, "_ranked", lambda posts, ids, rare: seen.append((ids.where(ids.rank >= rare).count(), {r.tok for r in ids.where(ids.rank >= rare).collect()})) or ranked(posts, ids, rare))
+    for in_blocks in (True, False):
+        assert got(similarity_join(df, threshold=0.6, strict=False, in_blocks=in_blocks)) == brute(sets, sets, 0.6, False, True)
+    assert seen == [(12, {f"often{k}" for k in range(12)})] * 2
